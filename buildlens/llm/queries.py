@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from buildlens.llm import sharding, sstable
+from buildlens.llm import bpe, decontam, sharding, sstable
 from buildlens.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,12 +15,22 @@ def op3_token_ids(spark, sf_dir):
     return sstable.ids_of_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_bpe(spark, sf_dir):
+    return bpe.digest_documents(read(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_token_ids": op3_token_ids,
+    "op5_decontamination": op5_decontamination,
+    "op6_bpe": op6_bpe,
     "op9_sharding": op9_sharding,
 }
 ORACLES: dict[str, str] = {}
