@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from buildlens.llm import bpe, decontam, sharding, sstable
+from buildlens.llm import bpe, decontam, license, sharding, sstable, topk
 from buildlens.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,14 @@ def op6_bpe(spark, sf_dir):
     return bpe.digest_documents(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_top_k(spark, sf_dir):
+    return topk.search_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+def op8_license(spark, sf_dir):
+    return license.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -31,6 +39,11 @@ QUERIES = {
     "op3_token_ids": op3_token_ids,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
+    "op7_top_k": op7_top_k,
+    "op8_license": op8_license,
     "op9_sharding": op9_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_top_k": topk.ORACLE,
+    "op8_license": license.ORACLE,
+}

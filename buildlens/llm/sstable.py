@@ -8,9 +8,11 @@ where those stand. The index has each block's last key and place. Keys are bytes
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +32,9 @@ FOOTER = struct.Struct("<QQQQQQI8s")  # index place and size, filter place and s
 BLOCK_BYTES, RESTART = 64 << 10, 16
 FILTER_BITS, FILTER_HASHES = 10, 7
 #: The cut of a byte-level tokenizer before its merges, as the public vocabulary's readme gives it.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: A space before other white space: only there do the cuts depend on more than what stands between two spaces.
+RUN = regex.compile(r" [\p{White_Space}\x1c-\x1f]")
 
 
 def key_of(doc_id: int | None, copy: int = 0) -> bytes:
@@ -186,33 +190,68 @@ class Reader:
 class IdEncoder:
     """Ids of whole texts by the tokenizers library, which gets each distinct piece between cuts once.
 
-    A byte-level tokenizer merges within pieces only, so the ids of a text are those of its pieces in order. Texts that
-    contain a special token's string go to the library whole. At most ``keep`` pieces are remembered.
+    A byte-level tokenizer merges within pieces only, so the ids of a text are those of its pieces in order. No piece
+    reaches across the place before a space, but in runs of white space: a text without such runs is looked up by what
+    stands between its spaces. Texts that contain a special token's string go to the library whole. At most ``keep``
+    strings are remembered of each kind.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = "<u2" if self.width == 2 else "<u4"
-        self.keep, self.known = keep, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kind, self.code = ("<u2", "H") if self.width == 2 else ("<u4", "I")
+        self.keep, self.chunks, self.pieces = keep, {}, {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self.pieces]
+        if new:
+            if len(self.pieces) + len(new) > self.keep:
+                self.pieces, new = {}, list(pieces)
+            self.pieces.update(zip(new, self._whole(new)))
+
+    def _learn_chunks(self, chunks: set[str]) -> None:
+        """A chunk stands for a space and what follows it up to the next."""
+        new = [c for c in chunks if c not in self.chunks]
+        if new:
+            if len(self.chunks) + len(new) > self.keep:
+                self.chunks, new = {}, list(chunks)
+            cut = [PIECES.findall(" " + c) for c in new]
+            self._learn_pieces({p for ps in cut for p in ps})
+            known = self.pieces
+            self.chunks.update(zip(new, [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in cut]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [None if t and any(s in t for s in self.special) else PIECES.findall(t or "") for t in texts]
-        known = self.known
-        if new := list({p for ps in cut if ps for p in ps if p not in known}):
-            if len(known) + len(new) > self.keep:
-                known = self.known = {}
-                new = list({p for ps in cut if ps for p in ps})
-            known.update(zip(new, self._encode(new)))
-        return [self._encode([t])[0] if ps is None else b"".join([known[p] for p in ps]) for t, ps in zip(texts, cut)]
+        out: list[bytes] = [b""] * len(texts)
+        chunked, pieced = [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if any(s in t for s in self.special):
+                out[i] = self._whole([t])[0]
+            elif RUN.search(t):
+                pieced.append((i, PIECES.findall(t)))
+            else:
+                first, *rest = t.split(" ")
+                chunked.append((i, rest))
+                pieced.append((i, PIECES.findall(first)))
+        self._learn_pieces({p for _, ps in pieced for p in ps})
+        known = self.pieces
+        for i, ps in pieced:
+            out[i] = b"".join([known[p] for p in ps])
+        self._learn_chunks({c for _, cs in chunked for c in cs})
+        known = self.chunks
+        for i, cs in chunked:
+            out[i] += b"".join([known[c] for c in cs])
+        return out
 
 
 @lru_cache(2)
