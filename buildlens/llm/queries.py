@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from buildlens.llm import bpe, decontam, license, sharding, sstable, topk
+from buildlens.llm import bpe, decontam, langid, license, sharding, sstable, topk
 from buildlens.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op3_token_ids(spark, sf_dir):
     return sstable.ids_of_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -36,6 +40,7 @@ def op9_sharding(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_token_ids": op3_token_ids,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
