@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from buildlens.llm import bpe, decontam, langid, license, sharding, sstable, topk
+from buildlens.llm import bpe, decontam, jaccard, langid, license, sharding, sstable, topk
 from buildlens.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,10 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_token_ids": op3_token_ids,
@@ -47,6 +51,7 @@ QUERIES = {
     "op7_top_k": op7_top_k,
     "op8_license": op8_license,
     "op9_sharding": op9_sharding,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op7_top_k": topk.ORACLE,
