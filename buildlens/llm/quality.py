@@ -74,10 +74,11 @@ class Model:
     text_scale: tuple[float, float]
     meta_scale: tuple[float, float]
     combine: np.ndarray
+    prior: float = 0.0  # log-odds by which good documents are more frequent in the corpus than in the draw
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         z1, z2 = _log_odds(x[:, TEXT], self.text, self.text_scale), _log_odds(x[:, META], self.meta, self.meta_scale)
-        return sigmoid(z1), sigmoid(z2), sigmoid(z1 * self.combine[0] + z2 * self.combine[1] + self.combine[2])
+        return sigmoid(z1 + self.prior), sigmoid(z2 + self.prior), sigmoid(z1 * self.combine[0] + z2 * self.combine[1] + self.combine[2] + self.prior)
 
 
 def _log_odds(x: np.ndarray, w: np.ndarray, scale: tuple[float, float]) -> np.ndarray:
@@ -98,7 +99,6 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = ROUND
         fit = test
     else:
         fit = ~test
-    own = {TEXT: [(x[fit], y[fit].astype(float), 1.0)], META: [(x[fit], y[fit].astype(float), 1.0)]} if False else None
     views = (TEXT, META)
     rows = [[(x[fit][:, v], y[fit].astype(float), np.ones(fit.sum()))] for v in views]
 
@@ -168,7 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     others = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pool")), F.lit(1 << 30)) < F.lit(pool / max(n, 1) * (1 << 30)))
     others = others.join(F.broadcast(drawn), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
     u, _ = _collected(others)
-    return co_train(x, y, u)
+    model = co_train(x, y, u)
+    if model:
+        model.prior = float(np.log(counts[1] / counts[0] * (y == 0).sum() / (y == 1).sum()))
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:

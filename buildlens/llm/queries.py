@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from buildlens.llm import bpe, decontam, jaccard, langid, license, sharding, sstable, topk
+from buildlens.llm import bpe, decontam, jaccard, langid, license, quality, sharding, sstable, topk
 from buildlens.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def op3_token_ids(spark, sf_dir):
     return sstable.ids_of_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_quality(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,7 @@ def op10_jaccard_join(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_token_ids": op3_token_ids,
+    "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_top_k": op7_top_k,
