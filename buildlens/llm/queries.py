@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from buildlens.llm import bpe, decontam, jaccard, langid, license, quality, sharding, sstable, topk
+from buildlens.llm import bpe, decontam, jaccard, langid, license, lm, quality, sharding, sstable, topk
 from buildlens.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +15,10 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark, sf_dir):
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op3_token_ids(spark, sf_dir):
     return sstable.ids_of_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -49,6 +53,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_lm_score": op2_lm_score,
     "op3_token_ids": op3_token_ids,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
