@@ -128,9 +128,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     return fit(x, np.array([rows[i][0] for i in order], object))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred and score; only the text is looked at. Null, or without a letter, or nothing learned: und, 0."""
-    spark, kept = docs.sparkSession, docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred and score; only the text is looked at. Null, or without a letter, or nothing learned: und, 0.
+
+    The new columns take the place of any of their names; ``prefix`` keeps them apart.
+    """
+    spark, kept = docs.sparkSession, docs.drop(f"{prefix}lang_pred", f"{prefix}score")
     shared = spark.sparkContext.broadcast(model)
     names = kept.columns
     at = names.index("text")
@@ -146,9 +149,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     found, score = shared.value.predict(np.stack([features(texts[i]) for i in rows]))
                     for i, g, s in zip(rows, found, score):
                         langs[i], scores[i] = g, s
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, f"{prefix}lang_pred", f"{prefix}score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {prefix}lang_pred string, {prefix}score double"
     return kept.mapInArrow(run, schema)
 
 

@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         return None
     hashed = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("draw")), F.lit(1 << 30))
     drawn = known.filter(hashed < F.when(F.col("quality") == 1, labelled / counts[1]).otherwise(labelled / counts[0]) * (1 << 30))
+    docs = docs.select("doc_id", *COLUMNS)
     x, y = _collected(docs.join(F.broadcast(drawn), "doc_id"))  # bounded: about twice ``labelled`` rows of two numbers
     n = docs.count()
     others = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pool")), F.lit(1 << 30)) < F.lit(pool / max(n, 1) * (1 << 30)))
@@ -174,12 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return model
 
 
-def score(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, least: float = LEAST, prefix: str = "") -> DataFrame:
     """``docs`` with p_text, p_meta, quality_score and keep. Nothing learned: all three null, and every document is kept.
 
-    A null text counts as empty, null metadata as values of their own.
+    A null text counts as empty, null metadata as values of their own. The new columns take the place of any of their
+    names; ``prefix`` keeps them apart.
     """
-    spark, kept = docs.sparkSession, docs.drop("p_text", "p_meta", "quality_score", "keep")
+    new = [f"{prefix}{n}" for n in ("p_text", "p_meta", "quality_score")]
+    spark, kept = docs.sparkSession, docs.drop(*new, f"{prefix}keep")
     shared = spark.sparkContext.broadcast(model)
     names = kept.columns
     at = [names.index(c) for c in COLUMNS]
@@ -192,10 +195,10 @@ def score(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFra
                     found = [pa.nulls(part.num_rows, pa.float64())] * 3
                 else:
                     found = [pa.array(p, pa.float64()) for p in shared.value.predict(np.stack(_vectors([part.column(i).to_pylist() for i in at], range(part.num_rows))))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*names, "p_text", "p_meta", "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*names, *new])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", p_text double, p_meta double, quality_score double"
-    return kept.mapInArrow(run, schema).withColumn("keep", F.coalesce(F.col("quality_score") >= least, F.lit(True)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + "".join(f", {n} double" for n in new)
+    return kept.mapInArrow(run, schema).withColumn(f"{prefix}keep", F.coalesce(F.col(new[2]) >= least, F.lit(True)))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
