@@ -1,4 +1,9 @@
 """Queries over the driver's tables, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from buildlens.plans import core
+
+MODULES = (core,)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
