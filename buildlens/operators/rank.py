@@ -8,16 +8,16 @@ from pyspark.sql.window import Window
 
 from buildlens.functions import patterns as P
 
-NEAR = Window.partitionBy("log_id").orderBy("line_no").rangeBetween(-3, 3)
 SCORE_STEP = 0.05
 
 
 def warning_block(ev: DataFrame) -> DataFrame:
     """in_warning_block: within three lines an event is a warning, and none but this one an error."""
+    near = Window.partitionBy("log_id").orderBy("line_no").rangeBetween(-3, 3)
     message = F.lower(F.coalesce("message", F.lit("")))
     warns = ((F.col("severity") == "warning") | message.contains("warning:")).cast("int")
     fails = ((F.col("severity") == "error") | message.contains("error:")).cast("int")
-    return ev.withColumn("in_warning_block", (F.max(warns).over(NEAR) == 1) & (F.sum(fails).over(NEAR) - fails == 0))
+    return ev.withColumn("in_warning_block", (F.max(warns).over(near) == 1) & (F.sum(fails).over(near) - fails == 0))
 
 
 def semantic_class() -> Column:

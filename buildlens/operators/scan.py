@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from buildlens.functions import patterns as P
 
-IN_ORDER = Window.partitionBy("log_id").orderBy("line_no")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
-WHOLE_LOG = IN_ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("log_id").orderBy("line_no")
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def whole_log() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def group(text: Column, pattern: str, n: int) -> Column:
@@ -27,7 +38,7 @@ def normalise(lines: DataFrame) -> DataFrame:
 
 def with_offsets(lines: DataFrame) -> DataFrame:
     """raw_offset: bytes of the lines before, each with its line feed."""
-    return lines.withColumn("raw_offset", F.coalesce(F.sum(F.octet_length("raw_text") + 1).over(BEFORE), F.lit(0)).cast("long"))
+    return lines.withColumn("raw_offset", F.coalesce(F.sum(F.octet_length("raw_text") + 1).over(before()), F.lit(0)).cast("long"))
 
 
 def annotate(lines: DataFrame) -> DataFrame:
@@ -39,9 +50,9 @@ def annotate(lines: DataFrame) -> DataFrame:
     text = F.col("text")
     df = lines.withColumn("marker", F.coalesce(group(text, P.PHASE, 1), group(text, P.EXECUTING, 1)))
     df = df.withColumn("is_command", F.col("marker").isNull() & text.rlike(P.COMMAND)).withColumn("goes_on", text.rlike(P.CONTINUES))
-    anchor = F.last(F.when(F.col("marker").isNotNull() | F.col("is_command") | ~F.col("goes_on"), F.col("is_command") & F.col("goes_on")), True).over(BEFORE)
+    anchor = F.last(F.when(F.col("marker").isNotNull() | F.col("is_command") | ~F.col("goes_on"), F.col("is_command") & F.col("goes_on")), True).over(before())
     df = df.withColumn("is_continuation", F.col("marker").isNull() & ~F.col("is_command") & F.coalesce(anchor, F.lit(False)))
-    return df.withColumn("phase", F.last("marker", True).over(SO_FAR)).withColumn("command_no", F.sum(F.col("is_command").cast("int")).over(SO_FAR).cast("int"))
+    return df.withColumn("phase", F.last("marker", True).over(so_far())).withColumn("command_no", F.sum(F.col("is_command").cast("int")).over(so_far()).cast("int"))
 
 
 def scanned(lines: DataFrame) -> DataFrame:
@@ -90,7 +101,7 @@ def events(annotated: DataFrame) -> DataFrame:
     The cheap marker test comes first and keeps most lines away from the patterns.
     """
     text, low = F.col("text"), F.lower("text")
-    tool = tool_of(F.last(F.when(F.col("is_command"), group(text, P.COMMAND, 1)), True).over(SO_FAR))
+    tool = tool_of(F.last(F.when(F.col("is_command"), group(text, P.COMMAND, 1)), True).over(so_far()))
     df = annotated.withColumn("tool", tool).filter("marker is null and not is_command and not is_continuation").filter(low.rlike(P.MARKERS))
     which, found = _patch()
     df = df.withColumn("patch", which).withColumn("is_compiler", text.rlike(P.COMPILER))
@@ -122,7 +133,7 @@ def events(annotated: DataFrame) -> DataFrame:
         .otherwise(text)
     )
     of = lambda name, value: F.when(branch == name, value)
-    df = df.withColumn("seq", F.row_number().over(IN_ORDER))
+    df = df.withColumn("seq", F.row_number().over(in_order()))
     return df.select(
         "log_id",
         F.format_string("E%03d", "seq").alias("id"),
@@ -152,7 +163,7 @@ def events(annotated: DataFrame) -> DataFrame:
 
 def patch_parents(ev: DataFrame) -> DataFrame:
     """patch_parent of a failed %prep: the last patch event before it in that phase."""
-    last = F.last(F.when((F.col("kind") == "patch") & (F.col("phase") == "%prep"), F.col("id")), True).over(BEFORE)
+    last = F.last(F.when((F.col("kind") == "patch") & (F.col("phase") == "%prep"), F.col("id")), True).over(before())
     return ev.withColumn("patch_parent", F.when((F.col("kind") == "rpm_phase") & (F.col("exit_phase") == "%prep"), last))
 
 
@@ -180,7 +191,7 @@ def with_parents(ev: DataFrame) -> DataFrame:
 
 def with_failed_phase(ev: DataFrame) -> DataFrame:
     """failed_phase of the log: the phase of its last event that has one and is no make cascade."""
-    return ev.withColumn("failed_phase", F.last(F.when(F.col("kind") != "make_cascade", F.col("phase")), True).over(WHOLE_LOG))
+    return ev.withColumn("failed_phase", F.last(F.when(F.col("kind") != "make_cascade", F.col("phase")), True).over(whole_log()))
 
 
 def cascade_summary(ev: DataFrame) -> DataFrame:
@@ -190,7 +201,7 @@ def cascade_summary(ev: DataFrame) -> DataFrame:
     return rows.groupBy("log_id").agg(F.array_join(F.transform(pairs, lambda x: x["s"]), "; ").alias("summary"))
 
 
-def log_window(lines: DataFrame, around: DataFrame, before: int = 30, after: int = 20) -> DataFrame:
-    """Lines from ``before`` to ``after`` of the given lines (log_id, at): each asks for its lines by number, so the join is by equality."""
-    wanted = around.select("log_id", "at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - before), F.col("at") + after)).alias("line_no"))
+def log_window(lines: DataFrame, around: DataFrame, ahead: int = 30, after: int = 20) -> DataFrame:
+    """Lines from ``ahead`` before to ``after`` after of the given lines (log_id, at): each asks for its lines by number, so the join is by equality."""
+    wanted = around.select("log_id", "at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - ahead), F.col("at") + after)).alias("line_no"))
     return wanted.join(lines, ["log_id", "line_no"])
