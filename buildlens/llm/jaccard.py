@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from buildlens.llm.common import materialize
 from buildlens.llm.components import connected_components
@@ -28,6 +29,8 @@ FLUSH = 2_000_000
 #: Sets that share a signature are all paired up to this many; larger groups are compared in blocks.
 FEW = 8
 BLOCK = 1024
+#: A set is compared with so many partners first; the others follow where that left components apart.
+PARTNERS = 3
 #: Keys of candidates are broadcast up to so many, 8 bytes each; beyond, documents are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -41,6 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -55,7 +59,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(data: bytes) -> np.ndarray:
     """64-bit hashes of the words of lower-cased UTF-8: cut at the six white-space bytes."""
     b = np.frombuffer(data, np.uint8)
-    gap = (b == 32) | ((b >= 9) & (b <= 13))
+    gap = _GAP[b]
     edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
@@ -72,9 +76,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     if not n:
         return w
     h = np.full(len(w) - n + 1, U(n))
-    for i in range(n):
-        h = mix(h * U(0x100000001B3) + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
+    for i in range(n):  # words are mixed already, so a polynomial of them will do
+        h = h * U(0x9FB21C651E98DF25) + w[i : len(w) - n + 1 + i]
+    return np.unique(mix(h))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -103,11 +107,11 @@ def band_of(size: int) -> int:
     return next(i for i, (_, high, _) in enumerate(bands()) if size <= high)
 
 
-def _parts(s: np.ndarray, tag: int, variant: int, parts: int) -> np.ndarray:
+def _parts(s: np.ndarray, mixed: np.ndarray, tag: int, variant: int, parts: int) -> np.ndarray:
     """A signature for each part of the domain that holds elements of the set."""
     part = ((s >> U(32)) * U(parts)) >> U(32)
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    content = np.add.reduceat(mix(s), starts)
+    starts = np.r_[0, 1 + np.flatnonzero(part[1:] != part[:-1])]
+    content = np.add.reduceat(mixed, starts)
     return mix(content + mix(part[starts] * U(4 * len(bands())) + U(4 * tag + variant)))
 
 
@@ -118,7 +122,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
     linked set holds too. Should a set have fewer, it adds the signatures of a finer cut, and if these are too few also
     one that all such sets of the band share: two sets that both have too few parts meet there.
     """
-    n, out = len(s), []
+    n, mixed, out = len(s), mix(s), []
     own = band_of(n)
     for tag in (own, own + 1):
         low, high, k = bands()[tag]
@@ -126,29 +130,54 @@ def signatures(s: np.ndarray) -> np.ndarray:
         if largest < low:
             continue
         own_k = max(most_difference(n + b) for b in range(max(1, largest - 7), largest + 1))
-        found = _parts(s, tag, 0, math.ceil(1.15 * (k + 1)) + (4 if k else 0))
+        found = _parts(s, mixed, tag, 0, math.ceil(1.15 * (k + 1)) + (4 if k else 0))
         out.append(found)
         if len(found) <= own_k:
-            found = _parts(s, tag, 1, 4 * k + 16)
+            found = _parts(s, mixed, tag, 1, 4 * k + 16)
             out.append(found)
             if len(found) <= own_k:
                 out.append(mix(np.array([4 * tag + 2], np.uint64)))
     return np.concatenate(out)
 
 
+def odd_sketch(s: np.ndarray) -> bytes:
+    """Parity of the elements' count in each cell, a power of two of cells, two to four times the elements, 64 at least.
+
+    A cell is the hash's low bits, so halving a sketch by exclusive or gives that of half as many cells. Two sets'
+    sketches of one size differ in no more bits than the sets in elements.
+    """
+    bits = max(64, 2 << int(len(s) - 1).bit_length())
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all of the least size among them."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), np.uint64)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0)
+    return out
+
+
+def most_differences(total: np.ndarray) -> np.ndarray:
+    return total - 2 * -(-SHARE * total // (100 + SHARE))
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, key (tells rows of other id or text apart), n, h (the set's id) of every document."""
+    """doc_id, key (tells rows of other id or text apart), n, h (the set's id), sketch of every document."""
 
     def run(batches):
         for b in batches:
-            n, h = [], []
+            n, h, sketch = [], [], []
             for t in b.column(2).to_pylist():
                 s = shingle_set(t)
                 n.append(len(s))
                 h.append(set_id(s) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64())], ["doc_id", "key", "n", "h"])
+                sketch.append(odd_sketch(s) if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "key", "n", "h", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n long, h long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n long, h long, sketch binary")
 
 
 def _signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
@@ -197,7 +226,7 @@ def _signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
 def _candidates(packed: DataFrame) -> DataFrame:
     """kind 0: a pair a < b of sets that share a signature. kind 1: set b is of the large group a.
 
-    A group of a few sets gives all its pairs; a larger one gives each set's pair with the first, and its membership.
+    A group of a few sets gives all its pairs, a larger one each set's membership.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -210,12 +239,11 @@ def _candidates(packed: DataFrame) -> DataFrame:
         ids, sigs = ids[once], sigs[once]
         start = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
         count = np.diff(np.r_[start, len(sigs)])
-        first = np.repeat(start, count)
-        place = np.arange(len(ids)) - first
+        place = np.arange(len(ids)) - np.repeat(start, count)
         many = np.repeat(count, count)
-        pairs = [np.stack([ids[first[place > 0]], ids[place > 0]], 1)]  # ids ascend within a group
-        for gap in range(1, FEW):
-            at = np.flatnonzero((place >= gap + 1) & (many <= FEW))
+        pairs = []
+        for gap in range(1, FEW):  # ids ascend within a group
+            at = np.flatnonzero((place >= gap) & (many <= FEW))
             pairs.append(np.stack([ids[at - gap], ids[at]], 1))
         pair = np.unique(np.concatenate(pairs), axis=0)
         large = many > FEW
@@ -271,46 +299,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("a1", "salt1").cogroup(right.select("a", "salt", "b", "elements").groupBy("a", "salt")).applyInArrow(run, "a long, b long")
 
 
-def odd_sketch(s: np.ndarray, bits: int = 1024) -> np.ndarray:
-    """Parity of the elements' count in each cell: two sets' sketches differ in no more bits than the sets in elements."""
-    return np.packbits((np.bincount((s >> U(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(bool)).view(np.uint64)
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b, degree) whose sizes and sketches do not rule a link out."""
+    one, two = (sketches.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
 
+    def run(batches):
+        for t in batches:
+            most = most_differences(t.column("n_a").to_numpy() + t.column("n_b").to_numpy())
+            differ = [int(np.bitwise_count(x[0] ^ x[1]).sum()) for x in map(lambda p: folded(list(p)), zip(t.column("s_a").to_pylist(), t.column("s_b").to_pylist()))]
+            yield t.select(["a", "b", "degree"]).filter(pa.array(np.array(differ, np.int64) <= most))
 
-def block_links(ids: list[int], component: list[int], block: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join components among the sets; with two blocks, only those across count."""
-    root = {c: c for c in component}
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "degree", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long, degree long")
 
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
 
-    sketch = np.stack([odd_sketch(s) for s in sets])
-    size = np.array([len(s) for s in sets])
-    blocks, out = np.array(block), []
-    two = len(set(block)) == 2
-    group = np.array([find(c) for c in component])
-    for i in range(len(ids)):
-        after = np.arange(i + 1, len(ids))
-        after = after[group[after] != group[i]]
+def near_pairs(ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Pairs across components whose sketches do not rule a link out; of two blocks, those across blocks alone."""
+    words, two, out = folded(sketches), len(np.unique(block)) == 2, [np.zeros((0, 2), np.int64)]
+    for i in range(len(ids) - 1):
+        after = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
         if two:
-            after = after[blocks[after] != blocks[i]]
-        if not len(after):
-            continue
-        total = size[after] + size[i]
-        most = total - 2 * -(-SHARE * total // (100 + SHARE))
-        near = after[np.bitwise_count(sketch[after] ^ sketch[i]).sum(1) <= most]
-        for j in near:
-            if find(component[i]) != find(component[j]) and linked(sets[i], sets[j]):
-                out.append((ids[i], ids[j]))
-                root[find(component[j])] = find(component[i])
-                group = np.array([find(c) for c in component])
-    return out
+            after = after[block[after] != block[i]]
+        if len(after):
+            near = after[np.bitwise_count(words[after] ^ words[i]).sum(1) <= most_differences(sizes[after] + sizes[i])]
+            out.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], 1))
+    return np.unique(np.concatenate(out), axis=0)
 
 
-def _group_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across components within large groups (g, h, component, m: the group's size).
+def _group_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Near pairs across components within large groups (g, h, component, m: the group's size).
 
     A group is cut into blocks of a thousand, and each pair of blocks is one task's: no task holds more, and no pair is left out.
     """
@@ -319,38 +335,54 @@ def _group_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = dealt.select("g", "h", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
     def run(t: pa.Table) -> pa.Table:
-        sets_of = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["elements"]]
-        found = block_links(t["h"].to_pylist(), t["component"].to_pylist(), t["block"].to_pylist(), sets_of) if t.num_rows else []
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+        numbers = [t[c].to_numpy() for c in ("h", "n", "component", "block")]
+        found = near_pairs(*numbers, t["sketch"].to_pylist()) if t.num_rows else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    return dealt.join(sets, "h").groupBy("g", "one", "two").applyInArrow(run, "a long, b long")
+    return dealt.join(sketches, "h").groupBy("g", "one", "two").applyInArrow(run, "a long, b long")
 
 
 def set_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """h, component for every set that is linked with another; sets: as ``_sets`` gives.
 
-    First each candidate set is compared with one partner, which joins most copies; then the pairs and large groups that
-    still reach across components are compared in full.
+    Candidates are thinned by sketches, which never rule out a link. Then each set is compared with a few partners, those
+    in most groups first, which joins most copies to what they were copied from; the pairs and large groups that still
+    reach across components follow in full.
     """
     spark = docs.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.9 * total / BUCKET))
     found = materialize(_candidates(_signature_rows(docs, buckets)), "candidates")
-    pairs = materialize(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    keys = materialize(sets.filter("n > 0").groupBy("h").agg(F.min("key").alias("key")).join(ids, "h", "left_semi").select("key"), "keys")
-    elements = materialize(_fetch_sets(docs, keys), "elements")
-    one_each = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(_verified(one_each, elements), "links")
+    one_key = materialize(sets.filter("n > 0").groupBy("h").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "one-each")
+    sketches = one_key.select("h", "n", "sketch")
+
+    def elements_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+        return materialize(_fetch_sets(docs, materialize(one_key.join(ids, "h", "left_semi").select("key"), "keys")), "elements")
+
+    members = found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("h"))
+    degree = members.groupBy("h").agg(F.count(F.lit(1)).alias("degree"))
+    leaders = materialize(members.join(degree, "h").groupBy("g").agg(F.max(F.struct("degree", "h")).alias("first")), "leaders")
+    led = members.join(leaders, "g").filter(F.col("h") != F.col("first.h")).groupBy(F.col("first.h").alias("hub"), "h").agg(F.max("first.degree").alias("degree"))
+    few = found.filter("kind = 0").select("a", "b", F.lit(0).cast("long").alias("degree"))
+    wide = few.unionByName(led.select(F.least("hub", "h").alias("a"), F.greatest("hub", "h").alias("b"), "degree")).groupBy("a", "b").agg(F.max("degree").alias("degree"))
+    pairs = materialize(_near(wide, sketches), "pairs")
+    other = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
+    best = Window.partitionBy("x").orderBy(F.desc("degree"), "a", "b")
+    chosen = other.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PARTNERS)
+    some = materialize(chosen.select("a", "b").distinct(), "chosen")
+    links = materialize(_verified(some, elements_of(some)), "links")
     label = materialize(connected_components(links), "components")
 
     def labelled(df: DataFrame, name: str, out: str) -> DataFrame:
         return df.join(label.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
 
-    rest = labelled(labelled(pairs.join(one_each, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    members = materialize(labelled(found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("h")), "h", "component"), "members")
+    across = labelled(labelled(pairs.select("a", "b").join(some, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+    members = labelled(members, "h", "component")
     mixed = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("g", "m")
-    more = _verified(rest, elements).union(_group_links(members.join(mixed, "g"), elements))
+    within = _group_pairs(members.join(mixed, "g"), sketches).distinct().join(some, ["a", "b"], "left_anti")
+    rest = materialize(across.union(within).distinct(), "rest")
+    more = _verified(rest, elements_of(rest))
     return connected_components(materialize(links.union(more), "all-links")).select(F.col("node").alias("h"), "component")
 
 

@@ -196,7 +196,7 @@ class IdEncoder:
     strings are remembered of each kind.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores already
@@ -207,6 +207,9 @@ class IdEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = ("<u2", "H") if self.width == 2 else ("<u4", "I")
         self.keep, self.chunks, self.pieces = keep, {}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.starts[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -219,15 +222,29 @@ class IdEncoder:
             self.pieces.update(zip(new, self._whole(new)))
 
     def _learn_chunks(self, chunks: set[str]) -> None:
-        """A chunk stands for a space and what follows it up to the next."""
+        """A chunk stands for a space and what follows it up to the next.
+
+        New chunks go to the library in one text, whose ids part at the tokens that begin with a space, one for each
+        chunk. Should their number be another, the chunks are cut into pieces instead.
+        """
         new = [c for c in chunks if c not in self.chunks]
-        if new:
-            if len(self.chunks) + len(new) > self.keep:
-                self.chunks, new = {}, list(chunks)
-            cut = [PIECES.findall(" " + c) for c in new]
-            self._learn_pieces({p for ps in cut for p in ps})
-            known = self.pieces
-            self.chunks.update(zip(new, [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in cut]))
+        if len(self.chunks) + len(new) > self.keep:
+            self.chunks, new = {}, list(chunks)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            (ids,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(ids.ids, self.kind)
+            cut = np.flatnonzero(self.starts[ids])
+            if "" in part or len(cut) != len(part) or cut[0]:
+                pieces = [PIECES.findall(" " + c) for c in part]
+                self._learn_pieces({p for ps in pieces for p in ps})
+                self.chunks.update(zip(part, [b"".join([self.pieces[p] for p in ps]) for ps in pieces]))
+                continue
+            data, ends = ids.tobytes(), (np.append(cut[1:], len(ids)) * self.width).tolist()
+            start = 0
+            for c, end in zip(part, ends):
+                self.chunks[c] = data[start:end]
+                start = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
