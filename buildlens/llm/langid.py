@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -16,6 +17,14 @@ from buildlens.llm.features import damped, linear_svm, ngram_counts, pack, platt
 DIMS = 8192
 #: At most about so many documents of each language are learned from: the bounded sample of labelled rows.
 SAMPLE = 500
+#: Stretches of so many words of the held-out texts show how much the evidence of short texts varies.
+STRETCHES = (1, 2, 4, 8, 32, 128)
+#: A text is in no language learned if its evidence is so many spreads of held-out texts of its size below their middle; the least spread.
+SPREADS, LEAST_SPREAD = 6.0, 0.3
+#: Classes of text sizes.
+SIZES = 24
+#: What a row drawn serves for.
+LEARN, HELD, STRETCH = range(3)
 #: Language families. A language that is not listed is a family of its own.
 FAMILIES = {
     "baltic": ["lt", "lv"],
@@ -35,6 +44,54 @@ def family_of(lang: str) -> str:
     return next((f for f, ls in FAMILIES.items() if lang.split("-")[0].lower() in ls), lang)
 
 
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Of numbers of n-grams: by powers of two."""
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(int), SIZES - 1)
+
+
+@dataclass
+class Evidence:
+    """Whether a text looks like the language it is given at all. Unlike a machine's score, this is not against the other
+    languages: one of two families always has half of the score, whatever the text."""
+
+    langs: dict[str, int]
+    log_share: np.ndarray  # of each n-gram in each language
+    centre: np.ndarray  # mean log-likelihood of an n-gram in each language's own texts
+    floor: np.ndarray  # by size class
+
+    def of(self, x: np.ndarray, langs: list[str]) -> np.ndarray:
+        """Mean log-likelihood of a text's n-grams (x * x is their distribution) in its language, less that of the language's own texts."""
+        at = np.array([self.langs[g] for g in langs], int)
+        return ((x * x) @ self.log_share)[np.arange(len(x)), at] - self.centre[at]
+
+    def holds(self, x: np.ndarray, n: np.ndarray, langs: list[str]) -> np.ndarray:
+        return self.of(x, langs) >= self.floor[size_class(n)]
+
+
+def fit_evidence(x: np.ndarray, langs: np.ndarray, held: np.ndarray, held_n: np.ndarray, held_langs: np.ndarray) -> Evidence | None:
+    """x, langs: texts that the shares come from; held: texts and stretches of others, which set the floors.
+
+    A floor is far under the middle of what held-out texts of that size have, measured by their own spread, so that odd
+    rows among them do not move it. A size without held-out texts has the floor of the nearest size that has some.
+    """
+    known = sorted(set(langs.tolist()))
+    at = {g: i for i, g in enumerate(known)}
+    keep = np.array([g in at for g in held_langs], bool)
+    if not known or not keep.any():
+        return None
+    share = np.stack([(x[langs == g].astype(np.float64) ** 2).mean(0) for g in known], 1)
+    log_share = np.log(0.98 * share + 0.02 / DIMS)
+    centre = np.array([((x[langs == g] ** 2) @ log_share[:, i]).mean() for g, i in at.items()])
+    out = Evidence(at, log_share.astype(np.float32), centre, np.full(SIZES, -np.inf))
+    found, size = out.of(held[keep], held_langs[keep].tolist()), size_class(held_n[keep])
+    enough = [k for k in range(SIZES) if (size == k).sum() >= 8] or sorted(set(size.tolist()))
+    for k in range(SIZES):
+        own = found[size == min(enough, key=lambda e: (abs(e - k), e))]
+        middle, low = np.quantile(own, [0.5, 0.16])
+        out.floor[k] = middle - SPREADS * max(middle - low, LEAST_SPREAD)
+    return out
+
+
 @dataclass
 class Model:
     """weights: a column for each machine, bias last. family machines: one against the rest, in the order of families."""
@@ -43,6 +100,7 @@ class Model:
     scale: np.ndarray  # a, b of each machine's probability
     families: dict[str, list[str]]
     pairs: list[tuple[str, str]]
+    evidence: Evidence | None = None
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score: the family's probability times that of the language's weakest pair in it."""
@@ -64,8 +122,19 @@ class Model:
         return langs, np.array(scores)
 
 
+def counted(text: str) -> tuple[np.ndarray, int]:
+    """The features and the number of n-grams."""
+    counts = ngram_counts(text, DIMS, letters_only=True)
+    return damped(counts), int(counts.sum())
+
+
 def features(text: str) -> np.ndarray:
-    return damped(ngram_counts(text, DIMS, letters_only=True))
+    return counted(text)[0]
+
+
+def stretches(text: str) -> list[str]:
+    words, place = text.split(), zlib.crc32(text.encode("utf-8", "replace")) // 5
+    return [" ".join(words[(at := place % (len(words) - k)) : at + k]) for k in STRETCHES if k < len(words)]
 
 
 def fit(x: np.ndarray, langs: np.ndarray) -> Model | None:
@@ -106,6 +175,8 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Model | None:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """labelled: text, lang, salt (any column to draw by). Rows with null text or lang count for nothing.
 
+    A fifth of the texts drawn, with stretches of them, sets what evidence of a language is asked for.
+
     Rows of a language are drawn by hash, at a rate that its count sets, so what reaches the driver is bounded by
     ``sample`` and the number of languages: the feature vectors, not the texts.
     """
@@ -120,35 +191,56 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([pack(features(t)) for t in b.column(0).to_pylist()], pa.binary())], ["lang", "x"])
+            rows = []
+            for lang, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist()):
+                held = zlib.crc32(text.encode("utf-8", "replace")) % 5 == 0
+                rows.append((lang, HELD if held else LEARN, *counted(text)))
+                rows += [(lang, STRETCH, *counted(t)) for t in stretches(text) if any(map(str.isalpha, t))] if held else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([pack(r[2]) for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64())], ["lang", "use", "x", "n"])
 
-    rows = sorted((r["lang"], bytes(r["x"])) for r in drawn.mapInArrow(run, "lang string, x binary").collect())
+    got = sorted((r["lang"], bytes(r["x"]), r["use"], r["n"]) for r in drawn.mapInArrow(run, "lang string, use int, x binary, n long").collect())
+    rows = [r for r in got if r[2] != STRETCH]
     order = np.random.default_rng(0).permutation(len(rows))
     x = np.stack([unpack(rows[i][1], DIMS) for i in order]) if rows else np.zeros((0, DIMS), np.float32)
-    return fit(x, np.array([rows[i][0] for i in order], object))
+    langs, use = np.array([rows[i][0] for i in order], object), np.array([rows[i][2] for i in order], int)
+    model = fit(x, langs)
+    held = [r for r in got if r[2] != LEARN and r[3]]
+    if model and held:
+        model.evidence = fit_evidence(x[use == LEARN], langs[use == LEARN], np.stack([unpack(r[1], DIMS) for r in held]), np.array([r[3] for r in held]), np.array([r[0] for r in held], object))
+    return model
 
 
-def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, prefix: str = "", judge: bool = False) -> DataFrame:
     """``docs`` with lang_pred and score; only the text is looked at. Null, or without a letter, or nothing learned: und, 0.
 
+    judge: a text without evidence of the language that the machines give it is und, 0, too.
+
     The new columns take the place of any of their names; ``prefix`` keeps them apart.
     """
     spark, kept = docs.sparkSession, docs.drop(f"{prefix}lang_pred", f"{prefix}score")
     shared = spark.sparkContext.broadcast(model)
     names = kept.columns
-    at = names.index("text")
+    text_at = names.index("text")
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                texts = part.column(at).to_pylist()
+                texts = part.column(text_at).to_pylist()
                 langs, scores = ["und"] * len(texts), np.zeros(len(texts))
                 rows = [i for i, t in enumerate(texts) if t and shared.value and any(map(str.isalpha, t))]
                 if rows:
-                    found, score = shared.value.predict(np.stack([features(texts[i]) for i in rows]))
-                    for i, g, s in zip(rows, found, score):
-                        langs[i], scores[i] = g, s
+                    x, n = zip(*(counted(texts[i]) for i in rows))
+                    found, score = shared.value.predict(np.stack(x))
+                    known = [True] * len(rows)
+                    if judge and (evidence := shared.value.evidence):
+                        known = [g in evidence.langs for g in found]
+                        at = np.flatnonzero(known)
+                        for i, holds in zip(at, evidence.holds(np.stack(x)[at], np.array(n)[at], [found[i] for i in at])):
+                            known[i] = bool(holds)
+                    for i, g, s, held in zip(rows, found, score, known):
+                        if held:
+                            langs[i], scores[i] = g, s
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, f"{prefix}lang_pred", f"{prefix}score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {prefix}lang_pred string, {prefix}score double"

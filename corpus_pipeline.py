@@ -10,15 +10,13 @@ from buildlens.llm import bpe, decontam, jaccard, langid, quality
 from buildlens.llm.common import materialize, read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-#: A language predicted with less than this score counts as none; documents in a known language score above 0.5.
-LEAST_LANGUAGE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the labelled ones teach."""
+    """Keeps documents in a language that the labelled ones teach, by evidence of the language itself and not against the others."""
     model = langid.train(docs.select("text", "lang", F.col("doc_id").alias("salt")))
-    found = langid.predict(docs, model, prefix="_llm_")
-    return found.filter((F.col("_llm_lang_pred") != "und") & (F.col("_llm_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    found = langid.predict(docs, model, prefix="_llm_", judge=True)
+    return found.filter(F.col("_llm_lang_pred") != "und").select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

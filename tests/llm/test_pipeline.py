@@ -1,7 +1,9 @@
+import random
+
 import corpus_pipeline
 from buildlens.llm import bpe, queries
 
-from .helpers import labelled, words
+from .helpers import DE, EN, FR, SCHEMA, labelled, words
 
 
 def test_stages_in_order_and_their_effect(spark, tmp_path):
@@ -30,5 +32,18 @@ def test_stages_in_order_and_their_effect(spark, tmp_path):
     assert got == want and set(got) == kept[3]
 
 
+def test_language_stage_drops_what_no_language_learned_explains(spark, tmp_path):
+    def text(seed, base):  # words of the language's own syllables
+        r = random.Random(seed)
+        return " ".join("".join(r.choices(base, k=r.randint(1, 3))) for _ in range(40))
+
+    docs = spark.createDataFrame([(i, text(i, base), lang, "s", 1, 0.0, 0) for i in range(160) for lang, base in [(("en", EN), ("de", DE), ("fr", FR))[i % 3]]], SCHEMA)
+    junk = {600: "asdf qwer", 601: "zxcvbnm qwrtp sdfgh jklmn bvcxz", 602: "Это текст на русском языке о погоде", 603: "Ala ma kota a kot ma psa i bardzo lubi chodzić po lesie każdego dnia"}
+    clean = {700: "the and that", 701: "und der mit", 702: "les dans pour", 703: "It was."}
+    docs = docs.union(spark.createDataFrame([(i, t, None, "s", 1, 0.0, 0) for i, t in (junk | clean).items()], docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert not kept & set(junk) and kept >= set(clean) | set(range(160))
+
+
 def test_queries_are_named():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
