@@ -400,3 +400,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = materialize(by_set.join(smallest, "component").select("h", "component_id"), "names")
     out = sets.join(named, "h", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def redundant_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys (of id and text, as ``_sets`` gives) whose rows a corpus of one document a group drops, and the other keys
+    that stand on more than one row, of which one row stays.
+
+    Of a component the row of smallest doc_id stays, null after all others, and of these that of smallest key. Rows
+    without words are in no group; such of equal id and text are one document, unless the id is null.
+    """
+    sets = materialize(_sets(docs), "sets")
+    label = set_components(docs, sets)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    by_set = sets.filter("n > 0").groupBy("h").agg(first).join(label, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    best = by_set.groupBy("component").agg(F.min("first").alias("first"))
+    named = materialize(by_set.drop("first").join(best, "component").select("h", F.col("first.key").alias("stays")), "names")
+    others = materialize(sets.filter("n > 0").join(named, "h").filter("key <> stays").select("key").distinct(), "others")
+    many = sets.filter("n > 0 or doc_id is not null").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
+    return others, materialize(many.join(others, "key", "left_anti"), "repeated")

@@ -26,15 +26,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near duplicates, and of rows equal in id and text one.
+    """Keeps one row of each group of near duplicates: that of smallest doc_id, null last, and of these one by id and text.
 
-    Rows without a doc_id are kept: nothing tells which of them a group should keep.
+    Rows go by a key of id and text, so a doc_id on rows of different texts counts once for each text.
     """
-    found = materialize(jaccard.near_duplicates(docs), "near-duplicates")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others, repeated = jaccard.redundant_keys(docs)
+    kept = docs.withColumn("_llm_key", decontam.doc_key()).join(others.withColumnRenamed("key", "_llm_key"), "_llm_key", "left_anti")
+    if repeated.limit(1).count():
+        repeated = repeated.withColumnRenamed("key", "_llm_key")
+        one_each = kept.join(repeated, "_llm_key", "left_semi").dropDuplicates(["_llm_key"])
+        kept = kept.join(repeated, "_llm_key", "left_anti").unionByName(one_each)
+    return kept.select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

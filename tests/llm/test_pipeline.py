@@ -45,5 +45,18 @@ def test_language_stage_drops_what_no_language_learned_explains(spark, tmp_path)
     assert not kept & set(junk) and kept >= set(clean) | set(range(160))
 
 
+def test_one_of_each_goes_by_row_where_ids_repeat_or_are_null(spark, tmp_path):
+    a, b, c, d = (words(seed, 80) for seed in (21, 22, 23, 24))
+    near = lambda w, word: " ".join([*w[:-1], word])
+    rows = [(5, " ".join(a)), (6, near(a, "six")), (None, near(a, "none")), (5, near(b, "five")), (3, " ".join(b)), (None, " ".join(c)), (None, " ".join(c)), (None, near(c, "none"))]
+    rows += [(9, " ".join(d)), (9, near(d, "nine")), (9, " ".join(d)), (None, ""), (None, ""), (8, " "), (8, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.0, 0) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect()]
+    of = lambda w: [i for i, t in got if t.startswith(" ".join(w[:-1]))]
+    assert (5, " ".join(a)) in got and (3, " ".join(b)) in got
+    assert (of(a), of(b), of(c), of(d)) == ([5], [3], [None], [9])
+    assert got.count((None, "")) == 2 and got.count((8, " ")) == 1 and len(got) == 7
+
+
 def test_queries_are_named():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
