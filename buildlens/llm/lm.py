@@ -7,6 +7,7 @@ network's state, times that of the word in its class.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from dataclasses import dataclass, field
@@ -28,8 +29,6 @@ AT_HAND = 131_072
 WINDOW, STREAMS = 20, 64
 #: First the driver learns on a draw of at most about so many documents, for so many steps.
 DRAW, FIRST_STEPS = 600, 500
-#: Then every part of the corpus goes on from there, on one of so many parts of each document, and the weights are averaged.
-EVERY = 8
 #: Tokens and documents that a task scores side by side.
 TOKENS, DOCS = 3_000_000, 8192
 END = b""
@@ -311,10 +310,63 @@ def learn(net: Network, texts: list[tuple[np.ndarray, np.ndarray]], rate: float,
             return seen
 
 
+def learn_whole(net: Network, texts: list[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
+    """Learns once from every token of the texts, each with the state carried from its start: a text lies whole in one
+    stream, the longest first in the shortest, and a window has the streams that are not at their end. Returns the tokens."""
+    ends = [(0, i) for i in range(min(STREAMS, len(texts)))]
+    streams: list[list] = [[] for _ in ends]
+    for t in sorted(texts, key=lambda t: -len(t[0])):
+        n, i = heapq.heappop(ends)
+        streams[i].append(t)
+        heapq.heappush(ends, (n + len(t[0]), i))
+    size = np.array(sorted((n for n, _ in ends), reverse=True), int)
+    streams = [streams[i] for _, i in sorted(ends, reverse=True)]
+    long = int(size[0]) if len(size) else 0
+    x, y, fresh = np.zeros((long, len(size)), np.int64), np.full((long, len(size)), -1, np.int64), np.zeros((long, len(size)), bool)
+    for i, own in enumerate(streams):
+        at = 0
+        for a, b in own:
+            x[at : at + len(a), i], y[at : at + len(a), i], fresh[at, i] = a, b, True
+            at += len(a)
+    h = np.zeros((len(size), STATE), np.float32)
+    for start in range(0, long, WINDOW):
+        part, n = slice(start, start + WINDOW), int((size > start).sum())
+        h = net.train_window(x[part, :n], y[part, :n], fresh[part, :n], h[:n], rate)
+    return int(size.sum())
+
+
+WEIGHTS = "part long, tokens long, weights binary"
+
+
+def _weights(parts, tokens, weights) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(tokens, pa.int64()), pa.array([w.astype("<f4").tobytes() for w in weights], pa.binary())], ["part", "tokens", "weights"])
+
+
+def one_pass(docs: DataFrame, shared, begun) -> DataFrame:
+    """part, tokens (learned from), weights of each partition; shared, begun: broadcast vocabulary and weights to start at."""
+
+    def go_on(batches):
+        look = Lookup(shared.value)
+        own, seen, held, size = start_network(shared.value).unflat(begun.value), 0, [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                ids, _ = look([*utf8_lower_words(t), END])
+                held.append(whole(ids))
+                size += len(ids)
+                if size >= 100_000:
+                    seen += learn_whole(own, held, 0.002)
+                    held, size = [], 0
+        seen += learn_whole(own, held, 0.002)
+        if seen:
+            yield _weights([TaskContext.get().partitionId()], [seen], [own.flat()])
+
+    return docs.select("text").mapInArrow(go_on, WEIGHTS)
+
+
 def train(docs: DataFrame, v: Vocabulary) -> Network:
-    """The driver learns on a bounded draw; then each partition learns on from there, on a stretch of every one of its
-    documents, an eighth of it and a window at least, at places that move from document to document. The weights are
-    averaged by tokens in a tree of groups of 32, so no task and not the driver holds more than so many of them."""
+    """The driver learns on a bounded draw; then each partition learns on from there, on every token of every one of its
+    documents. The weights are averaged by tokens in a tree of groups of 32, so no task and not the driver holds more
+    than so many of them."""
     spark = docs.sparkSession
     n = docs.count()
     net = start_network(v)
@@ -331,40 +383,16 @@ def train(docs: DataFrame, v: Vocabulary) -> Network:
     first = sorted(bytes(r["ids"]) for r in drawn.mapInArrow(encoded, "ids binary").collect())
     order = np.random.default_rng(0).permutation(len(first))
     learn(net, [whole(np.frombuffer(first[i], "<i4").astype(np.int64)) for i in order], 0.01, FIRST_STEPS)
-    begun = spark.sparkContext.broadcast(net.flat())
-
-    def go_on(batches):
-        look = Lookup(shared.value)
-        own, seen, held, size, count = start_network(shared.value).unflat(begun.value), 0, [], 0, 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                words, count = [END, *utf8_lower_words(t), END], count + 1  # the first is the start's input
-                n = min(len(words) - 1, max(WINDOW, -(-len(words) // EVERY)))
-                start = count * 7919 % (len(words) - n)
-                ids, _ = look(words[start : start + n + 1])
-                held.append((ids[:-1], ids[1:]))
-                size += n
-                if size >= 100_000:
-                    seen += learn(own, held, 0.002)
-                    held, size = [], 0
-        seen += learn(own, held, 0.002)
-        if seen:
-            yield batch([TaskContext.get().partitionId()], [seen], [own.flat()])
-
-    def batch(parts, tokens, weights):
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(tokens, pa.int64()), pa.array([w.astype("<f4").tobytes() for w in weights], pa.binary())], ["part", "tokens", "weights"])
-
     def average(t: pa.Table) -> pa.Table:
         total, mean = 0, 0.0
         for k, data in sorted(zip(t["tokens"].to_pylist(), t["weights"].to_pylist())):
             total += k
             mean = mean + (np.frombuffer(data, "<f4") - mean) * (k / total)
-        return pa.Table.from_batches([batch([t["part"][0].as_py() // 32], [total], [mean])])
+        return pa.Table.from_batches([_weights([t["part"][0].as_py() // 32], [total], [mean])])
 
-    kind = "part long, tokens long, weights binary"
-    parts = materialize(docs.select("text").mapInArrow(go_on, kind), "weights")
+    parts = materialize(one_pass(docs, shared, spark.sparkContext.broadcast(net.flat())), "weights")
     while parts.count() > 32:
-        parts = materialize(parts.groupBy(F.expr("part div 32")).applyInArrow(average, kind), "weights")
+        parts = materialize(parts.groupBy(F.expr("part div 32")).applyInArrow(average, WEIGHTS), "weights")
     rows = [(r["tokens"], bytes(r["weights"])) for r in parts.collect()]
     if not rows:
         return net

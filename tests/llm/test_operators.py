@@ -86,6 +86,31 @@ def test_lm_is_a_distribution_and_carries_its_state():
     assert np.allclose(net.log10_likelihood(long), [net.log10_likelihood([long[0]])[0], net.log10_likelihood([long[1]])[0]], atol=1e-4)
 
 
+def test_lm_learns_from_every_token(spark):
+    docs = documents(spark).repartition(3)
+    v = lm.vocabulary(lm.count_tokens(docs))
+    share = spark.sparkContext.broadcast
+    assert sum(r["tokens"] for r in lm.one_pass(docs, share(v), share(lm.start_network(v).flat())).collect()) == v.total
+
+
+def test_lm_carries_the_state_from_the_start_of_each_text(monkeypatch):
+    monkeypatch.setattr(lm, "STREAMS", 3)
+    texts, seen, state = [lm.whole(np.arange(n) + 100 * n) for n in (95, 7, 41, 20, 3)], {}, []
+
+    class Recorder:
+        def train_window(self, x, y, fresh, h, rate):
+            for t, i in zip(*np.nonzero(y.T >= 0)):
+                at = y[i, t]
+                assert fresh[i, t] == (x[i, t] == 0) and (fresh[i, t] or seen[at - 1] == t)
+                seen[at] = t
+            assert not state or (h == state[-1][: len(h)]).all()
+            state.append(h + 1)
+            return h + 1
+
+    assert lm.learn_whole(Recorder(), texts, 0.1) == len(seen) == sum(len(t[0]) for t in texts)
+    assert lm.learn_whole(Recorder(), [], 0.1) == 0
+
+
 def test_lm_gradients_agree_with_differences():
     v = lm.Vocabulary({}, {b"": 0, b"a": 1}, {}, np.ones(lm.RARE), np.ones(lm.RARE), 10, 3)
     net, x, y = lm.start_network(v), np.array([[0], [1], [0]]), np.array([[1], [0], [lm.WORDS]])
