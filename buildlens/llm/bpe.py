@@ -10,19 +10,24 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from buildlens.llm.common import DistinctWords, end_to_end, pieces_of
+
 #: The cut of the word tokenizer before its merges: a fixed value of its public configuration. White space is Unicode's.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-#: White space by the Unicode property, and what str.split() takes for such besides.
-SPACE, CONTROLS = regex.compile(r"\p{White_Space}+"), regex.compile("[\x1c-\x1f]")
+#: A line break is a word here, to tell the chunks of a text apart.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\n")
+#: The same for lower-case ASCII.
+ASCII_WORDS = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9]+|\n")
 #: Words of more symbols than this are spelled one at a time instead of in columns of equal length.
 LONG_WORD = 48
 
@@ -173,14 +178,21 @@ def _spell_long(m: Automaton, word: np.ndarray, tree: dict[int, int]) -> list[in
     return ids[::-1]
 
 
+def _plain_words(text: str) -> list[str]:
+    if text.isascii():
+        return ASCII_WORDS.findall(text.lower())
+    return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+
 class Encoder:
-    """Encodes and decodes whole texts; remembers at most ``keep`` words."""
+    """Encodes and decodes whole texts; remembers at most ``keep`` words, but for those of the slice at hand."""
 
-    def __init__(self, automaton: Automaton, special: dict[str, int], keep: int = 300_000):
+    def __init__(self, automaton: Automaton, special: dict[str, int], keep: int = 500_000):
         self.m, self.special, self.keep = automaton, special, keep
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.known: dict[str, tuple[str, str]] = {}
-        self.decimal = [str(i) for i in range(len(automaton.labels))]
+        self.words: dict[str, tuple[bytes, bytes, int]] = {}
+        self.decimal = [b"%d " % i for i in range(len(automaton.labels))]
+        self.spelled = [f"{t} ".encode() for t in automaton.labels]
         self.tree: dict[int, int] | None = None
 
     def ids_of_words(self, words: list[str]) -> list[list[int]]:
@@ -202,61 +214,59 @@ class Encoder:
                 out[i] = ids
         return out
 
-    def _chunks(self, text: str) -> list[str]:
-        """The text cut at white space, and at special tokens, which stay as they are behind a NUL.
-
-        No word, no composition of characters and no lower-casing reaches across white space. str.split() takes four
-        control characters for white space that the tokenizer does not; with one of these the text is cut by pattern.
-        """
-        parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-        out: list[str] = []
-        for part in parts:
-            if part in self.special:
-                out.append("\0" + part)
-            else:
-                out += SPACE.split(part) if CONTROLS.search(part) else part.split()
-        return out
-
-    @staticmethod
-    def _words(chunk: str) -> list[str]:
-        return WORDS.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
-
-    def _labels(self, ids: list[int]) -> str:
-        return " ".join([self.m.labels[i] for i in ids])
-
-    def learn(self, texts_chunks: list[list[str]]) -> dict[str, tuple[str, str]]:
-        """What is known of each chunk: its ids in decimal, and the labels of its path."""
-        known = self.known
-        new = {c for chunks in texts_chunks for c in chunks if c not in known}
+    def _words_of(self, chunks: list[str]) -> list[str]:
+        """The words of the chunks, a line break after those of each chunk. A special token is a word as it stands."""
+        text = "\n".join(chunks) + "\n"
+        if self.cut is not None and any(s in text for s in self.special):
+            parts = self.cut.split(text)
+            return [w for p in parts for w in ([p] if p in self.special else _plain_words(p))]
+        return _plain_words(text)
+
+    def _spell(self, ids: list[int]) -> tuple[bytes, bytes, int]:
+        return b"".join([self.decimal[i] for i in ids]), b"".join([self.spelled[i] for i in ids]), len(ids)
+
+    def learn(self, words: list[str]) -> list[tuple[bytes, bytes, int]]:
+        """Of each word: its ids in decimal and the labels of its path, a space after each, and how many they are."""
+        known = self.words
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > self.keep:
-            known = self.known = {}
-            new = {c for chunks in texts_chunks for c in chunks}
-        cut = [(c, [] if c[:1] == "\0" and c[1:] in self.special else self._words(c)) for c in new]
-        words = list({w for _, ws in cut for w in ws})
-        ids_of = dict(zip(words, self.ids_of_words(words))) if words else {}
-        decimal, labels = self.decimal, self.m.labels
-        for c, ws in cut:
-            ids = [i for w in ws for i in ids_of[w]] if ws else [self.special[c[1:]]] if c[:1] == "\0" and c[1:] in self.special else []
-            known[c] = (" ".join([decimal[i] for i in ids]), " ".join([labels[i] for i in ids]))
-        return known
+            known, new = {"\n": (b"", b"", 0)}, [w for w in words if w != "\n"]
+            self.words = known
+        special = [w for w in new if w in self.special]
+        known.update((w, self._spell([self.special[w]])) for w in special)
+        if plain := [w for w in new if w not in self.special] if special else new:
+            known.update(zip(plain, map(self._spell, self.ids_of_words(plain))))
+        return [known[w] for w in words]
+
+    def spelled_texts(self, texts: pa.Array) -> Iterator[tuple[memoryview, memoryview, int]]:
+        """Of each text, what ``learn`` gives of a word.
+
+        No word, no composition of characters and no lower-casing reaches across white space, so texts are cut at ASCII
+        white space, each distinct chunk is cut into words once, and each distinct word is spelled once.
+        """
+        self.words.setdefault("\n", (b"", b"", 0))
+        for _, part in pieces_of(texts):
+            chunks = DistinctWords(pc.ascii_split_whitespace(part))
+            words = pa.array(self._words_of(chunks.words.to_pylist()), pa.string()).dictionary_encode()
+            found = self.learn(words.dictionary.to_pylist())
+            codes = words.indices.to_numpy()
+            ends = np.flatnonzero(codes == words.dictionary.index("\n").as_py()) + 1
+            rows = np.r_[0, ends]
+            ids, labels = (end_to_end(pa.array([x[i] for x in found], pa.large_binary()).take(words.indices), rows) for i in (0, 1))
+            total = np.r_[0, np.cumsum(np.array([x[2] for x in found], np.int64)[codes])]
+            yield from zip(chunks.joined(ids), chunks.joined(labels), chunks.sums(total[rows[1:]] - total[rows[:-1]]).tolist())
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        chunks = [self._chunks(t or "") for t in texts]
-        known = self.learn(chunks)
-        return [[int(i) for c in cs for i in known[c][0].split()] for cs in chunks]
+        return [[int(i) for i in bytes(ids).split()] for ids, _, _ in self.spelled_texts(pa.array(texts, pa.string()))]
 
     def decode(self, ids: list[int]) -> str:
         """The labels along the path, joined by a space, as the library does for a tokenizer that has no decoder."""
-        return self._labels([i for i in ids if 0 <= i < len(self.m.labels) and self.m.labels[i]])
+        return " ".join([self.m.labels[i] for i in ids if 0 <= i < len(self.m.labels) and self.m.labels[i]])
 
-    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+    def digests(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
         """Count of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text."""
-        chunks = [self._chunks(t or "") for t in texts]
-        known = self.learn(chunks)
-        for cs in chunks:
-            found = [known[c] for c in cs]
-            ids, text = " ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[1]])
-            yield ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        for ids, labels, n in self.spelled_texts(texts):
+            yield n, hashlib.sha256(ids[:-1]).hexdigest(), hashlib.sha256(labels[:-1]).hexdigest()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -298,9 +308,8 @@ def digest_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         enc = encoder(tokenizer_path)
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                n, ids, text = zip(*enc.digests(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if b.num_rows:
+                n, ids, text = zip(*enc.digests(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,42 @@ def utf8_lower_words(text: str | None) -> list[bytes]:
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         yield from zip(*(c.to_pylist() for c in b.columns))
+
+
+def pieces_of(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of texts by about so many bytes each; a longer text is a slice of its own."""
+    texts = texts.fill_null("")
+    ends = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
+def end_to_end(parts: pa.LargeBinaryArray, rows: np.ndarray) -> pa.LargeBinaryArray:
+    """Joins neighbours: row i is of the parts from rows[i] to rows[i + 1]."""
+    ends = np.frombuffer(parts.buffers()[1], np.int64) if len(parts) else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[rows])), parts.buffers()[2] or pa.py_buffer(b"")])
+
+
+class DistinctWords:
+    """Words of a slice of texts, where each distinct one is looked at once: ``words``, and ``at``, the place of every
+    occurrence's word among them. ``rows`` has the first occurrence of each text, and their number at last."""
+
+    def __init__(self, lists: pa.ListArray):
+        coded = lists.flatten().dictionary_encode()
+        self.words, self.at = coded.dictionary, coded.indices
+        self.rows = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per text, of a number for each distinct word."""
+        total = np.r_[values.dtype.type(0), np.cumsum(values[self.at.to_numpy()])]
+        return total[self.rows[1:]] - total[self.rows[:-1]]
+
+    def joined(self, spelled: pa.LargeBinaryArray) -> list[memoryview]:
+        """Per text, what stands for its words, end to end."""
+        out = end_to_end(spelled.take(self.at), self.rows)
+        data, ends = memoryview(out.buffers()[2]), np.frombuffer(out.buffers()[1], np.int64).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
