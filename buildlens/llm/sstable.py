@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from buildlens.llm.common import new_path, rows_of
+from buildlens.llm.common import DistinctWords, new_path, pieces_of, rows_of
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index place and size, filter place and size, documents, ids, width of an id, magic
@@ -34,7 +35,7 @@ FILTER_BITS, FILTER_HASHES = 10, 7
 #: The cut of a byte-level tokenizer before its merges, as the public vocabulary's readme gives it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A space before other white space: only there do the cuts depend on more than what stands between two spaces.
-RUN = regex.compile(r" [\p{White_Space}\x1c-\x1f]")
+RUN = r" [\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def key_of(doc_id: int | None, copy: int = 0) -> bytes:
@@ -193,10 +194,10 @@ class IdEncoder:
     A byte-level tokenizer merges within pieces only, so the ids of a text are those of its pieces in order. No piece
     reaches across the place before a space, but in runs of white space: a text without such runs is looked up by what
     stands between its spaces. Texts that contain a special token's string go to the library whole. At most ``keep``
-    strings are remembered of each kind.
+    strings are remembered of each kind, but for those of the slice at hand.
     """
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores already
@@ -214,61 +215,62 @@ class IdEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.pieces]
-        if new:
-            if len(self.pieces) + len(new) > self.keep:
-                self.pieces, new = {}, list(pieces)
-            self.pieces.update(zip(new, self._whole(new)))
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        cut = [PIECES.findall(t) for t in texts]
+        every = {p for ps in cut for p in ps}
+        new = [p for p in every if p not in self.pieces]
+        if len(self.pieces) + len(new) > self.keep:
+            self.pieces, new = {}, list(every)
+        self.pieces.update(zip(new, self._whole(new)))
+        return [b"".join([self.pieces[p] for p in ps]) for ps in cut]
 
-    def _learn_chunks(self, chunks: set[str]) -> None:
+    def _learned(self, chunks: list[str]) -> list[bytes]:
         """A chunk stands for a space and what follows it up to the next.
 
         New chunks go to the library in one text, whose ids part at the tokens that begin with a space, one for each
         chunk. Should their number be another, the chunks are cut into pieces instead.
         """
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > self.keep:
-            self.chunks, new = {}, list(chunks)
+        known = self.chunks
+        new = [c for c in chunks if c not in known]
+        if len(known) + len(new) > self.keep:
+            self.chunks = known = {}
+            new = chunks
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             (ids,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
             ids = np.array(ids.ids, self.kind)
             cut = np.flatnonzero(self.starts[ids])
             if "" in part or len(cut) != len(part) or cut[0]:
-                pieces = [PIECES.findall(" " + c) for c in part]
-                self._learn_pieces({p for ps in pieces for p in ps})
-                self.chunks.update(zip(part, [b"".join([self.pieces[p] for p in ps]) for ps in pieces]))
-                continue
-            data, ends = ids.tobytes(), (np.append(cut[1:], len(ids)) * self.width).tolist()
-            start = 0
-            for c, end in zip(part, ends):
-                self.chunks[c] = data[start:end]
-                start = end
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        chunked, pieced = [], []
-        for i, t in enumerate(texts):
-            if not t:
+                known.update(zip(part, self._by_pieces([" " + c for c in part])))
                 continue
-            if any(s in t for s in self.special):
-                out[i] = self._whole([t])[0]
-            elif RUN.search(t):
-                pieced.append((i, PIECES.findall(t)))
-            else:
-                first, *rest = t.split(" ")
-                chunked.append((i, rest))
-                pieced.append((i, PIECES.findall(first)))
-        self._learn_pieces({p for _, ps in pieced for p in ps})
-        known = self.pieces
-        for i, ps in pieced:
-            out[i] = b"".join([known[p] for p in ps])
-        self._learn_chunks({c for _, cs in chunked for c in cs})
-        known = self.chunks
-        for i, cs in chunked:
-            out[i] += b"".join([known[c] for c in cs])
-        return out
+            data, ends = ids.tobytes(), (np.append(cut, len(ids)) * self.width).tolist()
+            known.update(zip(part, [data[a:b] for a, b in zip(ends, ends[1:])]))
+        return [known[c] for c in chunks]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, as bytes; null counts as empty."""
+        for _, part in pieces_of(texts):
+            out: list[bytes] = [b""] * len(part)
+            odd = pc.match_substring_regex(part, RUN)
+            special = np.zeros(len(part), bool)
+            for s in self.special:
+                special |= pc.match_substring(part, s).to_numpy(zero_copy_only=False)
+            odd = odd.to_numpy(zero_copy_only=False)
+            for rows, ids in ((special, self._whole), (odd & ~special, self._by_pieces)):
+                at = np.flatnonzero(rows)
+                for i, found in zip(at.tolist(), ids(part.take(pa.array(at)).to_pylist()) if len(at) else ()):
+                    out[i] = found
+            plain = np.flatnonzero(~(odd | special))
+            if len(plain):
+                cut = pc.split_pattern(part.take(pa.array(plain)), " ", max_splits=1)  # the head has no space before it
+                heads = self._by_pieces(pc.list_element(cut, 0).to_pylist())
+                rest = pc.list_slice(cut, 1).combine_chunks() if isinstance(cut, pa.ChunkedArray) else pc.list_slice(cut, 1)
+                some = pc.list_value_length(rest).to_numpy(zero_copy_only=False) > 0
+                words = DistinctWords(pc.split_pattern(rest.flatten(), " "))
+                found = iter(words.joined(pa.array(self._learned(words.words.to_pylist()), pa.large_binary())))
+                for i, head, more in zip(plain.tolist(), heads, some.tolist()):
+                    out[i] = head + next(found) if more else head
+            yield from out
 
 
 @lru_cache(2)
@@ -300,17 +302,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
                 done.append((name, out.docs, out.ids))
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for k in range(0, len(ids), 256):
-                texts = batch.column(1).slice(k, 256).to_pylist()
-                for doc_id, value in zip(ids[k : k + 256], enc.encode(texts)):
-                    copy = copy + 1 if doc_id == last else 0
-                    if out is None or out.place >= shard_bytes and not copy:
-                        close()
-                        name = f"{part:08d}-{len(done):06d}-{uuid.uuid4().hex}.sst"
-                        out = Writer(fs.open_output_stream(f"{root}/{name}"), enc.width)
-                    out.add(key_of(doc_id, copy), value + end)
-                    last = doc_id
+            for doc_id, value in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+                copy = copy + 1 if doc_id == last else 0
+                if out is None or out.place >= shard_bytes and not copy:
+                    close()
+                    name = f"{part:08d}-{len(done):06d}-{uuid.uuid4().hex}.sst"
+                    out = Writer(fs.open_output_stream(f"{root}/{name}"), enc.width)
+                out.add(key_of(doc_id, copy), value + end)
+                last = doc_id
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["shard", "docs", "ids"])
 
