@@ -141,27 +141,62 @@ def submission_key(key: Column, tree: Column) -> Column:
     return F.sha2(F.concat_ws(":", key, tree), 256)
 
 
-#: What each event's payload must have, and the values of its closed fields.
-PAYLOADS = {
-    "REPRODUCE": (["arch_norm", "outcome", "evidence_local", "evidence_sha256", "synthetic_zero_error", "gbs_conf_sha256", "ci_evidence_sha256_used", "build_log", "basis"], {"outcome": ["matched", "different_failure", "baseline_pass"]}),
-    "BUILD_INVOCATION": (["round_index", "arch_norm"], {}),
-    "ORPHAN_PASS": (["round_index", "arch_norm", "verification_id", "worktree_path", "reason", "detected_at"], {"reason": ["link_failed", "hash_mismatch", "worktree_damaged", "ambiguous", "no_free_invocation_slot"]}),
-    "POLICY": (["round_index", "verdict", "hits", "fix_strategy_initial", "fix_strategy_final", "edit_source_kind"], {"edit_source_kind": ["t1_cherry_pick", "generated", "suppress"]}),
-    "PUSH": (["ref", "ref_class", "pushed_sha", "result", "at"], {"ref_class": ["sandbox", "review"], "result": ["ok", "failed"]}),
-    "KB": (["kb_id", "dedupe_hit", "status", "at"], {"status": ["NEW"]}),
-    "REVIEW": (["outcome", "degraded", "at"], {"outcome": ["pushed", "manual", "ineligible"]}),
+ROUND, ARCH, TEXT, FLAG, COUNT, LIST, OBJECT, ANY = "round", "arch", "text", "flag", "count", "list", "object", "any"
+#: The keys that each event's payload must have, by what they hold, and the values of its closed fields.
+PAYLOADS: dict[str, tuple[dict[str, str], dict[str, list[str]]]] = {
+    "REPRODUCE": ({"arch_norm": ARCH, "outcome": TEXT, "evidence_local": TEXT, "evidence_sha256": TEXT, "synthetic_zero_error": FLAG, "gbs_conf_sha256": TEXT, "ci_evidence_sha256_used": TEXT, "build_log": TEXT, "basis": ANY}, {"outcome": ["matched", "different_failure", "baseline_pass"]}),
+    "BUILD_INVOCATION": ({"round_index": ROUND, "arch_norm": ARCH}, {}),
+    "ORPHAN_PASS": ({"round_index": ROUND, "arch_norm": ARCH, "verification_id": TEXT, "worktree_path": TEXT, "reason": TEXT, "detected_at": TEXT}, {"reason": ["link_failed", "hash_mismatch", "worktree_damaged", "ambiguous", "no_free_invocation_slot"]}),
+    "POLICY": ({"round_index": ROUND, "verdict": ANY, "hits": LIST, "fix_strategy_initial": ANY, "fix_strategy_final": ANY, "edit_source_kind": TEXT}, {"edit_source_kind": ["t1_cherry_pick", "generated", "suppress"]}),
+    "DERIVE": ({"message_brief": TEXT, "author_identity": TEXT, "committer_identity": TEXT, "author_date": TEXT, "committer_date": TEXT, "derived_commit_sha": TEXT, "verified_tree_sha": TEXT}, {}),
+    "PUSH": ({"ref": TEXT, "ref_class": TEXT, "pushed_sha": TEXT, "result": TEXT, "url": ANY, "at": TEXT}, {"ref_class": ["sandbox", "review"], "result": ["ok", "failed"]}),
+    "KB": ({"kb_id": TEXT, "dedupe_hit": FLAG, "status": TEXT, "at": TEXT}, {"status": ["NEW"]}),
+    "REVIEW": ({"outcome": TEXT, "review_url": ANY, "degraded": FLAG, "qb_event_id": ANY, "at": TEXT}, {"outcome": ["pushed", "manual", "ineligible"]}),
+    "CONVERGENCE": ({"round_index": ROUND, "arch_norm": ARCH, "invocation_event_id": ANY, "result": TEXT, "verdict": TEXT, "reason": TEXT, "evidence_path": ANY, "evidence_sha256": ANY, "verification_id": ANY, "actual_changed_paths": LIST, "previous_basis": TEXT, "at": TEXT}, {"verdict": ["advance", "stalled", "regressed", "denied", "n_a"], "previous_basis": ["reproduce", "prev_build", "synthetic_zero", "none"]}),
+    "SECONDARY_TARGET_ADOPTED": ({"arch_norm": ARCH, "adopted_fingerprint": OBJECT, "baseline_error_count": COUNT, "current_error_count": COUNT, "baseline_truncated": FLAG, "current_truncated": FLAG, "expected_reproduce_event_id": COUNT, "at": TEXT}, {}),
+    "WORKSPACE_CLEANUP": ({"paths": LIST, "reason": TEXT}, {}),
+    "WORKSPACE_RELEASE": ({"paths": LIST, "reason": TEXT}, {}),
 }
+#: Reasons of convergence events that are no build's outcome.
+NO_OUTCOME = ["orphan_invocation", "rebaselined", "apply_failed", "analyzer_failed", "toolchain_failed", "previous_evidence_missing"]
 
 
 def payload_violations(gates: DataFrame) -> DataFrame:
-    """event_id, violation: missing keys and values outside closed fields, by event type, from the payload's JSON."""
+    """event_id, violation: missing keys, values of another kind or outside closed fields, and fields that contradict each other,
+    by event type, from the payload's JSON (event_id, event_type, payload). A payload that is no JSON object lacks every key."""
     get = lambda key: F.get_json_object("payload", f"$.{key}")
+    kind_of = lambda key: F.schema_of_variant(F.try_variant_get(F.try_parse_json("payload"), f"$.{key}", "variant"))
+    keys = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
+    right = {
+        ROUND: lambda k: (kind_of(k) == "BIGINT") & (get(k).try_cast("long") > 0),
+        ARCH: lambda k: get(k).isin("aarch64", "armv7l", "x86_64"),
+        TEXT: lambda k: (kind_of(k) == "STRING") & (get(k) != ""),
+        FLAG: lambda k: kind_of(k) == "BOOLEAN",
+        COUNT: lambda k: kind_of(k) == "BIGINT",
+        LIST: lambda k: kind_of(k).startswith("ARRAY<"),
+        OBJECT: lambda k: kind_of(k).startswith("OBJECT<"),
+        ANY: lambda k: F.lit(True),
+    }
     checks = []
-    for kind, (keys, closed) in PAYLOADS.items():
+    for kind, (needed, closed) in PAYLOADS.items():
         own = F.col("event_type") == kind
-        checks += [F.when(own & get(k).isNull(), f"missing:{k}") for k in keys]
+        for k, holds in needed.items():
+            there = F.array_contains(keys, k)
+            checks += [F.when(own & ~there, f"missing:{k}"), F.when(own & there & ~F.coalesce(right[holds](k), F.lit(False)), f"kind:{k}")]
         checks += [F.when(own & get(k).isNotNull() & ~get(k).isin(*v), f"value:{k}") for k, v in closed.items()]
-    checks.append(F.when(~F.col("event_type").isin(*PAYLOADS), "unknown_type"))
-    checks.append(F.when((F.col("event_type") == "REPRODUCE") & (get("outcome") == "baseline_pass") & (get("synthetic_zero_error") != "true"), "baseline_pass_needs_zero_error"))
-    checks.append(F.when((F.col("event_type") == "REVIEW") & (get("outcome") == "manual") & (get("degraded") != "true"), "manual_needs_degraded"))
-    return gates.select("event_id", F.explode(F.array_compact(F.array(*checks))).alias("violation"))
+    of = lambda kind, wrong, name: F.when((F.col("event_type") == kind) & F.coalesce(wrong, F.lit(False)), name)
+    result, verdict, reason, invocation = get("result"), get("verdict"), get("reason"), get("invocation_event_id")
+    evidence, verified = get("evidence_path").isNotNull() | get("evidence_sha256").isNotNull(), get("verification_id").isNotNull()
+    checks += [
+        F.when(~F.col("event_type").isin(*PAYLOADS), "unknown_type"),
+        of("REPRODUCE", (get("outcome") == "baseline_pass") & (get("synthetic_zero_error") != "true"), "baseline_pass_needs_zero_error"),
+        of("REVIEW", (get("outcome") == "manual") & (get("degraded") != "true"), "manual_needs_degraded"),
+        of("SECONDARY_TARGET_ADOPTED", (get("baseline_truncated") != "false") | (get("current_truncated") != "false"), "truncated_evidence"),
+        of("CONVERGENCE", (reason == "rebaselined") != invocation.isNull(), "invocation_by_reason"),
+        of("CONVERGENCE", reason.isin(*NO_OUTCOME) & ((result != "n_a") | (verdict != "n_a")), "no_outcome_needs_n_a"),
+        of("CONVERGENCE", ~reason.isin(*NO_OUTCOME) & ~result.isin("PASS", "FAIL"), "outcome_needs_result"),
+        of("CONVERGENCE", (result == "PASS") & ((verdict != "n_a") | ~verified | evidence), "pass_fields"),
+        of("CONVERGENCE", (result == "FAIL") & ((verdict == "n_a") | verified | get("evidence_path").isNull() | get("evidence_sha256").isNull()), "fail_fields"),
+        of("CONVERGENCE", (result == "n_a") & (evidence | verified), "n_a_fields"),
+    ]
+    return gates.select("event_id", F.explode(F.array_distinct(F.array_compact(F.array(*checks)))).alias("violation"))

@@ -159,7 +159,7 @@ QUERIES = {
     "source_window_merge": lambda s, d: patch.source_windows(places(s, d)).withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",")),
     "suggestions": lambda s, d: patch.suggestions(events(s, d)).groupBy("suggester", "title").agg(F.count(F.lit(1)).alias("n")),
     "redact": lambda s, d: docs(s, d).select("doc_id", T.redacted(F.concat(F.lit("/home/u"), F.col("doc_id").cast("string"), F.lit("/w "), "text")).alias("text")),
-    "message_normalise": lambda s, d: docs(s, d).select("doc_id", T.normal_message(F.concat(F.lit("a.c:12:3: 7 x  "), F.substring("text", 1, 200))).alias("message")),
+    "message_normalise": lambda s, d: docs(s, d).select("doc_id", T.normal_message(F.concat(F.lit("a.c:12:3: 7 x  "), "text")).alias("message")),
     "slug": lambda s, d: t(s, d, "conversations").select("conv_id", "turn", T.slug(F.col("text")).alias("slug")),
     "page_links": lambda s, d: triage.links(t(s, d, "pages"), "page_id", "html"),
     "url_parts": lambda s, d: t(s, d, "pages").select("page_id", *[c.alias(n) for n, c in T.url_parts(F.col("url")).items()]),
@@ -228,7 +228,7 @@ ORACLES = {
     "suggestions": chain("ev", r"""SELECT CASE kind WHEN 'depsolve' THEN 'depsolve' WHEN 'linker_missing' THEN 'linker_missing' WHEN 'linker_undef' THEN 'linker_undef' WHEN 'patch' THEN 'patch_failed' WHEN 'spec_script' THEN 'spec_script' WHEN 'compiler' THEN 'compile_error' WHEN 'werror' THEN 'compile_error' ELSE 'fallback' END AS suggester,
       CASE kind WHEN 'depsolve' THEN 'Add BuildRequires: ' || regexp_extract(message, '(?i)nothing provides (.+?)(?: needed by|$)', 1) WHEN 'linker_missing' THEN 'Add BuildRequires: lib' || regexp_replace(library, '^lib', '') || '-devel' WHEN 'linker_undef' THEN 'Resolve symbol ' || symbol ELSE 'Look at ' || kind END AS title, count(*) AS n FROM ev GROUP BY ALL"""),
     "redact": r"SELECT doc_id, regexp_replace('/home/u' || doc_id || '/w ' || text, '/home/[^/\s]+/', '<USER>/', 'g') AS text FROM documents",
-    "message_normalise": f"SELECT doc_id, {NORMAL('x')} AS message FROM (SELECT doc_id, 'a.c:12:3: 7 x  ' || substring(text, 1, 200) AS x FROM documents)",
+    "message_normalise": f"SELECT doc_id, {NORMAL('x')} AS message FROM (SELECT doc_id, 'a.c:12:3: 7 x  ' || text AS x FROM documents)",
     "slug": "SELECT conv_id, turn, regexp_replace(substring(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', '') AS slug FROM conversations",
     "page_links": "SELECT page_id, (i - 1)::INTEGER AS place, replace(h[i], '&amp;', '&') AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1) AS h FROM pages))",
     "url_parts": "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages",
