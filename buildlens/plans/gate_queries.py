@@ -10,7 +10,8 @@ from buildlens.operators import gates as G
 from buildlens.operators import state
 from buildlens.plans.sql import q
 
-E = F.col("event_id")
+def event():
+    return F.col("event_id")
 
 
 def events(s, d):
@@ -81,31 +82,31 @@ def payload(kind: str, changes: dict) -> str:
 
 
 def payloads(s, d):
-    at = (E % len(BROKEN)).cast("int")
+    at = (event() % len(BROKEN)).cast("int")
     return events(s, d).select("event_id", F.array(*[F.lit(k) for k, _, _ in BROKEN])[at].alias("event_type"), F.array(*[F.lit(payload(k, c)) for k, c, _ in BROKEN])[at].alias("payload"))
 
 
 def fail_facts(s, d):
     return events(s, d).select(
         "event_id",
-        pick(STAGES, E).alias("stage"),
-        (E % 3 != 0).alias("has_evidence"),
-        (E % 13 != 0).alias("evidence_bound"),
-        (E % 17 != 0).alias("previous_bound"),
-        pick(["auto", "needs_confirmation", "denied", "other"], F.floor(E / 2)).alias("repair_allowed"),
-        pick([None, "too risky"], E).alias("error"),
-        pick(["advance", "stalled", "regressed"], F.floor(E / 3)).alias("verdict"),
+        pick(STAGES, event()).alias("stage"),
+        (event() % 3 != 0).alias("has_evidence"),
+        (event() % 13 != 0).alias("evidence_bound"),
+        (event() % 17 != 0).alias("previous_bound"),
+        pick(["auto", "needs_confirmation", "denied", "other"], F.floor(event() / 2)).alias("repair_allowed"),
+        pick([None, "too risky"], event()).alias("error"),
+        pick(["advance", "stalled", "regressed"], F.floor(event() / 3)).alias("verdict"),
         F.lit("by_convergence").alias("reason"),
-        (E % 5 == 0).alias("adoptable"),
+        (event() % 5 == 0).alias("adoptable"),
     )
 
 
 def verify_facts(s, d):
-    return events(s, d).select("event_id", *[(E % n != 0).alias(c) for c, n in (("edit_ok", 11),)], *[(E % n == 0).alias(c) for c, n in (("no_changes", 13), ("apply_error", 17), ("whitespace_error", 19), ("timed_out", 23), ("mutated", 29))], F.when(E % 7 == 0, F.array(F.lit("a.c"), F.lit("z.c"))).when(E % 7 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("a.c"))).alias("changed"), F.array(F.lit("a.c"), F.lit("b.c")).alias("allowed"), (E % 3).cast("int").alias("exit_code"))
+    return events(s, d).select("event_id", *[(event() % n != 0).alias(c) for c, n in (("edit_ok", 11),)], *[(event() % n == 0).alias(c) for c, n in (("no_changes", 13), ("apply_error", 17), ("whitespace_error", 19), ("timed_out", 23), ("mutated", 29))], F.when(event() % 7 == 0, F.array(F.lit("a.c"), F.lit("z.c"))).when(event() % 7 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("a.c"))).alias("changed"), F.array(F.lit("a.c"), F.lit("b.c")).alias("allowed"), (event() % 3).cast("int").alias("exit_code"))
 
 
 def relink_facts(s, d):
-    return events(s, d).select("event_id", *[(E % n != 0).alias(c) for c, n in (("worktree", 7), ("identity_equal", 11), ("marker_equal", 13), ("tree_equal", 17), ("clean", 5))], F.when(E % 19 == 0, F.lit(None)).when(E % 19 == 1, F.array(F.lit("/etc/a"))).when(E % 19 == 2, F.array(F.lit("a/../b"))).otherwise(F.array(F.lit("a.c"))).alias("paths"))
+    return events(s, d).select("event_id", *[(event() % n != 0).alias(c) for c, n in (("worktree", 7), ("identity_equal", 11), ("marker_equal", 13), ("tree_equal", 17), ("clean", 5))], F.when(event() % 19 == 0, F.lit(None)).when(event() % 19 == 1, F.array(F.lit("/etc/a"))).when(event() % 19 == 2, F.array(F.lit("a/../b"))).otherwise(F.array(F.lit("a.c"))).alias("paths"))
 
 
 def new_units(s, d):
@@ -116,7 +117,7 @@ def new_units(s, d):
 
 
 def latest(s, d):
-    return events(s, d).groupBy("unit").agg(F.max("event_id").alias("event_id")).select("unit", pick([G.HELD, G.REJECTED, "READY"], E).alias("status"), pick(["previous_evidence_missing", "arch", None], F.floor(E / 3)).alias("reason"), pick(["aarch64", None], F.floor(E / 9)).alias("arch"))
+    return events(s, d).groupBy("unit").agg(F.max("event_id").alias("event_id")).select("unit", pick([G.HELD, G.REJECTED, "READY"], event()).alias("status"), pick(["previous_evidence_missing", "arch", None], F.floor(event() / 3)).alias("reason"), pick(["aarch64", None], F.floor(event() / 9)).alias("arch"))
 
 
 LATEST = f"latest AS (SELECT unit, {sql_pick([G.HELD, G.REJECTED, 'READY'], 'e')} AS status, {sql_pick(['previous_evidence_missing', 'arch', None], 'e // 3')} AS reason, {sql_pick(['aarch64', None], 'e // 9')} AS arch FROM (SELECT user_id AS unit, max(event_id) AS e FROM events GROUP BY 1))"
@@ -154,8 +155,8 @@ def adoption_inputs(s, d):
 QUERIES = {
     "payload_violations": lambda s, d: state.payload_violations(payloads(s, d)),
     "gate_rows": lambda s, d: G.gate_rows(payloads(s, d).filter("event_type = 'BUILD_INVOCATION'")),
-    "append_guard": lambda s, d: events(s, d).select(pick(KINDS, E).alias("event_type"), pick(["PASS", "FAIL", None], E).alias("result")).withColumn("refused", G.append_refused(F.col("event_type"), F.col("result"))).groupBy("event_type", "refused").agg(F.count(F.lit(1)).alias("n")),
-    "status_guard": lambda s, d: events(s, d).select("event_id", G.status_refused(pick(STATUSES, E), pick(REASONS, E), pick(ARCHES, E)).alias("refused")),
+    "append_guard": lambda s, d: events(s, d).select(pick(KINDS, event()).alias("event_type"), pick(["PASS", "FAIL", None], event()).alias("result")).withColumn("refused", G.append_refused(F.col("event_type"), F.col("result"))).groupBy("event_type", "refused").agg(F.count(F.lit(1)).alias("n")),
+    "status_guard": lambda s, d: events(s, d).select("event_id", G.status_refused(pick(STATUSES, event()), pick(REASONS, event()), pick(ARCHES, event())).alias("refused")),
     "rebaseline": lambda s, d: G.rebaseline_authorized(latest(s, d), F.lit("aarch64")),
     "unit_violations": lambda s, d: G.unit_violations(new_units(s, d)),
     "rejected_units": lambda s, d: G.rejected_units(events(s, d).select("unit").distinct().withColumn("reason", F.when(F.col("unit") % 9 == 0, "").otherwise("arch")), latest(s, d).filter("unit % 4 <> 0")),
