@@ -49,10 +49,10 @@ WORDY = r"[A-Za-z0-9_./+-]+"
 
 
 def token_estimate(text: Column) -> Column:
-    """Tokens by rule of thumb: CJK by 1.5, words by 0.75, other visible characters by 3; at least one."""
+    """Tokens by rule of thumb: CJK by 1.5, words by 0.75, all other characters by 3; at least one."""
     cjk = F.regexp_count(text, F.lit(CJK))
     words = F.regexp_count(text, F.lit(WORDY))
-    other = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, CJK, ""), WORDY, ""), r"\s", ""))
+    other = F.length(F.regexp_replace(F.regexp_replace(text, CJK, ""), WORDY, ""))
     return F.greatest(F.lit(1), F.ceil(cjk / F.lit(1.5) + words / F.lit(0.75) + other / F.lit(3.0)).cast("int"))
 
 

@@ -33,25 +33,26 @@ def suffixes(path: Column) -> Column:
 def source_tree(files: DataFrame) -> DataFrame:
     """Files (root, path) outside the directories that are never searched."""
     dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    return files.filter(~F.exists(dirs, lambda p: p.isin(*P.SKIPPED_DIRS) | p.startswith("GBS-ROOT")))
+    return files.filter(~F.exists(dirs, lambda p: p.isin(*P.SKIPPED_DIRS) | p.startswith("GBS-ROOT") | p.startswith(".gbs_")))
 
 
 def mapped_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """file, mapped, matches: the tree's files for each path (file): the longest end of an absolute path that any file has, the
-    whole of a relative one. mapped is null unless just one file fits. Ends meet ends by equality, so nothing is searched."""
-    wanted = paths.select("file").distinct().withColumn("asked", F.regexp_replace("file", "^/+", ""))
+    """root, file, mapped, matches: the files of its own tree for each path (root, file): the longest end of an absolute path that
+    any file of that root has, the whole of a relative one. mapped is null unless just one file fits. Ends meet ends by
+    equality, so nothing is searched."""
+    wanted = paths.select("root", "file").distinct().withColumn("asked", F.regexp_replace("file", "^/+", ""))
     absolute = F.col("file").startswith("/")
-    wanted = wanted.select("file", F.posexplode(F.when(absolute, suffixes(F.col("asked"))).otherwise(F.array("asked"))).alias("cut", "suffix"))
-    have = source_tree(files).select("path", F.explode(suffixes(F.col("path"))).alias("suffix"))
-    hit = wanted.join(have, "suffix").groupBy("file", "cut").agg(F.count(F.lit(1)).alias("matches"), F.min("path").alias("path"))
-    longest = hit.groupBy("file").agg(F.min_by(F.struct("matches", "path"), "cut").alias("best"))
-    return longest.select("file", F.col("best.matches").alias("matches"), F.when(F.col("best.matches") == 1, F.col("best.path")).alias("mapped"))
+    wanted = wanted.select("root", "file", F.posexplode(F.when(absolute, suffixes(F.col("asked"))).otherwise(F.array("asked"))).alias("cut", "suffix"))
+    have = source_tree(files).select("root", "path", F.explode(suffixes(F.col("path"))).alias("suffix"))
+    hit = wanted.join(have, ["root", "suffix"]).groupBy("root", "file", "cut").agg(F.count(F.lit(1)).alias("matches"), F.min("path").alias("path"))
+    longest = hit.groupBy("root", "file").agg(F.min_by(F.struct("matches", "path"), "cut").alias("best"))
+    return longest.select("root", "file", F.col("best.matches").alias("matches"), F.when(F.col("best.matches") == 1, F.col("best.path")).alias("mapped"))
 
 
 def owned(df: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
-    """normalized_file, reachability and ownership of each file; without a tree nothing is mapped."""
+    """normalized_file, reachability and ownership of each file (of its root, if ``mapped`` is given); without a tree nothing is mapped."""
     df = df.withColumn("raw_path", normal_path(F.col("file")))
-    df = df.join(mapped.select("file", "mapped"), "file", "left") if mapped is not None else df.withColumn("mapped", F.lit(None).cast("string"))
+    df = df.join(mapped.select("root", "file", "mapped"), ["root", "file"], "left") if mapped is not None else df.withColumn("mapped", F.lit(None).cast("string"))
     system = F.exists(F.array(*map(F.lit, P.SYSTEM_PREFIXES)), lambda p: (F.col("raw_path") == p) | F.col("raw_path").startswith(F.concat(p, F.lit("/"))))
     suspect = lambda c: F.arrays_overlap(F.split(F.lower(c), "/"), F.array(*map(F.lit, P.SUSPECT_PARTS)))
     missing = F.lit("source_root_unavailable" if mapped is None else "source_mapping_unavailable")

@@ -12,7 +12,7 @@ from buildlens.functions import patterns as P
 def warning_option(kind: Column, message: Column) -> Column:
     """The first ``-W`` token in any brackets of a source diagnostic's message that is not -Werror itself."""
     blocks = F.regexp_extract_all(message, F.lit(r"\[([^\]]+)\]"), F.lit(1))
-    tokens = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(b, ","), F.trim)))
+    tokens = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(b, ","), lambda t: F.trim(t))))
     return F.when(kind.isin(*P.SOURCE_KINDS), F.try_element_at(F.filter(tokens, lambda t: t.startswith("-W") & (t != "-Werror")), F.lit(1)))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from buildlens.functions.text import redacted, token_estimate
 
@@ -37,18 +38,81 @@ def budget_pool(df: DataFrame, used: dict[str, Column], ask: Column, total: int
     return df.withColumn("conservation_total", F.lit(sum(HARD.values()) + pending) + sum(taken.values(), F.lit(0)) + F.col("left") + F.col("granted"))
 
 
-def packets(top: DataFrame, verdicts: DataFrame, quick: DataFrame, cascades: DataFrame) -> DataFrame:
-    """One packet for each log: a quick answer if there is one, else the first cause's verdict; JSON of causes within the budget."""
+def causes(top: DataFrame) -> DataFrame:
+    """log_id, causes: the first causes of each log as JSON, redacted."""
     cause = F.struct("rank", F.col("id").alias("event_id"), "kind", "semantic_class", F.round("score", 4).alias("confidence"), "band", redacted(F.col("summary")).alias("summary"))
-    per_log = top.groupBy("log_id").agg(F.array_sort(F.collect_list(cause)).alias("causes"))
-    first = verdicts.join(top.filter("rank = 1").select("log_id", "id"), ["log_id", "id"]).select("log_id", F.col("rule").alias("full_rule"), F.col("verdict").alias("full_verdict"), "failure_reason")
-    df = per_log.join(first, "log_id", "left").join(quick.select("log_id", F.col("rule").alias("quick_rule"), F.col("direct_answer").alias("quick_answer")), "log_id", "left").join(cascades, "log_id", "left")
+    return top.groupBy("log_id").agg(F.to_json(F.array_sort(F.collect_list(cause))).alias("causes"))
+
+
+def excerpts(windows: DataFrame) -> DataFrame:
+    """log_id, excerpt: the lines about the first cause (log_id, line_no, text), end to end."""
+    return windows.groupBy("log_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("excerpt"))
+
+
+def prompts(primary: Column, cause: Column, phase: Column, paths: Column) -> Column:
+    """What a model is asked: primary error, first cause and paths in compact JSON. The wording is this library's own."""
+    lines = [F.lit("Find the root cause of the failed build in this packet and propose the smallest repair."), F.concat(F.lit("Failed phase: "), F.coalesce(phase, F.lit("none"))), F.concat(F.lit("Primary error: "), primary), F.concat(F.lit("Top candidate: "), cause), F.concat(F.lit("Evidence paths: "), F.to_json(F.slice(paths, 1, 5)))]
+    return redacted(F.concat_ws("\n", *lines))
+
+
+def packets(top: DataFrame, verdicts: DataFrame, quick: DataFrame, cascades: DataFrame, evidence: DataFrame, windows: DataFrame, commands: DataFrame) -> DataFrame:
+    """One packet for each log.
+
+    A quick answer if there is one, else the first cause's verdict. Evidence of its collector; without a collector the lines
+    about the cause, cut to 600 tokens, take its place. degraded_reasons in order: that, then the collector's warnings. The
+    prompt is for packets without an answer. evidence: as ``evidence.collected`` gives; windows: log_id, line_no, text;
+    commands: log_id, id, argv_short.
+    """
+    first = top.filter("rank = 1").select("log_id", "id", "kind", "semantic_class", "score", "severity", "message", "phase", "failed_phase", "file", "line", "command_id")
+    full = verdicts.select("log_id", "id", F.col("rule").alias("full_rule"), F.col("verdict").alias("full_verdict"), "failure_reason", F.col("direct_answer").alias("full_answer"))
+    fast_rows = quick.select("log_id", F.col("rule").alias("quick_rule"), F.col("direct_answer").alias("quick_answer"))
+    held = evidence.select("log_id", "id", "collector", "level", "contains", "warnings")
+    argv = commands.select("log_id", F.col("id").alias("command_id"), F.col("argv_short").alias("command"))
+    df = first.join(causes(top), "log_id").join(full, ["log_id", "id"], "left").join(fast_rows, "log_id", "left").join(cascades.withColumnRenamed("summary", "cascades"), "log_id", "left")
+    df = df.join(held, ["log_id", "id"], "left").join(argv, ["log_id", "command_id"], "left").join(excerpts(windows), "log_id", "left")
     fast = F.col("quick_rule").isNotNull()
     tier = F.when(fast, "tier1").when(F.col("full_verdict") == "direct_tier1", "tier1").when(F.col("full_verdict") == "direct_tier2", "tier2")
-    cascade = F.when(fast, F.lit("")).otherwise(F.coalesce("summary", F.lit("")))
-    df = df.select("log_id", F.when(tier.isNotNull(), "direct_answer").otherwise("needs_llm").alias("verdict"), F.when(fast, "fast_path").otherwise("full_path").alias("via"), tier.alias("matched_tier"), F.coalesce("quick_rule", "full_rule").alias("matched_pattern"), F.when(tier.isNull(), F.col("failure_reason")).alias("failure_reason"), cascade.alias("cascade_summary"), F.to_json("causes").alias("causes"))
-    used = {"cascade_summary": token_estimate(F.col("cascade_summary")), "top_k_text_summaries": token_estimate(F.col("causes"))}
-    return budget_pool(df, used, F.lit(600))
+    fallback = ~fast & F.col("collector").isNull()
+    primary = F.to_json(F.struct(F.col("id").alias("id"), "kind", "severity", "message", "phase", "file", "line"))
+    cause = F.to_json(F.struct(F.lit(1).alias("rank"), F.col("id").alias("event_id"), "kind", "semantic_class", F.round("score", 4).alias("confidence")))
+    df = df.select(
+        "log_id",
+        "failed_phase",
+        F.when(tier.isNotNull(), "direct_answer").otherwise("needs_llm").alias("verdict"),
+        F.when(fast, "fast_path").otherwise("full_path").alias("via"),
+        tier.alias("matched_tier"),
+        F.coalesce("quick_rule", F.when(tier.isNotNull(), F.col("full_rule"))).alias("matched_pattern"),
+        F.when(tier.isNull(), F.col("failure_reason")).alias("failure_reason"),
+        F.when(fast, F.col("quick_answer")).when(tier.isNotNull(), F.col("full_answer")).alias("direct_answer"),
+        F.when(fast, F.lit("")).otherwise(F.coalesce("cascades", F.lit(""))).alias("cascade_summary"),
+        "causes",
+        primary.alias("primary_error"),
+        F.when(~fast, F.col("command")).alias("command"),
+        F.when(~fast, F.col("collector")).alias("collector"),
+        F.when(~fast, F.array_join(F.array_sort("contains"), ",")).alias("contains"),
+        F.when(fallback, F.coalesce("excerpt", "message")).alias("excerpt"),
+        F.when(tier.isNull(), prompts(primary, cause, F.col("failed_phase"), F.array_compact(F.array("file")))).alias("prompt"),
+        F.array_join(F.concat(F.when(fallback, F.array(F.lit("fallback_raw_context_used"))).otherwise(F.array().cast("array<string>")), F.when(fast | F.col("warnings").isNull(), F.array().cast("array<string>")).otherwise(F.col("warnings"))), ",").alias("degraded_reasons"),
+        F.when(F.col("semantic_class") == "undefined_reference", 900).otherwise(600).alias("ask"),
+    )
+    df = fitted(df, "excerpt", 600)
+    used = {"cascade_summary": F.when(F.col("cascade_summary") == "", 1).otherwise(token_estimate(F.col("cascade_summary"))), "top_k_text_summaries": token_estimate(F.col("causes")), "raw_excerpt": F.when(F.col("excerpt").isNull(), 0).otherwise(token_estimate(F.col("excerpt")))}
+    ask = F.when(F.col("collector").isNull(), 0).otherwise(F.col("ask"))
+    return budget_pool(df, used, ask).drop("ask")
+
+
+def markdown() -> Column:
+    """A packet for readers, its sections in a fixed order; empty ones are left out."""
+    f = F.col
+    part = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"## {title}\n"), c))
+    head = F.concat(F.lit("# Build failure\n- Verdict: "), f("verdict"), F.lit("\n- Failed phase: "), F.coalesce("failed_phase", F.lit("none")), F.lit("\n- Matched tier: "), F.coalesce("matched_tier", F.lit("none")))
+    return redacted(F.concat_ws("\n\n", head, part("Primary error", f("primary_error")), part("Evidence", F.concat_ws("\n", "contains", "excerpt")), part("Causes", f("causes")), part("Cascades", f("cascade_summary")), part("Prompt", f("prompt"))))
+
+
+def section_tokens() -> dict[str, Column]:
+    """Tokens of a packet's sections; an absent one has none."""
+    size = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", 0).otherwise(token_estimate(F.col(c)))
+    return {name: size(c) for name, c in (("primary_tokens", "primary_error"), ("cause_tokens", "causes"), ("cascade_tokens", "cascade_summary"), ("excerpt_tokens", "excerpt"), ("prompt_tokens", "prompt"))}
 
 
 def _tokens(text: str) -> int:
@@ -57,22 +121,21 @@ def _tokens(text: str) -> int:
 
     from buildlens.functions.text import CJK, WORDY
 
-    cjk, words = len(re.findall(CJK, text)), len(re.findall(WORDY, text))
-    other = len(re.sub(r"\s", "", re.sub(WORDY, "", re.sub(CJK, "", text))))
-    return max(1, math.ceil(cjk / 1.5 + words / 0.75 + other / 3))
+    cjk, words = len(re.findall(CJK, text)), re.findall(WORDY, text)
+    return max(1, math.ceil(cjk / 1.5 + len(words) / 0.75 + (len(text) - cjk - sum(map(len, words))) / 3))
 
 
-def fit(text: str, most: int, marker: str = "...[truncated]") -> str:
-    """The text cut in proportion, then by sixteen characters, until it fits with the marker."""
+def fit(text: str, most: int, marker: str = "\n[truncated]") -> str:
+    """The text cut in proportion, then by sixteen characters, until it fits; the marker comes on top."""
     if most <= 0:
         return ""
     have = _tokens(text)
     if have <= most:
         return text
-    n = max(1, int(len(text) * most / have))
-    while n > 0 and _tokens(text[:n].rstrip() + marker) > most:
-        n -= 16
-    return text[: max(n, 0)].rstrip() + marker
+    cut = text[: max(1, int(len(text) * (most / have)))].rstrip()
+    while cut and _tokens(cut) > most:
+        cut = cut[: max(0, len(cut) - 16)].rstrip()
+    return cut + marker
 
 
 def fitted(df: DataFrame, column: str, most: int) -> DataFrame:
@@ -86,5 +149,49 @@ def fitted(df: DataFrame, column: str, most: int) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
+#: What a packet over its budget gives up, in order: column, and tokens that stay (lines, for lines). The first cause stays.
+SHRINK = [("excerpt", "lines", 30), ("cascade_summary", "tokens", 0), ("excerpt", "tokens", 120), ("causes", "first", 1), ("excerpt", "tokens", 40), ("excerpt", "tokens", 0)]
+
+
+def shrunk(packet: dict, most: int) -> dict:
+    """The packet's texts after as many steps as it takes to fit; the prompt is cut last. used: tokens then; steps: how many
+    changed something; over: it does not fit all the same."""
+    import json
+
+    texts = ("primary_error", "causes", "cascade_summary", "excerpt", "command", "prompt", "direct_answer")
+    used = lambda: sum(_tokens(packet[c]) for c in texts if packet.get(c))
+    steps = 0
+    for column, how, keep in SHRINK:
+        if used() <= most:
+            break
+        was = packet.get(column)
+        if not was:
+            continue
+        if how == "lines":
+            packet[column] = "\n".join(was.split("\n")[:keep])
+        elif how == "tokens":
+            packet[column] = fit(was, keep)
+        else:
+            packet[column] = json.dumps(json.loads(was)[:keep], ensure_ascii=False, separators=(",", ":"))
+        steps += packet[column] != was
+    if used() > most and packet.get("prompt"):
+        prompt = packet["prompt"]
+        packet["prompt"] = None
+        packet["prompt"], steps = fit(prompt, max(0, most - used())), steps + 1
+    return packet | {"used": used(), "steps": steps, "over": used() > most}
+
+
+def within_budget(packets: DataFrame, most: int = 1800) -> DataFrame:
+    """Packets that fit, with used, steps and over. A packet is shrunk by a loop, so it is done on batches of rows."""
+    out = T.StructType(list(packets.schema.fields)).add("used", T.IntegerType()).add("steps", T.IntegerType()).add("over", T.BooleanType())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [shrunk({k: (None if v is pd.NA or (isinstance(v, float) and v != v) else v) for k, v in r.items()}, most) for r in b.to_dict("records")]
+            yield pd.DataFrame(rows, columns=out.names)
+
+    return packets.mapInPandas(run, out)
+
+
 def compression_ratio(log_bytes: Column, tokens: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(log_bytes / 4)) / tokens

@@ -106,4 +106,4 @@ def spec_sections(lines: DataFrame) -> DataFrame:
 def build_requires(lines: DataFrame) -> DataFrame:
     """spec, requirement: of every BuildRequires line, comments off, parted at commas."""
     value = F.regexp_extract("text", r"^BuildRequires:\s*([^#]*)", 1)
-    return lines.filter(F.col("text").rlike(r"^BuildRequires:")).select("spec", F.explode(F.transform(F.split(value, ","), F.trim)).alias("requirement")).filter("requirement <> ''")
+    return lines.filter(F.col("text").rlike(r"^BuildRequires:")).select("spec", F.explode(F.transform(F.split(value, ","), lambda v: F.trim(v))).alias("requirement")).filter("requirement <> ''")

@@ -195,10 +195,10 @@ def with_failed_phase(ev: DataFrame) -> DataFrame:
 
 
 def cascade_summary(ev: DataFrame) -> DataFrame:
-    """log_id, summary: each linked cascade as target -> parent, in order."""
-    rows = ev.filter("kind = 'make_cascade' and parent is not null")
-    pairs = F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(" -> ", "target", "parent").alias("s"))))
-    return rows.groupBy("log_id").agg(F.array_join(F.transform(pairs, lambda x: x["s"]), "; ").alias("summary"))
+    """log_id, summary: each failed make target -> its parent, in order."""
+    rows = ev.filter("kind = 'make_cascade'")
+    pairs = F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(" -> ", F.coalesce("target", F.lit("<unknown>")), F.coalesce("parent", F.lit("unlinked"))).alias("s"))))
+    return rows.groupBy("log_id").agg(F.concat(F.lit("make cascade: "), F.array_join(F.transform(pairs, lambda x: x["s"]), "; ")).alias("summary"))
 
 
 def log_window(lines: DataFrame, around: DataFrame, ahead: int = 30, after: int = 20) -> DataFrame:

@@ -68,7 +68,7 @@ ORACLES = {
     "event_command_join": WITH_COMMANDS("SELECT e.log_id, e.id, e.command_id, c.argv_short, c.tool AS command_tool FROM events0 e LEFT JOIN commands c ON c.log_id = e.log_id AND c.id = e.command_id"),
     "rpm_patch_parent": chain("ev", "SELECT log_id, id, exit_phase, parent FROM ev WHERE kind = 'rpm_phase'"),
     "cascade_parent": chain("cascades", "SELECT log_id, id, cascade_parent FROM cascades"),
-    "cascade_summary": chain("ev", "SELECT log_id, string_agg(target || ' -> ' || parent, '; ' ORDER BY seq) AS summary FROM ev WHERE kind = 'make_cascade' AND parent IS NOT NULL GROUP BY log_id"),
+    "cascade_summary": chain("ev", "SELECT log_id, 'make cascade: ' || string_agg(coalesce(target, '<unknown>') || ' -> ' || coalesce(parent, 'unlinked'), '; ' ORDER BY seq) AS summary FROM ev WHERE kind = 'make_cascade' GROUP BY log_id"),
     "warning_block": chain("blocked", "SELECT log_id, id, in_warning_block FROM blocked"),
     "semantic_class": chain("based", "SELECT log_id, id, semantic_class, context_satisfied, base, cascade FROM based"),
     "cause_score": chain("scored", "SELECT log_id, id, score, bucket, band FROM scored"),

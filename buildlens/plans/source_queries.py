@@ -13,7 +13,7 @@ from buildlens.plans.sql import chain, q
 
 
 def classified(s, d):
-    return rank.classified(events(s, d))
+    return rank.classified(events(s, d)).withColumn("root", F.lit("root"))
 
 
 def tree(s, d):
@@ -24,6 +24,11 @@ def tree(s, d):
     return paths
 
 
+def two_trees(s, d):
+    """Trees of two packages that share names of files."""
+    return s.range(14).selectExpr("concat('pkg', cast(id % 2 as string)) as root", "concat('src/f', cast(id div 2 as string), '.c') as path")
+
+
 def cand(s, d):
     rows = classified(s, d)
     return C.candidates(rows, C.mapped_paths(rows.filter("file is not null"), tree(s, d)))
@@ -44,7 +49,8 @@ QUERIES = {
     "exclusion_counts": lambda s, d: C.exclusion_counts(events(s, d)),
     "fixability": lambda s, d: cand(s, d).groupBy("type_fixability", "type_fixability_reason").agg(F.count(F.lit(1)).alias("n")),
     "path_ownership": lambda s, d: cand(s, d).groupBy("file", "normalized_file", "source_ownership_status").agg(F.count(F.lit(1)).alias("n")),
-    "path_suffix_match": lambda s, d: C.mapped_paths(events(s, d).filter("file is not null").withColumn("file", F.concat(F.lit("/home/abuild/rpmbuild/BUILD/app-1.0/"), "file")), tree(s, d)),
+    "path_suffix_match": lambda s, d: C.mapped_paths(events(s, d).filter("file is not null").withColumn("file", F.concat(F.lit("/home/abuild/rpmbuild/BUILD/app-1.0/"), "file")).withColumn("root", F.lit("root")), tree(s, d)).drop("root"),
+    "path_suffix_roots": lambda s, d: C.mapped_paths(events(s, d).filter("file is not null").select(F.concat(F.lit("pkg"), (F.col("log_id") % 3).cast("string")).alias("root"), "file"), two_trees(s, d)),
     "candidate_counts": lambda s, d: C.candidate_counts(cand(s, d)),
     "dedupe_key": lambda s, d: cand(s, d).select("log_id", "id", "dedupe_key", "degraded_key"),
     "first_of_key": lambda s, d: C.first_of_key(cand(s, d)).select("log_id", "id", "dedupe_key"),
@@ -92,6 +98,7 @@ ORACLES = {
     "fixability": sql("SELECT type_fixability, type_fixability_reason, count(*) AS n FROM cand GROUP BY ALL"),
     "path_ownership": sql("SELECT file, normalized_file, source_ownership_status, count(*) AS n FROM cand GROUP BY ALL"),
     "path_suffix_match": sql("SELECT '/home/abuild/rpmbuild/BUILD/app-1.0/' || e.file AS file, count(*) AS matches, CASE WHEN count(*) = 1 THEN min(path) END AS mapped FROM (SELECT DISTINCT file FROM based WHERE file IS NOT NULL) e, tree WHERE path = e.file OR ends_with(path, '/' || e.file) GROUP BY e.file"),
+    "path_suffix_roots": sql("SELECT DISTINCT 'pkg' || (log_id % 3) AS root, file, 1::BIGINT AS matches, file AS mapped FROM based WHERE file IS NOT NULL AND log_id % 3 < 2"),
     "candidate_counts": sql("SELECT log_id, count(*) AS candidates, count(*) FILTER (type_fixability = 'probably_fixable') AS type_probably_fixable, count(*) FILTER (type_fixability = 'unknown') AS type_unknown, count(*) FILTER (source_reachable) AS source_reachable, count(*) FILTER (source_owned) AS source_owned, count(*) FILTER (patch_ready) AS patch_ready FROM cand GROUP BY log_id"),
     "dedupe_key": sql("SELECT log_id, id, dedupe_key, degraded_key FROM cand"),
     "first_of_key": sql("SELECT log_id, id, dedupe_key FROM (SELECT *, row_number() OVER (PARTITION BY log_id, dedupe_key ORDER BY seq) AS n FROM cand) WHERE n = 1"),

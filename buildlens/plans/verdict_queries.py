@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from buildlens.functions import text as T
 from buildlens.operators import packet, rules, scan
 from buildlens.plans.core import annotated, events, scored, top
+from buildlens.plans.evidence_queries import all_collected
 from buildlens.plans.sql import chain, q
+from buildlens.plans import evidence_queries as E
+from buildlens.plans.core import COMMANDS, SUMMARY
 from buildlens.plans.synthetic import logl
 
 
@@ -25,7 +28,9 @@ def verdicts(s, d):
 
 
 def all_packets(s, d):
-    return packet.packets(top(s, d), verdicts(s, d), quick(s, d), scan.cascade_summary(events(s, d)))
+    lines = annotated(s, d)
+    around = scan.log_window(lines.select("log_id", "line_no", "text"), top(s, d, 1).select("log_id", F.col("line_no").alias("at")))
+    return packet.packets(top(s, d), verdicts(s, d), quick(s, d), scan.cascade_summary(events(s, d)), all_collected(s, d), around, scan.commands(lines))
 
 
 def estimates(s, d):
@@ -39,7 +44,11 @@ QUERIES = {
     "needs_llm_reason": lambda s, d: verdicts(s, d).groupBy("failure_reason").agg(F.count(F.lit(1)).alias("n")),
     "rule_hits": lambda s, d: rules._hits(scored(s, d), rules.rule_frame(s)).groupBy("rule").agg(F.count_distinct("log_id", "id").alias("n")),
     "rule_violations": lambda s, d: rules.rule_violations(rules.rule_frame(s)),
-    "packets": lambda s, d: all_packets(s, d),
+    "packets": lambda s, d: all_packets(s, d).drop("excerpt", "prompt", "primary_error", "pool", "granted", "left", "reclaimed", "conservation_total"),
+    "packet_budget": lambda s, d: all_packets(s, d).select("log_id", F.col("conservation_total").cast("int").alias("conservation_total"), (F.col("granted") <= F.col("pool")).alias("within"), (F.col("pool") >= 650).alias("reclaimed")),
+    "packet_sections": lambda s, d: all_packets(s, d).select("log_id", *[c.alias(n) for n, c in packet.section_tokens().items() if n in ("cause_tokens", "cascade_tokens")]),
+    "packet_markdown": lambda s, d: all_packets(s, d).select("log_id", F.element_at(F.split(packet.markdown(), "\n\n## "), 1).alias("head"), F.array_join(F.transform(F.filter(F.split(packet.markdown(), "\n"), lambda x: x.startswith("## ")), lambda x: F.replace(x, F.lit("## "), F.lit(""))), ",").alias("sections")),
+    "packet_shrunk": lambda s, d: packet.within_budget(all_packets(s, d), 260).select("log_id", "steps", "used", "over"),
     "budget_pool": lambda s, d: packet.budget_pool(events(s, d).groupBy("log_id").agg(F.count(F.lit(1)).cast("int").alias("n")), {"cascade_summary": F.col("n") % 70, "top_k_text_summaries": F.col("n") % 250}, F.when(F.col("n") % 2 == 0, 900).otherwise(600)).select("log_id", "pool", "granted", "left", "conservation_total"),
     "evidence_route": lambda s, d: events(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("route", packet.evidence_route(F.col("kind"))),
     "token_estimate": estimates,
@@ -49,8 +58,8 @@ QUERIES = {
     "acceptance": lambda s, d: all_packets(s, d).agg(F.avg((F.col("via") == "fast_path").cast("int")).alias("fast_rate"), F.avg((F.col("verdict") == "direct_answer").cast("int")).alias("direct_rate"), F.avg((F.col("conservation_total") == packet.TOTAL).cast("int")).alias("conserved")),
 }
 
-VALUES = ", ".join(f"({i}, {j}, {q(rule)}, {q(cat)}, {q(tier)}, {q(kind)}, {q(regex)}, {len(names)}, {'NULL::VARCHAR[]' if tools is None else str(tools)}, {outside}, {q(neg)}, {conf}::DOUBLE, {t1}, {'NULL' if a1 is None else q(a1)}, {t2}, {'NULL::VARCHAR[]' if need is None else str(need)})" for i, j, rule, cat, tier, kind, regex, names, tools, outside, neg, conf, t1, a1, t2, need, _ in rules.rule_rows())
-RULES = f"rules(rule_ord, regex_ord, rule, category, tier, kind, regex, n_names, tools, outside, negative, confidence, tier1, answer1, tier2, need) AS (VALUES {VALUES})"
+VALUES = ", ".join(f"({i}, {j}, {q(rule)}, {q(cat)}, {q(tier)}, {q(kind)}, {q(regex)}, {len(names)}, {'NULL::VARCHAR[]' if tools is None else str(tools)}, {outside}, {q(neg)}, {conf}::DOUBLE, {t1}, {'NULL' if a1 is None else q(a1)}, {t2}, {'NULL::VARCHAR[]' if need is None else str(need)}, {'NULL' if a2 is None else q(a2)})" for i, j, rule, cat, tier, kind, regex, names, tools, outside, neg, conf, t1, a1, t2, need, a2 in rules.rule_rows())
+RULES = f"rules(rule_ord, regex_ord, rule, category, tier, kind, regex, n_names, tools, outside, negative, confidence, tier1, answer1, tier2, need, answer2) AS (VALUES {VALUES})"
 HITS = "hits AS (SELECT s.*, r.* EXCLUDE (kind) FROM scored s JOIN rules r ON r.kind = s.kind WHERE regexp_matches(s.message, r.regex) AND NOT regexp_matches(s.message, r.negative))"
 QUICK = "quick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY seq, rule_ord, regex_ord) AS n FROM hits WHERE tier = 'tier1' AND severity = 'error' AND (tools IS NULL OR coalesce(list_contains(tools, tool), false)) AND NOT (outside AND in_warning_block)) WHERE n = 1)"
 HELD = """held AS (SELECT *, list_filter([
@@ -70,7 +79,12 @@ FULL = """met AS (SELECT *, CASE WHEN holds AND tier1 AND confidence >= 0.95 AND
     FROM held h JOIN rules r ON r.kind = h.kind WHERE regexp_matches(h.message, r.regex) AND NOT regexp_matches(h.message, r.negative)) WHERE n = 1),
 full_ AS (SELECT h.log_id, h.id, h.kind, array_to_string(list_sort(h.contains), ',') AS contains, m.rule, coalesce(m.verdict, 'needs_llm') AS verdict, CASE WHEN coalesce(m.verdict, 'needs_llm') = 'needs_llm' THEN coalesce(m.short, 'no_pattern_match') END AS failure_reason
   FROM held h LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id, id ORDER BY verdict = 'needs_llm', rule_ord) AS k FROM met) WHERE k = 1) m ON m.log_id = h.log_id AND m.id = h.id)"""
-TOKENS = lambda x: rf"greatest(1, ceil(len(regexp_extract_all({x}, '[一-鿿]')) / 1.5::DOUBLE + len(regexp_extract_all({x}, '[A-Za-z0-9_./+-]+')) / 0.75::DOUBLE + length(regexp_replace(regexp_replace(regexp_replace({x}, '[一-鿿]', '', 'g'), '[A-Za-z0-9_./+-]+', '', 'g'), '\s', '', 'g')) / 3.0::DOUBLE))::INTEGER"
+TOKENS = lambda x: rf"greatest(1, ceil(len(regexp_extract_all({x}, '[一-鿿]')) / 1.5::DOUBLE + len(regexp_extract_all({x}, '[A-Za-z0-9_./+-]+')) / 0.75::DOUBLE + length(regexp_replace(regexp_replace({x}, '[一-鿿]', '', 'g'), '[A-Za-z0-9_./+-]+', '', 'g')) / 3.0::DOUBLE))::INTEGER"
+
+FULL_ANSWERED = FULL.replace("m.rule, coalesce(m.verdict", "m.rule, m.answer, coalesce(m.verdict").replace("AS short\n", "AS short, CASE WHEN n_names > 0 THEN regexp_extract(message, regex, 1) ELSE '' END AS cap, CASE WHEN holds AND tier1 AND confidence >= 0.95 AND parent IS NULL AND NOT degraded THEN answer1 WHEN holds AND tier2 AND confidence >= 0.85 AND parent IS NULL AND enough THEN replace(replace(regexp_replace(answer2, '\\{[a-z]+\\}', chr(1)), chr(1), CASE WHEN n_names > 0 THEN regexp_extract(message, regex, 1) ELSE '' END), '{identifier}', '') END AS answer\n")
+CAUSES = f"causes_ AS (SELECT log_id, to_json(list({{rank: rank, event_id: id, kind: kind, semantic_class: semantic_class, confidence: round(score, 4), band: band, summary: summary}} ORDER BY rank))::VARCHAR AS causes FROM (SELECT *, {SUMMARY} FROM top) GROUP BY log_id)"
+EVIDENCE_CTES = (E.BODY, E.FUNCS, E.TOP_ASKS, E.TOP_CONTEXT, E.HEADERS)
+EVIDENCE_SELECT = E.EVIDENCE_SELECT
 
 
 def sql(select, *more, upto="top"):
@@ -86,6 +100,20 @@ ORACLES = {
     "evidence_route": chain("ev", "SELECT kind, count(*) AS n, CASE WHEN kind IN ('compiler', 'werror') THEN 'compile' WHEN kind IN ('linker_missing', 'linker_undef') THEN 'link' WHEN kind IN ('spec_script', 'rpm_phase') THEN 'spec' WHEN kind = 'depsolve' THEN 'deps' END AS route FROM ev GROUP BY kind"),
     "token_estimate": "SELECT doc_id, " + TOKENS("x") + " AS tokens FROM (SELECT doc_id, '构建 ' || text AS x FROM documents)",
     "compression_ratio": chain("logl", f"SELECT log_id, sum({TOKENS('raw_text')})::BIGINT AS tokens, greatest(1, floor(sum(strlen(raw_text) + 1) / 4)) / sum({TOKENS('raw_text')}) AS ratio FROM logl GROUP BY log_id"),
+    "packets": sql(f"""SELECT t.log_id, t.failed_phase, CASE WHEN fast OR f.verdict LIKE 'direct%' THEN 'direct_answer' ELSE 'needs_llm' END AS verdict, CASE WHEN fast THEN 'fast_path' ELSE 'full_path' END AS via,
+      CASE WHEN fast OR f.verdict = 'direct_tier1' THEN 'tier1' WHEN f.verdict = 'direct_tier2' THEN 'tier2' END AS matched_tier, CASE WHEN fast THEN qk.rule WHEN f.verdict LIKE 'direct%' THEN f.rule END AS matched_pattern, CASE WHEN NOT fast AND f.verdict = 'needs_llm' THEN f.failure_reason END AS failure_reason, CASE WHEN fast THEN qk.answer1 ELSE f.answer END AS direct_answer,
+      CASE WHEN fast THEN '' ELSE coalesce(cs.summary, '') END AS cascade_summary, ca.causes, CASE WHEN NOT fast THEN cm.argv_short END AS command, CASE WHEN NOT fast THEN ev_.collector END AS collector, CASE WHEN NOT fast THEN ev_.contains END AS contains,
+      CASE WHEN fast THEN '' ELSE concat_ws(',', CASE WHEN ev_.collector IS NULL THEN 'fallback_raw_context_used' END, nullif(ev_.warnings, '')) END AS degraded_reasons
+      FROM (SELECT t.*, EXISTS (SELECT 1 FROM quick k WHERE k.log_id = t.log_id) AS fast FROM top t WHERE rank = 1) t LEFT JOIN quick qk ON qk.log_id = t.log_id JOIN full_ f ON f.log_id = t.log_id AND f.id = t.id
+      LEFT JOIN (SELECT log_id, 'make cascade: ' || string_agg(coalesce(target, '<unknown>') || ' -> ' || coalesce(parent, 'unlinked'), '; ' ORDER BY seq) AS summary FROM ev WHERE kind = 'make_cascade' GROUP BY log_id) cs ON cs.log_id = t.log_id
+      LEFT JOIN commands cm ON cm.log_id = t.log_id AND cm.id = t.command_id LEFT JOIN causes_ ca ON ca.log_id = t.log_id JOIN ({EVIDENCE_SELECT}) ev_ ON ev_.log_id = t.log_id AND ev_.id = t.id""", RULES, HITS, QUICK, HELD, FULL_ANSWERED, COMMANDS, CAUSES, *EVIDENCE_CTES),
+    "packet_budget": chain("top", "SELECT log_id, 1400 AS conservation_total, true AS within, true AS reclaimed FROM top WHERE rank = 1"),
+    "packet_sections": sql(f"SELECT t.log_id, {TOKENS('ca.causes')} AS cause_tokens, CASE WHEN cascade = '' THEN 0 ELSE {TOKENS('cascade')} END AS cascade_tokens FROM (SELECT log_id, CASE WHEN log_id IN (SELECT log_id FROM quick) THEN '' ELSE coalesce((SELECT 'make cascade: ' || string_agg(coalesce(target, '<unknown>') || ' -> ' || coalesce(parent, 'unlinked'), '; ' ORDER BY seq) FROM ev WHERE ev.log_id = t.log_id AND kind = 'make_cascade'), '') END AS cascade FROM top t WHERE rank = 1) t JOIN causes_ ca USING (log_id)", RULES, HITS, QUICK, CAUSES),
     "log_window": chain("top", 'SELECT a.log_id, a.line_no, t.line_no AS "at", a.text FROM annotated a JOIN top t ON t.log_id = a.log_id AND t.rank = 1 AND a.line_no BETWEEN t.line_no - 30 AND t.line_no + 20'),
     "rule_violations": "SELECT 'x' AS rule, 'x' AS violation WHERE false",
 }
+ORACLES |= {
+    "acceptance": f"SELECT avg((via = 'fast_path')::INTEGER) AS fast_rate, avg((verdict = 'direct_answer')::INTEGER) AS direct_rate, 1.0::DOUBLE AS conserved FROM ({ORACLES['packets']})",
+    "packet_markdown": f"""SELECT log_id, '# Build failure' || chr(10) || '- Verdict: ' || verdict || chr(10) || '- Failed phase: ' || coalesce(failed_phase, 'none') || chr(10) || '- Matched tier: ' || coalesce(matched_tier, 'none') AS head,
+      concat_ws(',', 'Primary error', CASE WHEN via = 'full_path' THEN 'Evidence' END, 'Causes', CASE WHEN cascade_summary <> '' THEN 'Cascades' END, CASE WHEN verdict = 'needs_llm' THEN 'Prompt' END) AS sections FROM ({ORACLES['packets']})""",
+}
