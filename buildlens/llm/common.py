@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
@@ -42,7 +43,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again, which cuts its lineage."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once when first asked for and held on the executors' disks. What a lost executor held is computed
+    again; steps that follow each other in a loop are written by ``materialize`` instead."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Give up what ``kept`` holds, and remove what ``materialize`` wrote, once all that was read from them is written itself."""
+    for df in tables:
+        df.unpersist()
+        if path := getattr(df, "_written_at", None):
+            session = df.sparkSession
+            target = session._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def doc_key() -> Column:
+    """128 bits of a row's doc_id and text. Rows of one doc_id and text share a key; a null counts as empty."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,14 +78,6 @@ def is_held_out(doc_id, divisor: int, remainder: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor == remainder
 
 
-def utf8_lower_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8.
-
-    bytes.lower() touches A-Z alone, and bytes.split() cuts at exactly these six bytes.
-    """
-    return text.encode("utf-8", "replace").lower().split() if text else []
-
-
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         yield from zip(*(c.to_pylist() for c in b.columns))

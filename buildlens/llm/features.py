@@ -53,40 +53,52 @@ def pack(x: np.ndarray) -> bytes:
     return at.tobytes() + x[at].astype("<f4").tobytes()
 
 
-def unpack(data: bytes, dims: int) -> np.ndarray:
-    n = len(data) // 8
-    x = np.zeros(dims, np.float32)
-    x[np.frombuffer(data, "<u4", n)] = np.frombuffer(data, "<f4", n, 4 * n)
+def table(rows: list[bytes], dims: int) -> np.ndarray:
+    """Packed rows as one table."""
+    x = np.zeros((len(rows), dims), np.float32)
+    for i, data in enumerate(rows):
+        at, value = entries(data)
+        x[i, at] = value
     return x
 
 
+def entries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of a packed row."""
+    n = len(data) // 8
+    return np.frombuffer(data, "<u4", n), np.frombuffer(data, "<f4", n, 4 * n)
+
+
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 20, seed: int = 0) -> np.ndarray:
-    """Weights, with the bias last, of the linear support vector machine; y is 1 or -1. Dual coordinate descent on the hinge loss."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w, alpha, square = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
+    """Weights, with the bias last, of the linear support vector machine; y is 1 or -1. Dual coordinate descent on the hinge
+    loss, on the entries of each row that are not 0: no copy of the whole table is made."""
+    at = [np.r_[np.flatnonzero(row), x.shape[1]] for row in x]
+    rows = [np.r_[row[k[:-1]], 1].astype(np.float64) for row, k in zip(x, at)]
+    w, alpha, square = np.zeros(x.shape[1] + 1), np.zeros(len(x)), [float(r @ r) for r in rows]
     order = np.random.default_rng(seed)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
+        for i in order.permutation(len(x)).tolist():
             was = alpha[i]
-            alpha[i] = min(max(was - (y[i] * (x[i] @ w) - 1) / square[i], 0.0), c)
+            alpha[i] = min(max(was - (y[i] * (rows[i] @ w[at[i]]) - 1) / square[i], 0.0), c)
             if alpha[i] != was:
-                w += (alpha[i] - was) * y[i] * x[i]
+                w[at[i]] += (alpha[i] - was) * y[i] * rows[i]
     return w
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, rounds: int = 200) -> np.ndarray:
-    """Weights, with the bias last, of L2-regularised logistic regression; y from 0 to 1. Accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    """Weights, with the bias last, of L2-regularised logistic regression; y from 0 to 1. Accelerated gradient descent, on
+    the table as it is: no copy of it is made."""
     weight = np.ones(len(x)) if weight is None else weight
-    rate = 1 / (0.25 * (weight[:, None] * x * x).sum() * min(1.0, 4 / x.shape[1] + 0.25) + l2)
-    penalty = np.r_[np.full(x.shape[1] - 1, l2), 1e-6]
-    w = v = np.zeros(x.shape[1])
+    square = float(weight @ np.einsum("ij,ij->i", x, x)) + weight.sum()
+    rate = 1 / (0.25 * square * min(1.0, 4 / (x.shape[1] + 1) + 0.25) + l2)
+    penalty = np.r_[np.full(x.shape[1], l2), 1e-6]
+    w = v = np.zeros(x.shape[1] + 1)
     for k in range(rounds):
-        step = v - rate * (x.T @ (weight * (sigmoid(x @ v) - y)) + penalty * v)
+        slope = weight * (sigmoid(x @ v[:-1].astype(x.dtype) + v[-1]) - y)
+        step = v - rate * (np.r_[slope.astype(x.dtype) @ x, slope.sum()] + penalty * v)
         w, v = step, step + k / (k + 3) * (step - w)
     return w
 

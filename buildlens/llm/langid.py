@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import is_held_out
-from buildlens.llm.features import damped, linear_svm, ngram_counts, pack, platt, sigmoid, unpack
+from buildlens.llm.features import damped, entries, linear_svm, ngram_counts, pack, platt, sigmoid, table
 
 DIMS = 8192
 #: At most about so many documents of each language are learned from: the bounded sample of labelled rows.
@@ -68,22 +68,34 @@ class Evidence:
         return self.of(x, langs) >= self.floor[size_class(n)]
 
 
-def fit_evidence(x: np.ndarray, langs: np.ndarray, held: np.ndarray, held_n: np.ndarray, held_langs: np.ndarray) -> Evidence | None:
-    """x, langs: texts that the shares come from; held: texts and stretches of others, which set the floors.
+def fit_evidence(rows: list[bytes], langs: np.ndarray, held: list[bytes], held_n: np.ndarray, held_langs: np.ndarray) -> Evidence | None:
+    """rows, langs: packed texts that the shares come from; held: texts and stretches of others, which set the floors.
 
     A floor is far under the middle of what held-out texts of that size have, measured by their own spread, so that odd
     rows among them do not move it. A size without held-out texts has the floor of the nearest size that has some.
     """
     known = sorted(set(langs.tolist()))
     at = {g: i for i, g in enumerate(known)}
-    keep = np.array([g in at for g in held_langs], bool)
-    if not known or not keep.any():
+    keep = [i for i, g in enumerate(held_langs) if g in at]
+    if not known or not keep:
         return None
-    share = np.stack([(x[langs == g].astype(np.float64) ** 2).mean(0) for g in known], 1)
-    log_share = np.log(0.98 * share + 0.02 / DIMS)
-    centre = np.array([((x[langs == g] ** 2) @ log_share[:, i]).mean() for g, i in at.items()])
+    share, number = np.zeros((DIMS, len(known))), np.zeros(len(known))
+    for data, g in zip(rows, langs):
+        place, value = entries(data)
+        share[place, at[g]] += value.astype(np.float64) ** 2
+        number[at[g]] += 1
+    log_share = np.log(0.98 * share / number + 0.02 / DIMS)
+
+    def mean_log(data: bytes, g: str) -> float:
+        place, value = entries(data)
+        return float((value.astype(np.float64) ** 2) @ log_share[place, at[g]])
+
+    centre = np.zeros(len(known))
+    for data, g in zip(rows, langs):
+        centre[at[g]] += mean_log(data, g) / number[at[g]]
     out = Evidence(at, log_share.astype(np.float32), centre, np.full(SIZES, -np.inf))
-    found, size = out.of(held[keep], held_langs[keep].tolist()), size_class(held_n[keep])
+    found = np.array([mean_log(held[i], held_langs[i]) - centre[at[held_langs[i]]] for i in keep])
+    size = size_class(held_n[keep])
     enough = [k for k in range(SIZES) if (size == k).sum() >= 8] or sorted(set(size.tolist()))
     for k in range(SIZES):
         own = found[size == min(enough, key=lambda e: (abs(e - k), e))]
@@ -200,13 +212,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     got = sorted((r["lang"], bytes(r["x"]), r["use"], r["n"]) for r in drawn.mapInArrow(run, "lang string, use int, x binary, n long").collect())
     rows = [r for r in got if r[2] != STRETCH]
-    order = np.random.default_rng(0).permutation(len(rows))
-    x = np.stack([unpack(rows[i][1], DIMS) for i in order]) if rows else np.zeros((0, DIMS), np.float32)
-    langs, use = np.array([rows[i][0] for i in order], object), np.array([rows[i][2] for i in order], int)
-    model = fit(x, langs)
-    held = [r for r in got if r[2] != LEARN and r[3]]
+    rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
+    learn, held = [r for r in rows if r[2] == LEARN], [r for r in got if r[2] != LEARN and r[3]]
+    model = fit(table([r[1] for r in rows], DIMS), np.array([r[0] for r in rows], object))
     if model and held:
-        model.evidence = fit_evidence(x[use == LEARN], langs[use == LEARN], np.stack([unpack(r[1], DIMS) for r in held]), np.array([r[3] for r in held]), np.array([r[0] for r in held], object))
+        model.evidence = fit_evidence([r[1] for r in learn], np.array([r[0] for r in learn], object), [r[1] for r in held], np.array([r[3] for r in held]), np.array([r[0] for r in held], object))
     return model
 
 

@@ -1,25 +1,36 @@
-"""Quality classification by co-training a view of the text and a view of the page's metadata."""
+"""Quality classification by co-training a view of the text and a view of the page's metadata.
+
+Both views start from a bounded draw of labelled rows. Then every document of the corpus takes part in each round: a task
+hands the rows that one view is sure of, as pseudo-labels, to the other view's weights, and the tasks' weights are averaged
+by the number of rows that they were given.
+"""
 
 from __future__ import annotations
 
+import math
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.features import damped, logistic, ngram_counts, pack, platt, sigmoid, unpack
+from buildlens.llm.common import materialize
+from buildlens.llm.features import damped, logistic, ngram_counts, pack, platt, sigmoid, table
 
 TEXT_DIMS, CONTENT = 4096, 6
-META_HASH, LAYOUT = 128, 12
-DIMS = TEXT_DIMS + CONTENT + META_HASH + LAYOUT
+#: The metadata's hashed values, and the classes of stated length.
+META_HASH, LENGTHS = 256, 24
+DIMS = TEXT_DIMS + CONTENT + META_HASH + LENGTHS
 TEXT, META = slice(0, TEXT_DIMS + CONTENT), slice(TEXT_DIMS + CONTENT, DIMS)
-#: Bounds of what the classifiers are fitted on: labelled rows of each class, and rows without a label.
-LABELLED, POOL = 1500, 3000
-#: Rounds of exchange; in each, a view hands the other this share of the pool.
-ROUNDS, HANDED = 5, 0.05
+#: Bound of what the classifiers start from: labelled rows of each class.
+LABELLED = 1500
+#: Rounds of exchange over the whole corpus; a view is sure of a row beyond these probabilities.
+ROUNDS, SURE = 2, (0.05, 0.95)
+#: A task takes STEPS steps on so many rows handed over, mixed with as many labelled ones.
+CHUNK, STEPS = 512, 4
 #: Rejected are documents whose probability of good quality is less; very short clean ones come down to about 0.25.
 LEAST = 0.2
 
@@ -36,32 +47,13 @@ def content(text: str) -> np.ndarray:
     return np.r_[damped(ngram_counts(text, TEXT_DIMS, letters_only=False)), extra].astype(np.float32)
 
 
-def metadata(text: str, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    """The metadata view: source, language, stated length, and the page's layout; no word of the text."""
-    out = np.zeros(META_HASH + LAYOUT, np.float32)
-    for name, value in (("source", source), ("lang", lang)):
-        out[zlib.crc32(f"{name} {value}".encode("utf-8", "replace")) % META_HASH] += 0.5
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    n = max(1, len(data))
-    kinds = np.bincount(data, minlength=256) / n
-    breaks = np.diff(np.r_[-1, np.flatnonzero(data == 10), len(data)]) - 1
-    blank, lines = int((breaks == 0).sum()), len(breaks)
-    marks = kinds[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]]
-    plain = kinds[44] + kinds[46]  # comma and full stop
-    out[META_HASH:] = [
-        np.log1p(max(n_chars or 0, 0)) / 10,
-        float(n_chars is None),
-        np.log1p(lines) / 5,
-        np.log1p(breaks.mean()) / 5,
-        np.log1p(breaks.max()) / 5,
-        blank / lines,
-        4 * kinds[32],
-        10 * (marks.sum() - plain),
-        10 * plain,
-        5 * kinds[48:58].sum(),
-        3 * kinds[65:91].sum(),
-        2 * kinds[128:].sum(),
-    ]
+def metadata(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    """The metadata view: source, language and stated length, alone and by pairs. It never sees the text."""
+    out = np.zeros(META_HASH + LENGTHS, np.float32)
+    length = 0 if n_chars is None else 1 + min(int(2 * math.log2(1 + max(n_chars, 0)) / 3), LENGTHS - 2)
+    out[META_HASH + length] = 0.5
+    for name in (f"source {source}", f"lang {lang}", f"both {source} {lang}", f"long {source} {length}"):
+        out[zlib.crc32(name.encode("utf-8", "replace")) % META_HASH] += 0.5
     return out
 
 
@@ -85,48 +77,69 @@ def _log_odds(x: np.ndarray, w: np.ndarray, scale: tuple[float, float]) -> np.nd
     return np.clip(scale[0] * (x @ w[:-1] + w[-1]) + scale[1], -12, 12)
 
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = ROUNDS, handed: float = HANDED) -> Model | None:
-    """Fits both views on labelled rows; in each round either labels the pool rows it is surest of for the other.
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Weights by which both classes count alike."""
+    return np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1)) * len(y)
 
-    A quarter of the labelled rows is left out of this and sets the calibration and the combination. With one class only
-    there is nothing to learn.
-    """
+
+def start(x: np.ndarray, y: np.ndarray) -> tuple[Model, np.ndarray] | None:
+    """Both views fitted on labelled rows, and which rows were left out: a quarter, which set the calibration and the
+    combination. With one class only there is nothing to learn."""
     if len(set(y.tolist())) < 2:
         return None
     test = np.arange(len(x)) % 4 == 0
     if len(set(y[test].tolist())) < 2 or len(set(y[~test].tolist())) < 2:
-        test = np.full(len(x), True)
-        fit = test
+        fit = test = np.full(len(x), True)
     else:
         fit = ~test
-    views = (TEXT, META)
-    rows = [[(x[fit][:, v], y[fit].astype(float), np.ones(fit.sum()))] for v in views]
-
-    def learn(i: int) -> np.ndarray:
-        a, b, w = (np.concatenate(p) for p in zip(*rows[i]))
-        balance = np.where(b > 0.5, 0.5 / max((w * (b > 0.5)).sum(), 1e-9), 0.5 / max((w * (b <= 0.5)).sum(), 1e-9)) * w.sum()
-        return logistic(a, b, w * balance, l2=0.3)
-
-    left = [np.arange(len(pool)), np.arange(len(pool))]  # what a view may still hand on
-    w = [learn(0), learn(1)]
-    for _ in range(rounds if len(pool) else 0):
-        for i in (0, 1):
-            if not len(left[i]):
-                continue
-            p = sigmoid(pool[left[i]][:, views[i]] @ w[i][:-1] + w[i][-1])
-            k = max(1, int(handed * len(pool) / 2))
-            order = np.argsort(p)
-            sure = np.unique(np.r_[order[:k][p[order[:k]] < 0.1], order[-k:][p[order[-k:]] > 0.9]])
-            if not len(sure):
-                continue
-            rows[1 - i].append((pool[left[i][sure]][:, views[1 - i]], (p[sure] > 0.5).astype(float), np.full(len(sure), 0.5)))
-            left[i] = np.delete(left[i], sure)
-        w = [learn(0), learn(1)]
-    scale = [platt(x[test][:, v] @ wv[:-1] + wv[-1], y[test] == 1) for v, wv in zip(views, w)]
-    z = np.stack([_log_odds(x[test][:, v], wv, s) for v, wv, s in zip(views, w, scale)], 1)
-    combine = logistic(z, y[test].astype(float), l2=1.0, rounds=500)
+    w = [logistic(x[fit][:, v], y[fit].astype(float), balanced(y[fit]), l2=0.3) for v in (TEXT, META)]
+    return calibrated(w[0], w[1], x[test], y[test]), test
+
+
+def calibrated(text: np.ndarray, meta: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
+    scale = [platt(x[:, v] @ w[:-1] + w[-1], y == 1) for v, w in ((TEXT, text), (META, meta))]
+    z = np.stack([_log_odds(x[:, v], w, s) for v, w, s in zip((TEXT, META), (text, meta), scale)], 1)
+    combine = logistic(z, y.astype(float), l2=1.0, rounds=500)
     combine[:2] = np.maximum(combine[:2], 0)
-    return Model(w[0].astype(np.float32), w[1].astype(np.float32), scale[0], scale[1], combine)
+    return Model(text.astype(np.float32), meta.astype(np.float32), scale[0], scale[1], combine)
+
+
+def _step(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> np.ndarray:
+    slope = weight * (sigmoid(x @ w[:-1] + w[-1]) - y) / len(x)
+    return w - rate * np.r_[slope @ x, slope.sum()]
+
+
+class Exchange:
+    """What one task learns in one round. Rows that a view is sure of go to the other view in equal numbers of both classes,
+    which its labelled rows keep in place; what is left over at the end of a task is learned from too."""
+
+    def __init__(self, model: Model, x: np.ndarray, y: np.ndarray):
+        self.model, self.x, self.y = model, x, y
+        self.w = [model.text.astype(np.float64), model.meta.astype(np.float64)]
+        self.given = [0, 0]
+        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+    def add(self, rows: np.ndarray) -> None:
+        p = self.model.predict(rows)
+        for other in (0, 1):
+            sure = (p[1 - other] <= SURE[0]) | (p[1 - other] >= SURE[1])
+            if sure.any():
+                self.held[other].append((rows[sure][:, (TEXT, META)[other]], (p[1 - other][sure] > 0.5).astype(float)))
+                if sum(len(y) for _, y in self.held[other]) >= CHUNK:
+                    self.learn(other)
+
+    def learn(self, other: int) -> None:
+        if not self.held[other]:
+            return
+        x, y = (np.concatenate(p) for p in zip(*self.held[other]))
+        self.held[other] = []
+        labelled = np.resize(np.arange(len(self.x)), max(len(x), 256))
+        every = np.concatenate([x, self.x[labelled][:, (TEXT, META)[other]]])
+        target = np.r_[y, self.y[labelled]]
+        weight = balanced(target) * np.r_[np.full(len(x), 0.5), np.ones(len(labelled))]
+        for _ in range(STEPS):
+            self.w[other] = _step(self.w[other], every, target, weight, 0.5)
+        self.given[other] += len(x)
 
 
 COLUMNS = ("text", "source", "lang", "n_chars")
@@ -134,7 +147,7 @@ COLUMNS = ("text", "source", "lang", "n_chars")
 
 def _vectors(columns: list[list], rows: range | list[int]) -> list[np.ndarray]:
     text, source, lang, n_chars = columns
-    return [np.r_[content(text[i] or ""), metadata(text[i] or "", source[i], lang[i], n_chars[i])] for i in rows]
+    return [np.r_[content(text[i] or ""), metadata(source[i], lang[i], n_chars[i])] for i in rows]
 
 
 def _collected(drawn: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -147,15 +160,57 @@ def _collected(drawn: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     got = sorted((int(r["quality"]), bytes(r["x"])) for r in drawn.select(*COLUMNS, "quality").mapInArrow(run, "quality int, x binary").collect())
     order = np.random.default_rng(0).permutation(len(got))
-    x = np.stack([unpack(got[i][1], DIMS) for i in order]) if got else np.zeros((0, DIMS), np.float32)
-    return x, np.array([got[i][0] for i in order], int)
+    return table([got[i][1] for i in order], DIMS), np.array([got[i][0] for i in order], int)
+
+
+WEIGHTS = "part int, view int, given long, weights binary"
+
+
+def _weights(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)] + [pa.array([r[3].astype("<f4").tobytes() for r in rows], pa.binary())], ["part", "view", "given", "weights"])
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
+def one_round(docs: DataFrame, model: Model, x: np.ndarray, y: np.ndarray) -> tuple[Model, list[int]]:
+    """The views' weights after every document's say, and how many rows each view was given. The tasks' weights are
+    averaged in groups of 32, so no task and not the driver holds more than so many of them."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, [pack(row) for row in x], y))
+
+    def run(batches):
+        begun, rows, labels = shared.value
+        own = Exchange(begun, table(rows, DIMS), labels)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                own.add(np.stack(_vectors([part.column(i).to_pylist() for i in range(len(COLUMNS))], range(part.num_rows))))
+        own.learn(0)
+        own.learn(1)
+        yield _weights([(TaskContext.get().partitionId(), i, own.given[i], own.w[i]) for i in (0, 1) if own.given[i]])
+
+    def average(t: pa.Table) -> pa.Table:
+        total, mean = 0, 0.0
+        for n, data in sorted(zip(t["given"].to_pylist(), t["weights"].to_pylist())):
+            total += n
+            mean = mean + (np.frombuffer(data, "<f4").astype(np.float64) - mean) * (n / total)
+        return pa.Table.from_batches([_weights([(t["part"][0].as_py() // 32, t["view"][0].as_py(), total, mean)])])
+
+    parts = materialize(docs.select(*COLUMNS).mapInArrow(run, WEIGHTS), "weights")
+    while parts.count() > 64:
+        parts = materialize(parts.groupBy(F.expr("part div 32"), "view").applyInArrow(average, WEIGHTS), "weights")
+    w, given = [model.text, model.meta], [0, 0]
+    rows = sorted((r["view"], r["given"], bytes(r["weights"])) for r in parts.collect())
+    for i in (0, 1):
+        given[i] = sum(n for view, n, _ in rows if view == i)
+        if given[i]:
+            w[i] = sum(np.frombuffer(data, "<f4").astype(np.float64) * (n / given[i]) for view, n, data in rows if view == i).astype(np.float32)
+    return replace(model, text=w[0], meta=w[1]), given
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
     """labels: doc_id, quality (0 or 1; rows with null count for nothing, of two for one document the lower holds).
 
-    Rows are drawn by hash at rates that the counts set, so that about ``labelled`` of each class and ``pool`` others
-    reach the driver, as vectors.
+    Labelled rows are drawn by hash at rates that the counts set, so that about ``labelled`` of each class reach the
+    driver, as vectors. The rounds of exchange run over all of ``docs``, whether labelled or not.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -165,13 +220,17 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     drawn = known.filter(hashed < F.when(F.col("quality") == 1, labelled / counts[1]).otherwise(labelled / counts[0]) * (1 << 30))
     docs = docs.select("doc_id", *COLUMNS)
     x, y = _collected(docs.join(F.broadcast(drawn), "doc_id"))  # bounded: about twice ``labelled`` rows of two numbers
-    n = docs.count()
-    others = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pool")), F.lit(1 << 30)) < F.lit(pool / max(n, 1) * (1 << 30)))
-    others = others.join(F.broadcast(drawn), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
-    u, _ = _collected(others)
-    model = co_train(x, y, u)
-    if model:
-        model.prior = float(np.log(counts[1] / counts[0] * (y == 0).sum() / (y == 1).sum()))
+    if (begun := start(x, y)) is None:
+        return None
+    model, test = begun
+    fit = ~test if not test.all() else test
+    prior = float(np.log(counts[1] / counts[0] * (y == 0).sum() / (y == 1).sum()))
+    for _ in range(rounds):
+        told, given = one_round(docs, model, x[fit], y[fit])
+        if not any(given):
+            break
+        model = calibrated(told.text, told.meta, x[test], y[test])
+    model.prior = prior
     return model
 
 
@@ -202,5 +261,10 @@ def score(docs: DataFrame, model: Model | None, least: float = LEAST, prefix: st
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_text, p_meta, quality_score, keep of every document."""
+    """doc_id, p_text, p_meta, quality_score, keep of every document.
+
+    A null or empty text is scored as such, a null in a metadata column as a value of its own. Rows that repeat are scored
+    alike, each in a row of its own; an empty table gives none. Without labels of both classes the scores are null and every
+    document is kept. A score just at the limit is kept.
+    """
     return score(docs.select("doc_id", *COLUMNS), train(docs, labels)).drop(*COLUMNS)
