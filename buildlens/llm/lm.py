@@ -10,46 +10,64 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import is_held_out, materialize, utf8_lower_words
+from buildlens.llm.common import DistinctWords, is_held_out, materialize, pieces_of
 
 #: Words with ids, in classes of PER; classes of other words; sizes of embedding and state.
-WORDS, PER, RARE, EMBED, STATE = 2048, 32, 32, 24, 32
+WORDS, PER, RARE, EMBED, STATE = 1024, 32, 16, 16, 24
 CLASSES = WORDS // PER + RARE
-#: Words whose counts every task has at hand, a fixed number; the counts of all others meet their documents by a join.
+#: At most so many of the most frequent words have their counts at hand in every task; the counts of all others meet their
+#: documents by a join.
 AT_HAND = 131_072
 #: Steps of a window of truncated backpropagation, and windows learned from at once.
-WINDOW, STREAMS = 20, 64
-#: First the driver learns on a draw of at most about so many documents, for so many steps.
-DRAW, FIRST_STEPS = 600, 500
-#: Tokens and documents that a task scores side by side.
-TOKENS, DOCS = 3_000_000, 8192
+WINDOW, STREAMS, LEAST_STREAMS = 20, 384, 192
+#: First the driver learns on a draw of at most about so many documents, for so many steps of so many streams.
+DRAW, FIRST_STEPS, FIRST_STREAMS = 600, 300, 64
+#: Tokens that a task lays out, at two bytes each, before it learns from them.
+LAID = 20_000_000
+#: Rate of the pass over the corpus.
+RATE = 0.002
+#: Documents scored side by side.
+ABREAST = 512
 END = b""
 
 
+class Tokens:
+    """Tokens of a slice of texts: ``words``, each distinct one once, as bytes; ``at``, the place of every token's word
+    among them; ``rows``, the first token of each text, and their number at last. The end of a text is its last token."""
+
+    def __init__(self, part: pa.Array):
+        w = DistinctWords(pc.ascii_split_whitespace(pc.ascii_lower(part)))
+        at = w.at.to_numpy()
+        blank = w.words.index("").as_py()
+        real = at != blank
+        text = np.repeat(np.arange(len(part), dtype=np.int32), np.diff(w.rows))[real]
+        self.rows = np.r_[0, np.cumsum(np.bincount(text, minlength=len(part)) + 1)]
+        self.at = np.full(self.rows[-1], blank if blank >= 0 else len(w.words), np.int32)
+        self.at[np.arange(len(text)) + text] = at[real]
+        self.words = w.words.cast(pa.binary())
+        if blank < 0:
+            self.words = pa.concat_arrays([self.words, pa.array([END], pa.binary())])
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token (binary; the end of a document is empty), n over all texts."""
 
     def run(batches):
-        counts: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(utf8_lower_words(t))
-                counts[END] += 1
-            if len(counts) > 500_000:
-                yield out(counts)
-                counts = Counter()
-        yield out(counts)
-
-    def out(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+            for _, part in pieces_of(b.column(0), 16 << 20):
+                tokens = Tokens(part)
+                n = np.bincount(tokens.at, minlength=len(tokens.words))
+                yield pa.RecordBatch.from_arrays([tokens.words, pa.array(n)], ["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -71,7 +89,15 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """What tasks need of the counts: of fixed size, but for the sums, which run over all words."""
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = [(bytes(r["token"]), r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(AT_HAND).collect()]
+    # a word's level is the logarithm of its count, so there are some thousand levels, whatever the corpus
+    level = F.floor(F.log("n") * 100)
+    words, least = 0, None
+    for r in counts.filter("n > 0").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("level")).collect():
+        words += r["v"]
+        if words > AT_HAND:
+            break
+        least = r["level"]
+    top = sorted(((bytes(r["token"]), r["n"]) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0])) if least is not None else []
     ids = {END: 0}
     for w, _ in top:
         if len(ids) == WORDS:
@@ -99,7 +125,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 @dataclass
@@ -109,6 +135,14 @@ class Network:
     p: dict[str, np.ndarray]
     m: dict = field(default_factory=dict)
     t: int = 0
+    scratch: dict = field(default_factory=dict)
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that is kept from window to window: fresh memory costs as much time as the arithmetic."""
+        n = math.prod(shape)
+        if name not in self.scratch or self.scratch[name].size < n:
+            self.scratch[name] = np.empty(n, np.float32)
+        return self.scratch[name][:n].reshape(shape)
 
     @staticmethod
     def fresh(words: int, log_share: np.ndarray, log_in_class: np.ndarray, seed: int = 0) -> "Network":
@@ -117,63 +151,90 @@ class Network:
         f = lambda *s: (r.standard_normal(s) / math.sqrt(s[-2])).astype(np.float32)
         return Network({"e": 0.3 * r.standard_normal((WORDS + RARE, EMBED)).astype(np.float32), "wx": f(EMBED, 3 * STATE), "b": np.zeros(3 * STATE, np.float32), "u": f(STATE, 3 * STATE), "wc": 0.3 * f(STATE, CLASSES), "bc": log_share.astype(np.float32), "wo": 0.3 * f(WORDS // PER, STATE, PER), "bo": log_in_class.astype(np.float32)})
 
-    def step(self, xp: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def step(self, xp: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Next state; gates (update, reset), new content, and what the reset gate lets through of the state."""
         s, hu = STATE, h @ self.p["u"]
-        zr = _sigmoid(xp[:, : 2 * s] + hu[:, : 2 * s])
-        z, r = zr[:, :s], zr[:, s:]
-        c = np.tanh(xp[:, 2 * s :] + r * hu[:, 2 * s :])
-        return (1 - z) * c + z * h, (h, z, r, c, hu[:, 2 * s :])
+        gates = _sigmoid(xp[:, : 2 * s] + hu[:, : 2 * s])
+        z = gates[:, :s]
+        c = np.tanh(xp[:, 2 * s :] + gates[:, s:] * hu[:, 2 * s :])
+        return c + z * (h - c), gates, c, hu[:, 2 * s :]
+
+    def table(self) -> np.ndarray:
+        """What each input adds to the gates."""
+        return self.p["e"] @ self.p["wx"] + self.p["b"]
 
     def train_window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One window of every stream: x, y (steps, streams) inputs and targets, y < 0 for none; fresh: a document starts here."""
-        p, s = self.p, STATE
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        xe = p["e"][x]
-        xp = xe @ p["wx"] + p["b"]
-        keep, states = [], []
-        for t in range(len(x)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            h, k = self.step(xp[t], h)
-            keep.append(k)
-            states.append(h)
-        last = h
-        hs = np.stack(states).reshape(-1, s)
-        target = y.reshape(-1)
-        known = np.flatnonzero(target >= 0)
-        n = max(1, len(known))
-        dh = np.zeros_like(hs)
-        hk, tk = hs[known], target[known]
+        p, s, (steps, streams) = self.p, STATE, x.shape
+        g, starts = {}, fresh.any(1).tolist()
+        xp = np.take(self.table().astype(np.float32), x, axis=0, out=self.room("xp", steps, streams, 3 * s), mode="clip")
+        before, after, content, passed = (self.room(k, steps, streams, s) for k in ("before", "after", "content", "passed"))
+        gates = self.room("gates", steps, streams, 2 * s)
+        for t in range(steps):
+            before[t] = h
+            if starts[t]:
+                before[t][fresh[t]] = 0
+            after[t], gates[t], content[t], passed[t] = self.step(xp[t], before[t])
+            h = after[t]
+        hk, tk = after.reshape(-1, s), y.reshape(-1)
+        known = None
+        if (tk < 0).any():
+            known = np.flatnonzero(tk >= 0)
+            hk, tk = hk[known], tk[known]
+        n = max(1, len(tk))
         cls = np.where(tk < WORDS, tk // PER, WORDS // PER + tk - WORDS)
-        d = _softmax(hk @ p["wc"] + p["bc"])
-        d[np.arange(len(cls)), cls] -= 1
-        d /= n
+        d = np.matmul(hk, p["wc"], out=self.room("classes", len(hk), CLASSES))
+        d = _slopes(d, p["bc"] - _above(p["wc"], p["bc"]), cls, n)
         g["wc"], g["bc"] = hk.T @ d, d.sum(0)
-        dk = d @ p["wc"].T
-        for c in np.unique(cls[tk < WORDS]):
-            rows = np.flatnonzero((cls == c) & (tk < WORDS))
-            d = _softmax(hk[rows] @ p["wo"][c] + p["bo"][c])
-            d[np.arange(len(rows)), tk[rows] % PER] -= 1
-            d /= n
-            g["wo"][c], g["bo"][c] = hk[rows].T @ d, d.sum(0)
-            dk[rows] += d @ p["wo"][c].T
-        dh[known] = dk
-        dh = dh.reshape(len(x), -1, s)
-        back = np.zeros_like(last)
-        dxp = np.empty_like(xp)
-        for t in range(len(x) - 1, -1, -1):
-            h0, z, r, c, hun = keep[t]
-            dt = dh[t] + back
-            dc = dt * (1 - z) * (1 - c * c)
-            dz, dr = dt * (h0 - c) * z * (1 - z), dc * hun * r * (1 - r)
-            dxp[t] = np.hstack([dz, dr, dc])
-            dhu = np.hstack([dz, dr, dc * r])
-            g["u"] += h0.T @ dhu
-            back = np.where(fresh[t][:, None], np.float32(0), dt * z + dhu @ p["u"].T)
-        flat = dxp.reshape(-1, 3 * s)
-        g["b"], g["wx"] = flat.sum(0), xe.reshape(-1, EMBED).T @ flat
-        np.add.at(g["e"], x.reshape(-1), flat @ p["wx"].T)
+        dk = np.matmul(d, p["wc"].T, out=self.room("dk", len(hk), s))
+        order, cut = by_class(cls)
+        ho, to = hk[order], tk[order]
+        d, back = self.room("words", len(order), PER), self.room("back", len(order), s)
+        bias = p["bo"] - _above(p["wo"], p["bo"])
+        used = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+        for c, own in used:
+            np.matmul(ho[own], p["wo"][c], out=d[own])
+            d[own] += bias[c]
+        d = _slopes(d, None, to % PER, n)
+        g["wo"], g["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
+        if used:
+            g["bo"][[c for c, _ in used]] = np.add.reduceat(d, [own.start for _, own in used], axis=0)
+        for c, own in used:
+            g["wo"][c] = ho[own].T @ d[own]
+            np.matmul(d[own], p["wo"][c].T, out=back[own])
+        dk[order] += back
+        if known is not None:
+            dh = np.zeros((steps * streams, s), np.float32)
+            dh[known] = dk
+            dk = dh
+        dh = dk.reshape(steps, streams, s)
+        dx, du = self.room("dx", steps, streams, 3 * s), self.room("du", steps, streams, 3 * s)
+        ut, back = np.ascontiguousarray(p["u"].T), np.zeros((streams, s), np.float32)
+        for t in range(steps - 1, -1, -1):
+            dt, z, r, c, own = dh[t] + back, gates[t, :, :s], gates[t, :, s:], content[t], dx[t]
+            keep = dt * z
+            dt -= keep  # what passes through the new content
+            dc = dt * (1 - c * c)
+            own[:, 2 * s :] = dc
+            dc *= r
+            du[t, :, 2 * s :] = dc
+            np.multiply(keep, (before[t] - c) * (1 - z), out=own[:, :s])
+            np.multiply(dc, passed[t] * (1 - r), out=own[:, s : 2 * s])
+            du[t, :, : 2 * s] = own[:, : 2 * s]
+            back = du[t] @ ut
+            back += keep
+            if starts[t]:
+                back[fresh[t]] = 0
+        flat, at = dx.reshape(-1, 3 * s), x.reshape(-1)
+        g["u"], g["b"], g["wx"] = before.reshape(-1, s).T @ du.reshape(-1, 3 * s), flat.sum(0), p["e"][at].T @ flat
+        order = np.argsort(at.astype(np.int16), kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        g["e"] = np.zeros_like(p["e"])
+        g["e"][at[first]] = np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
+        h = h.copy()
         self._adam(g, rate)
-        return last
+        return h
 
     def _adam(self, g: dict[str, np.ndarray], rate: float) -> None:
         norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
@@ -197,63 +258,77 @@ class Network:
         return Network(out)
 
     def log10_likelihood(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Of each document's ids, without what a rare word has within its class. All documents go side by side, longest first, each with its own state from start to end."""
+        """Of each document's ids, without what a rare word has within its class. Documents of like length go side by side, longest first, each with its own state from start to end."""
         out = np.zeros(len(docs))
         order = np.argsort([-len(d) for d in docs], kind="stable")
-        size = np.array([len(docs[i]) for i in order])
-        table = self.p["e"] @ self.p["wx"] + self.p["b"]
-        h = np.zeros((len(docs), STATE), np.float32)
-        longest = int(size[0]) if len(size) else 0
-        before = np.zeros(len(docs), np.int64)
-        for start in range(0, longest, WINDOW):
-            n = int((size > start).sum())
-            width = min(WINDOW, longest - start)
-            y = np.full((width, n), -1, np.int64)
-            for row in range(n):
-                part = docs[order[row]][start : start + width]
-                y[: len(part), row] = part
-            going = (y >= 0).sum(1)
-            states = np.zeros((width, n, STATE), np.float32)
-            for t in range(width):
-                a = int(going[t])
-                x = before[:a] if t == 0 else y[t - 1, :a]
-                h[:a], _ = self.step(table[x], h[:a])
-                states[t, :a] = h[:a]
-            last = y[width - 1]
-            before = np.where(last >= 0, last, 0)
-            t, row = np.nonzero(y >= 0)
-            for k in range(0, len(t), 65_536):
-                part = slice(k, k + 65_536)
-                found = self._log10(states[t[part], row[part]], y[t[part], row[part]])
-                out[order[:n]] += np.bincount(row[part], found, minlength=n)
+        table = self.table()
+        for at in range(0, len(order), ABREAST):
+            rows = order[at : at + ABREAST]
+            out[rows] = self._abreast([docs[i] for i in rows], table)
+        return out
+
+    def _abreast(self, docs: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+        size = np.array([len(d) for d in docs])  # descending
+        every, starts = np.concatenate(docs), np.cumsum(size) - size
+        out, h = np.zeros(len(docs)), np.zeros((len(docs), STATE), np.float32)
+        states, found, held = [], [], 0
+        for t in range(int(size[0])):
+            n = int(np.searchsorted(-size, -t, "left"))  # documents longer than t
+            x = every[starts[:n] + t - 1] if t else np.zeros(n, np.int64)
+            h = self.step(table[x], h[:n])[0]
+            states.append(h)
+            found.append(every[starts[:n] + t])
+            held += n
+            if held >= 32_768 or t + 1 == size[0]:
+                got = self._log10(np.concatenate(states), np.concatenate(found))
+                out += np.bincount(np.concatenate([np.arange(len(f)) for f in found]), got, minlength=len(docs))
+                states, found, held = [], [], 0
         return out
 
     def _log10(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         cls = np.where(y < WORDS, y // PER, WORDS // PER + y - WORDS)
         z = h @ self.p["wc"] + self.p["bc"]
-        out = (z[np.arange(len(y)), cls] - _log_sum(z)).astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(WORDS // PER + 1))
-        for c in range(WORDS // PER):
-            rows = order[cut[c] : cut[c + 1]]
-            if len(rows):
-                z = h[rows] @ self.p["wo"][c] + self.p["bo"][c]
-                out[rows] += z[np.arange(len(rows)), y[rows] % PER] - _log_sum(z)
+        out = z[np.arange(len(y)), cls].astype(np.float64)
+        out -= _log_sum(z, _above(self.p["wc"], self.p["bc"]))
+        order, cut = by_class(cls)
+        ho, z = h[order], np.empty((len(order), PER), h.dtype)
+        for c, (a, b) in enumerate(zip(cut, cut[1:])):
+            if a < b:
+                z[a:b] = ho[a:b] @ self.p["wo"][c] + self.p["bo"][c]
+        out[order] += z[np.arange(len(order)), y[order] % PER].astype(np.float64) - _log_sum(z, _above(self.p["wo"], self.p["bo"]))
         return out / math.log(10)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Places of the tokens of words with ids, in order of class, and where each class begins among them."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    cut = np.searchsorted(cls[order], np.arange(WORDS // PER + 1))
+    return order[: cut[-1]], cut.tolist()
+
+
+def _above(w: np.ndarray, b: np.ndarray) -> np.float32:
+    """About the most that a logit can be, as states lie between -1 and 1. One number, taken from every logit of a table
+    for its exponential, spares looking for each row's own largest."""
+    return np.float32(min((np.abs(w).sum(-2) + b).max(), 60.0))
+
 
+def _slopes(z: np.ndarray, bias: np.ndarray | None, target: np.ndarray, n: int) -> np.ndarray:
+    """Slopes of the mean of n losses by the logits, in their place."""
+    if bias is not None:
+        z += bias
+    np.exp(z, out=z)
+    z *= (1 / n / z.sum(1, keepdims=True)).astype(np.float32)
+    z[np.arange(len(z)), target] -= np.float32(1 / n)
+    return z
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    m = z.max(1)
-    return m + np.log(np.exp(z - m[:, None]).sum(1))
+
+def _log_sum(z: np.ndarray, above: np.float32) -> np.ndarray:
+    z -= above
+    return above + np.log(np.exp(z, out=z).sum(1))
 
 
 class Lookup:
-    """Words to ids and counts, with one dictionary lookup for each token."""
+    """Words to ids and counts; each distinct word of a slice is looked up once."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.place = v, {w: i for i, w in enumerate(v.counts)}
@@ -267,10 +342,18 @@ class Lookup:
         get = self.place.get
         at = np.array([get(w, -1) for w in words], np.int64)
         ids = self.id[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            ids[i] = WORDS + self.v.rare_class(words[i])
+        other = np.flatnonzero(at < 0).tolist()
+        ids[other] = [WORDS + self.v.rare_class(words[i]) for i in other]
         return ids, at
 
+    def texts(self, column: pa.Array, most_bytes: int = 24 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for _, part in pieces_of(column, most_bytes):
+            tokens = Tokens(part)
+            ids = self(tokens.words.to_pylist())[0][tokens.at]
+            for a, b in zip(tokens.rows.tolist(), tokens.rows[1:].tolist()):
+                yield ids[a:b]
+
 
 def start_network(v: Vocabulary) -> Network:
     count = np.zeros(WORDS)
@@ -286,53 +369,57 @@ def whole(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, ids[:-1]], ids
 
 
-def learn(net: Network, texts: list[tuple[np.ndarray, np.ndarray]], rate: float, steps: int | None = None) -> int:
-    """Lays texts (inputs, targets) end to end in streams and learns window by window; the state is carried from window to
-    window of a text. Once over all, or for so many steps. Returns the tokens learned from."""
+def learn(net: Network, texts: list[tuple[np.ndarray, np.ndarray]], rate: float, steps: int) -> None:
+    """Lays texts (inputs, targets) end to end in streams and learns window by window for so many steps, over and over; the
+    state is carried from window to window of a text."""
     if not texts:
-        return 0
+        return
     x, y = (np.concatenate(p) for p in zip(*texts))
     fresh = np.concatenate([np.r_[True, np.zeros(len(t[0]) - 1, bool)] for t in texts])
-    streams = max(1, min(STREAMS, len(x) // WINDOW))
+    streams = max(1, min(FIRST_STREAMS, len(x) // WINDOW))
     long = -(-len(x) // streams)
     pad = streams * long - len(x)
     x, y, fresh = (np.r_[a, np.full(pad, f)].reshape(streams, long).T for a, f in ((x, 0), (y, -1), (fresh, False)))
-    done, seen = 0, 0
-    while True:
+    done = 0
+    while done < steps:
         h = np.zeros((streams, STATE), np.float32)
-        for start in range(0, long, WINDOW):
+        for start in range(0, min(long, WINDOW * (steps - done)), WINDOW):
             part = slice(start, start + WINDOW)
-            h = net.train_window(x[part], y[part], fresh[part], h, rate if steps is None else rate * (1 - 0.8 * done / steps))
-            done, seen = done + 1, seen + int((y[part] >= 0).sum())
-            if steps is not None and done >= steps:
-                return seen
-        if steps is None:
-            return seen
-
-
-def learn_whole(net: Network, texts: list[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
-    """Learns once from every token of the texts, each with the state carried from its start: a text lies whole in one
-    stream, the longest first in the shortest, and a window has the streams that are not at their end. Returns the tokens."""
-    ends = [(0, i) for i in range(min(STREAMS, len(texts)))]
-    streams: list[list] = [[] for _ in ends]
-    for t in sorted(texts, key=lambda t: -len(t[0])):
+            h = net.train_window(x[part], y[part], fresh[part], h, rate * (1 - 0.8 * done / steps))
+            done += 1
+
+
+def learn_whole(net: Network, texts: list[np.ndarray], rate: float) -> int:
+    """Learns once from every token of the texts (ids), each with the state carried from its start: a text lies whole in one
+    stream, the longest first in the shortest, and a window has the streams that are not at their end. There are fewer
+    streams if the longest text would outlast the others. Returns the tokens."""
+    texts = sorted(filter(len, texts), key=lambda t: -len(t))
+    if not texts:
+        return 0
+    total = sum(map(len, texts))
+    count = min(len(texts), max(LEAST_STREAMS, min(STREAMS, total // len(texts[0]))))
+    ends, streams = [(0, i) for i in range(count)], [[] for _ in range(count)]
+    for t in texts:
         n, i = heapq.heappop(ends)
         streams[i].append(t)
-        heapq.heappush(ends, (n + len(t[0]), i))
-    size = np.array(sorted((n for n, _ in ends), reverse=True), int)
+        heapq.heappush(ends, (n + len(t), i))
     streams = [streams[i] for _, i in sorted(ends, reverse=True)]
-    long = int(size[0]) if len(size) else 0
-    x, y, fresh = np.zeros((long, len(size)), np.int64), np.full((long, len(size)), -1, np.int64), np.zeros((long, len(size)), bool)
-    for i, own in enumerate(streams):
-        at = 0
-        for a, b in own:
-            x[at : at + len(a), i], y[at : at + len(a), i], fresh[at, i] = a, b, True
-            at += len(a)
-    h = np.zeros((len(size), STATE), np.float32)
-    for start in range(0, long, WINDOW):
-        part, n = slice(start, start + WINDOW), int((size > start).sum())
-        h = net.train_window(x[part, :n], y[part, :n], fresh[part, :n], h[:n], rate)
-    return int(size.sum())
+    size = np.array([sum(map(len, own)) for own in streams])
+    ids = [np.concatenate(own).astype(np.int64) for own in streams]
+    starts = [np.cumsum([0, *map(len, own[:-1])]) for own in streams]
+    h = np.zeros((count, STATE), np.float32)
+    for start in range(0, int(size[0]), WINDOW):
+        n, width = int((size > start).sum()), min(WINDOW, int(size[0]) - start)
+        y = np.full((n, width + 1), -1, np.int64)  # a token before the window's first one
+        fresh = np.zeros((n, width), bool)
+        for i in range(n):
+            part = ids[i][max(start - 1, 0) : start + width]
+            y[i, (start == 0) : (start == 0) + len(part)] = part
+            a, b = np.searchsorted(starts[i], (start, start + width))
+            fresh[i, starts[i][a:b] - start] = True
+        x = np.where(fresh, 0, np.maximum(y[:, :-1], 0))
+        h = net.train_window(x.T, y[:, 1:].T, fresh.T, h[:n], rate)
+    return total
 
 
 WEIGHTS = "part long, tokens long, weights binary"
@@ -347,16 +434,15 @@ def one_pass(docs: DataFrame, shared, begun) -> DataFrame:
 
     def go_on(batches):
         look = Lookup(shared.value)
-        own, seen, held, size = start_network(shared.value).unflat(begun.value), 0, [], 0
+        own, held, size, seen = start_network(shared.value).unflat(begun.value), [], 0, 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ids, _ = look([*utf8_lower_words(t), END])
-                held.append(whole(ids))
+            for ids in look.texts(b.column(0)):
+                held.append(ids.astype(np.int16))
                 size += len(ids)
-                if size >= 100_000:
-                    seen += learn_whole(own, held, 0.002)
+                if size >= LAID:
+                    seen += learn_whole(own, held, RATE)
                     held, size = [], 0
-        seen += learn_whole(own, held, 0.002)
+        seen += learn_whole(own, held, RATE)
         if seen:
             yield _weights([TaskContext.get().partitionId()], [seen], [own.flat()])
 
@@ -377,12 +463,13 @@ def train(docs: DataFrame, v: Vocabulary) -> Network:
     def encoded(batches):
         look = Lookup(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([look([*utf8_lower_words(t), END])[0].astype("<i4").tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i4").tobytes() for ids in look.texts(b.column(0))], pa.binary())], ["ids"])
 
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(DRAW / n * (1 << 30))).select("text")
     first = sorted(bytes(r["ids"]) for r in drawn.mapInArrow(encoded, "ids binary").collect())
     order = np.random.default_rng(0).permutation(len(first))
     learn(net, [whole(np.frombuffer(first[i], "<i4").astype(np.int64)) for i in order], 0.01, FIRST_STEPS)
+
     def average(t: pa.Table) -> pa.Table:
         total, mean = 0, 0.0
         for k, data in sorted(zip(t["tokens"].to_pylist(), t["weights"].to_pylist())):
@@ -414,31 +501,25 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, net: Network) -> Da
         floor = math.log10(voc.total + voc.distinct + 1)
         rare = np.log10(voc.rare_tokens + voc.rare_words + 1)
         known = np.array([voc.counts.get(w, 0) > 0 for w in look.place])
-        held, size = [], 0
-
-        def flush():
-            got = model.log10_likelihood([h[1] for h in held])
-            for i, h in enumerate(held):
-                h[5] += float(got[i])
-            kinds = (("doc_id", pa.int64(), 0), ("n_tokens", pa.int64(), 2), ("n_known", pa.int64(), 3), ("base_score", pa.float64(), 4), ("score", pa.float64(), 5), ("tokens", pa.list_(pa.binary()), 6), ("times", pa.list_(pa.int32()), 7))
-            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], k) for _, k, i in kinds], [n for n, _, _ in kinds])
-
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = [*utf8_lower_words(text), END]
-                ids, at = look(words)
-                n, met = len(words), at >= 0
-                logs = np.where(met, look.log[at], 0.0)
-                other = Counter([words[i] for i in np.flatnonzero(~met).tolist()])
-                # of a rare word's share, the denominator here; the numerator is in logs, or comes by the join
-                in_class = float(logs[ids >= WORDS].sum()) - float(np.bincount(ids[ids >= WORDS] - WORDS, minlength=RARE) @ rare)
-                held.append([doc_id, ids, n, int(known[at[met]].sum()), float(logs.sum()) - n * floor, in_class, list(other), list(other.values())])
-                size += n
-                if size >= TOKENS or len(held) >= DOCS:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+            for first, part in pieces_of(b.column(1), 16 << 20):
+                tokens = Tokens(part)
+                ids, place = look(tokens.words.to_pylist())
+                met = place >= 0
+                log, seen = np.where(met, look.log[place], 0.0), met & known[place]
+                # of a rare word's share, the denominator here; the numerator is in the logs, or comes by the join
+                in_class = np.where(ids >= WORDS, log - rare[np.maximum(ids - WORDS, 0)], 0.0)
+                n, text = np.diff(tokens.rows), np.repeat(np.arange(len(part), dtype=np.int32), np.diff(tokens.rows))
+                total = lambda x: np.bincount(text, x[tokens.at], len(part))  # noqa: B023, E731
+                own = ids[tokens.at]
+                score = total(in_class) + model.log10_likelihood(np.split(own, tokens.rows[1:-1]))
+                other = np.flatnonzero(~met[tokens.at])
+                pair, times = np.unique(text[other].astype(np.int64) * len(tokens.words) + tokens.at[other], return_counts=True)
+                ends = pa.array(np.searchsorted(pair, np.arange(len(part) + 1) * len(tokens.words)), pa.int32())
+                listed = pa.ListArray.from_arrays(ends, tokens.words.take(pa.array(pair % len(tokens.words))))
+                counts = pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
+                columns = [b.column(0).slice(first, len(part)).cast(pa.int64()), pa.array(n), pa.array(total(seen).astype(np.int64)), pa.array(total(log) - n * floor), pa.array(score), listed, counts]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score", "tokens", "times"])
 
     kind = "doc_id long, n_tokens long, n_known long, base_score double, score double, tokens array<binary>, times array<int>"
     scored = materialize(docs.select("doc_id", "text").mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "scored")
@@ -450,7 +531,12 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, net: Network) -> Da
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document, learning from those not held out."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document, learning from those not held out.
+
+    A null or empty text is its end alone. A null doc_id counts as the empty text where documents are held out. Rows that
+    repeat are scored each, and learned from each. An empty table gives no rows; if all documents are held out, nothing is
+    known and N and V are 0. Words of equal count are ranked by their bytes.
+    """
     held_out = is_held_out(F.col("doc_id"), 7, 2)
     learned = docs.filter(~held_out).select("doc_id", "text")
     counts = materialize(count_tokens(learned), "token-counts")
