@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import materialize
+from buildlens.llm.common import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
+        was, edges = edges, materialize(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
+        discard(was)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -11,7 +11,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import materialize
+from buildlens.llm.common import doc_key, materialize
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -29,11 +29,6 @@ def index_words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")), GAP), ""), F.array().cast("array<string>"))
 
 
-def doc_key() -> Column:
-    """Tells documents apart. Rows of one doc_id and text share a key; all else that met in a key would still be held word by word."""
-    return F.xxhash64("doc_id", "text")
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 

@@ -8,15 +8,15 @@ signature is a part's number and content; sets that share one are candidates, wh
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from buildlens.llm.common import materialize
+from buildlens.llm.common import discard, doc_key, kept, materialize
 from buildlens.llm.components import connected_components
 
 WORDS = 5
@@ -26,12 +26,14 @@ SHARE = 75
 BUCKET = 1_500_000
 #: Signatures gathered before a task hands them on.
 FLUSH = 2_000_000
+#: Candidates name a set by this many high bits of its id. Sets that share them come in together, and cost time alone.
+NAME_BITS = 40
 #: Sets that share a signature are all paired up to this many; larger groups are compared in blocks.
 FEW = 8
 BLOCK = 1024
 #: A set is compared with so many partners first; the others follow where that left components apart.
 PARTNERS = 3
-#: Keys of candidates are broadcast up to so many, 8 bytes each; beyond, documents are joined by a shuffle.
+#: Keys of candidates are broadcast up to so many, some 30 bytes each; beyond, documents are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 U = np.uint64
@@ -115,6 +117,22 @@ def _parts(s: np.ndarray, mixed: np.ndarray, tag: int, variant: int, parts: int)
     return mix(content + mix(part[starts] * U(4 * len(bands())) + U(4 * tag + variant)))
 
 
+def tags_of(n: int) -> list[tuple[int, int]]:
+    """The bands that a set of this size has signatures in, its own and, as the smaller of two, the next; and the most
+    elements in which it can differ there from a set that it is linked with."""
+    own, out = band_of(n), []
+    for tag in (own, own + 1):
+        largest = min(bands()[tag][1], n * 100 // SHARE)
+        if largest >= bands()[tag][0]:
+            out.append((tag, max(most_difference(n + b) for b in range(max(1, largest - 7), largest + 1))))
+    return out
+
+
+def parts_of(tag: int) -> int:
+    k = bands()[tag][2]
+    return math.ceil(1.15 * (k + 1)) + (4 if k else 0)
+
+
 def signatures(s: np.ndarray) -> np.ndarray:
     """Signatures of a set in its own band and, as the smaller of two, in the next.
 
@@ -122,24 +140,24 @@ def signatures(s: np.ndarray) -> np.ndarray:
     linked set holds too. Should a set have fewer, it adds the signatures of a finer cut, and if these are too few also
     one that all such sets of the band share: two sets that both have too few parts meet there.
     """
-    n, mixed, out = len(s), mix(s), []
-    own = band_of(n)
-    for tag in (own, own + 1):
-        low, high, k = bands()[tag]
-        largest = min(high, n * 100 // SHARE)
-        if largest < low:
-            continue
-        own_k = max(most_difference(n + b) for b in range(max(1, largest - 7), largest + 1))
-        found = _parts(s, mixed, tag, 0, math.ceil(1.15 * (k + 1)) + (4 if k else 0))
+    mixed, out = mix(s), []
+    for tag, most in tags_of(len(s)):
+        found = _parts(s, mixed, tag, 0, parts_of(tag))
         out.append(found)
-        if len(found) <= own_k:
-            found = _parts(s, mixed, tag, 1, 4 * k + 16)
+        if len(found) <= most:
+            found = _parts(s, mixed, tag, 1, 4 * bands()[tag][2] + 16)
             out.append(found)
-            if len(found) <= own_k:
+            if len(found) <= most:
                 out.append(mix(np.array([4 * tag + 2], np.uint64)))
     return np.concatenate(out)
 
 
+def slack_of(s: np.ndarray) -> int:
+    """How many signatures a set shares at least with every set that it is linked with: in each band, its parts that hold
+    elements, less those that differences can spoil; 1 at least, by the way that ``signatures`` makes up for too few."""
+    return max(1, min(len(np.unique(((s >> U(32)) * U(parts_of(tag))) >> U(32))) - most for tag, most in tags_of(len(s))))
+
+
 def odd_sketch(s: np.ndarray) -> bytes:
     """Parity of the elements' count in each cell, a power of two of cells, two to four times the elements, 64 at least.
 
@@ -165,44 +183,52 @@ def most_differences(total: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, key (tells rows of other id or text apart), n, h (the set's id), sketch of every document."""
+    """doc_id, key (tells rows of other id or text apart), n, h (the set's id), slack, sketch of every document."""
 
     def run(batches):
         for b in batches:
-            n, h, sketch = [], [], []
+            n, h, slack, sketch = [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingle_set(t)
                 n.append(len(s))
                 h.append(set_id(s) if len(s) else 0)
+                slack.append(slack_of(s) if len(s) else 0)
                 sketch.append(odd_sketch(s) if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "key", "n", "h", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(slack, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "key", "n", "h", "slack", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("key"), "text").mapInArrow(run, "doc_id long, key binary, n long, h long, slack long, sketch binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n long, h long, sketch binary")
+
+def name_of(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - NAME_BITS)
 
 
 def _signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, sets (ids), counts, sigs: signatures packed by bucket, 4 bytes each. A task skips sets that it had."""
+    """bucket, low and high bytes of the sets' names, counts, sigs: signatures packed by bucket, 4 bytes each. A task skips
+    sets that it had."""
 
     def run(batches):
         seen: set[int] = set()
         ids, sigs, size = [], [], 0
 
         def flush():
-            count = np.array([len(x) for x in sigs])
             every = np.concatenate(sigs)
-            owner = np.repeat(np.arange(len(ids)), count)
+            owner = np.repeat(np.arange(len(ids)), [len(x) for x in sigs])
             bucket = ((every >> U(32)) * U(buckets)) >> U(32)
             order = np.argsort(bucket, kind="stable")  # within a bucket still by set
             bucket, owner, low = bucket[order], owner[order], (every[order] & U(0xFFFFFFFF)).astype("<u4")
-            names = np.array(ids, "<i8")
+            names = np.array(ids, "<i8").view("<u8") >> U(64 - NAME_BITS)
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             rows = []
             for a, z in zip(cut, np.r_[cut[1:], len(bucket)]):
                 own = owner[a:z]
                 first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                rows.append((int(bucket[a]), names[own[first]].tobytes(), np.diff(np.r_[first, len(own)]).astype("<u4").tobytes(), low[a:z].tobytes()))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "sets", "counts", "sigs"])
+                of, count = names[own[first]], np.diff(np.r_[first, len(own)])
+                if count.max(initial=0) > 255:  # a row for each 255 signatures of a set
+                    of, count = np.repeat(of, -(-count // 255)), np.concatenate([np.r_[np.full((c - 1) // 255, 255), (c - 1) % 255 + 1] for c in count])
+                rows.append((int(bucket[a]), of.astype("<u4").tobytes(), (of >> U(32)).astype("u1").tobytes(), count.astype("u1").tobytes(), low[a:z].tobytes()))
+            kinds = (pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "low", "high", "counts", "sigs"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -220,18 +246,21 @@ def _signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, sets binary, counts binary, sigs binary")
+    return docs.select("text").mapInArrow(run, "bucket long, low binary, high binary, counts binary, sigs binary")
 
 
 def _candidates(packed: DataFrame) -> DataFrame:
-    """kind 0: a pair a < b of sets that share a signature. kind 1: set b is of the large group a.
+    """kind 0: sets a < b share n signatures of the bucket, as a small group's pair or as a large one's first and another.
+    kind 1: set b is of the large group a of n sets.
 
-    A group of a few sets gives all its pairs, a larger one each set's membership.
+    A large group is the sets that share a signature, more than a few. It gives its members once, and the pairs with its
+    first alone, so rows are never more than a small multiple of the signatures.
     """
 
     def run(table: pa.Table) -> pa.Table:
         column = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
-        ids = np.repeat(column("sets", "<i8"), column("counts", "<u4"))
+        names = column("low", "<u4").astype(np.int64) | column("high", "u1").astype(np.int64) << 32
+        ids = np.repeat(names, column("counts", "u1"))
         sigs = column("sigs", "<u4")
         order = np.lexsort((ids, sigs))
         ids, sigs = ids[order], sigs[order]
@@ -239,19 +268,20 @@ def _candidates(packed: DataFrame) -> DataFrame:
         ids, sigs = ids[once], sigs[once]
         start = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
         count = np.diff(np.r_[start, len(sigs)])
-        place = np.arange(len(ids)) - np.repeat(start, count)
-        many = np.repeat(count, count)
+        place, many = np.arange(len(ids)) - np.repeat(start, count), np.repeat(count, count)
         pairs = []
         for gap in range(1, FEW):  # ids ascend within a group
             at = np.flatnonzero((place >= gap) & (many <= FEW))
             pairs.append(np.stack([ids[at - gap], ids[at]], 1))
-        pair = np.unique(np.concatenate(pairs), axis=0)
         large = many > FEW
+        at = np.flatnonzero(large & (place > 0))
+        pairs.append(np.stack([ids[at - place[at]], ids[at]], 1))
+        pair, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
         bucket = int(table["bucket"][0].as_py()) if table.num_rows else 0
         group = mix(sigs[large].astype(np.uint64) + (U(bucket) << U(32))).astype(np.int64)
-        return pa.table({"kind": pa.array(np.r_[np.zeros(len(pair), np.int32), np.ones(len(group), np.int32)]), "a": pa.array(np.r_[pair[:, 0], group]), "b": pa.array(np.r_[pair[:, 1], ids[large]])})
+        return pa.table({"kind": pa.array(np.r_[np.zeros(len(pair), np.int32), np.ones(len(group), np.int32)]), "a": pa.array(np.r_[pair[:, 0], group]), "b": pa.array(np.r_[pair[:, 1], ids[large]]), "n": pa.array(np.r_[n, many[large]])})
 
-    return packed.groupBy("bucket").applyInArrow(run, "kind int, a long, b long")
+    return packed.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -265,125 +295,194 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= SHARE * (len(a) + len(b) - common)
 
 
-def _fetch_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """h, elements of the documents with these keys, a row for each set."""
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """h, text of a document of each of these sets (key, h). Texts are cheaper to move than elements, which do not compress."""
     n = keys.count()
-    wanted = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi")
-
-    def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                sets = [shingle_set(t) for t in b.column(1).slice(k, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h", "elements"])
-
-    return wanted.mapInArrow(run, "h long, elements binary").dropDuplicates(["h"])
+    return docs.select(doc_key().alias("key"), "text").join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key").select("h", "text").dropDuplicates(["h"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The linked ones of distinct pairs (a, b).
 
-    b's elements travel to a's. An a with many partners is dealt over several tasks, each with its own copy of a's set.
+    b's text travels to a's. An a with many partners is dealt over several tasks, each with its own copy of a's text.
     """
     per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
     dealt = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    right = dealt.join(sets.withColumnRenamed("h", "b"), "b")
-    left = per.join(sets.withColumnRenamed("h", "a"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(F.col("a").alias("a1"), F.col("salt").alias("salt1"), F.col("elements").alias("elements1"))
+    right = dealt.join(texts.withColumnRenamed("h", "b"), "b")
+    left = per.join(texts.withColumnRenamed("h", "a"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(F.col("a").alias("a1"), F.col("salt").alias("salt1"), F.col("text").alias("text1"))
 
     def run(one: pa.Table, many: pa.Table) -> pa.Table:
         keep = []
         if one.num_rows and many.num_rows:
-            a = np.frombuffer(one["elements1"][0].as_buffer(), np.uint64)
-            keep = [i for i, x in enumerate(many["elements"]) if linked(a, np.frombuffer(x.as_buffer(), np.uint64))]
+            a = shingle_set(one["text1"][0].as_py())
+            keep = [i for i, x in enumerate(many["text"]) if linked(a, shingle_set(x.as_py()))]
         return many.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return left.groupBy("a1", "salt1").cogroup(right.select("a", "salt", "b", "elements").groupBy("a", "salt")).applyInArrow(run, "a long, b long")
+    return left.groupBy("a1", "salt1").cogroup(right.select("a", "salt", "b", "text").groupBy("a", "salt")).applyInArrow(run, "a long, b long")
 
 
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b, degree) whose sizes and sketches do not rule a link out."""
-    one, two = (sketches.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+    """Pairs of names (a, b, n) as pairs of set ids, but for those whose sizes and sketches rule a link out."""
+    one, two = (sketches.select(name_of(F.col("h")).alias(x), F.col("h").alias(f"h_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
 
     def run(batches):
         for t in batches:
             most = most_differences(t.column("n_a").to_numpy() + t.column("n_b").to_numpy())
             differ = [int(np.bitwise_count(x[0] ^ x[1]).sum()) for x in map(lambda p: folded(list(p)), zip(t.column("s_a").to_pylist(), t.column("s_b").to_pylist()))]
-            yield t.select(["a", "b", "degree"]).filter(pa.array(np.array(differ, np.int64) <= most))
+            near = t.filter(pa.array((np.array(differ, np.int64) <= most) & (t.column("h_a").to_numpy() != t.column("h_b").to_numpy())))
+            yield pa.RecordBatch.from_arrays([near.column(c) for c in ("h_a", "h_b", "n")], ["a", "b", "n"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "degree", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long, degree long")
+    return pairs.join(one, "a").join(two, "b").select("h_a", "h_b", "n", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long, n long")
 
 
-def near_pairs(ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: list[bytes]) -> np.ndarray:
-    """Pairs across components whose sketches do not rule a link out; of two blocks, those across blocks alone."""
-    words, two, out = folded(sketches), len(np.unique(block)) == 2, [np.zeros((0, 2), np.int64)]
+def near_pairs(ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: list[bytes], most: int) -> np.ndarray | None:
+    """Pairs across components whose sketches do not rule a link out; of two blocks, those across blocks alone. None if
+    they are more than ``most``."""
+    words, two, out, found = folded(sketches), len(np.unique(block)) == 2, [np.zeros((0, 2), np.int64)], 0
     for i in range(len(ids) - 1):
         after = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
         if two:
             after = after[block[after] != block[i]]
         if len(after):
             near = after[np.bitwise_count(words[after] ^ words[i]).sum(1) <= most_differences(sizes[after] + sizes[i])]
+            found += len(near)
+            if found > most:
+                return None
             out.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], 1))
-    return np.unique(np.concatenate(out), axis=0)
+    return np.concatenate(out)
 
 
-def _group_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Near pairs across components within large groups (g, h, component, m: the group's size).
+def spanning_links(ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: list[bytes], texts: list[str]) -> np.ndarray:
+    """Links, compared exactly, that join the same components as all links across blocks do (of one block: all links)."""
+    words, two, out = folded(sketches), len(np.unique(block)) == 2, [np.zeros((0, 2), np.int64)]
+    sets: list[np.ndarray | None] = [None] * len(ids)
+    of = np.unique(component, return_inverse=True)[1]
+
+    def elements(i: int) -> np.ndarray:
+        if sets[i] is None:
+            sets[i] = shingle_set(texts[i])
+        return sets[i]
 
-    A group is cut into blocks of a thousand, and each pair of blocks is one task's: no task holds more, and no pair is left out.
+    for i in range(len(ids) - 1):
+        after = i + 1 + np.flatnonzero(of[i + 1 :] != of[i])
+        if two:
+            after = after[block[after] != block[i]]
+        for j in after[np.bitwise_count(words[after] ^ words[i]).sum(1) <= most_differences(sizes[after] + sizes[i])].tolist():
+            if of[i] != of[j] and linked(elements(i), elements(j)):
+                out.append(np.array([[min(ids[i], ids[j]), max(ids[i], ids[j])]]))
+                of[of == of[j]] = of[i]
+    return np.concatenate(out)
+
+
+def _without_hottest(members: DataFrame) -> DataFrame:
+    """Members (g, name, h, slack, n: the group's size) without each set's hottest large groups, one fewer than its slack. No
+    link is lost.
+
+    Linked sets share as many signatures as the slack of either. The one of these in the smallest group is none that
+    either leaves out: it would have left out all others that they share first.
+    """
+    hottest = Window.partitionBy("name", "h").orderBy(F.desc("n"), "g")
+    return members.withColumn("place", F.row_number().over(hottest)).filter(F.col("place") >= F.col("slack"))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Groups (g, h, component) that reach across components, dealt as pairs of blocks (g, one, two) of a thousand sets.
+
+    A group's main component, that of most of its sets, needs no comparing within. All other sets, the strays, meet each
+    other and the main ones: block ``one`` is of strays, ``two`` of strays (from 0) or of main ones (below 0). So a large
+    group of copies that are linked already costs a row for each, and each pair of blocks is one task's.
     """
-    dealt = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("g", "h", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    per = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
+    groups = per.groupBy("g").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("m")).filter("m > main.n")
+    count = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    groups = groups.select("g", F.col("main.component").alias("main"), count(F.col("m") - F.col("main.n")).alias("strays"), count(F.col("main.n")).alias("mains"))
+    df = members.join(groups, "g")
+    stray = F.col("component") != F.col("main")
+    block = F.when(stray, F.pmod(F.xxhash64("h"), F.col("strays")).cast("int")).otherwise(-1 - F.pmod(F.xxhash64("h"), F.col("mains")).cast("int"))
+    other = F.when(stray, F.expr("sequence(-mains, strays - 1)")).otherwise(F.expr("sequence(0, strays - 1)"))
+    df = df.select("g", "h", "component", block.alias("block"), F.explode(other).alias("other"))
+    one = F.when(F.least("block", "other") < 0, F.greatest("block", "other")).otherwise(F.least("block", "other"))
+    two = F.when(F.least("block", "other") < 0, F.least("block", "other")).otherwise(F.greatest("block", "other"))
+    return df.select("g", "h", "component", "block", one.alias("one"), two.alias("two"))
+
+
+def _group_pairs(dealt: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Near pairs (a, b) across components of each pair of blocks, with null g; or, where they are more than the sets are,
+    g, one, two of the blocks, which are to be compared exactly then and there."""
 
     def run(t: pa.Table) -> pa.Table:
-        numbers = [t[c].to_numpy() for c in ("h", "n", "component", "block")]
-        found = near_pairs(*numbers, t["sketch"].to_pylist()) if t.num_rows else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+        found = np.zeros((0, 2), np.int64)
+        if t.num_rows:
+            found = near_pairs(*[t[c].to_numpy() for c in ("h", "n", "component", "block")], t["sketch"].to_pylist(), t.num_rows)
+            if found is None:
+                return pa.table([t[c].slice(0, 1) for c in ("g", "one", "two")] + [pa.nulls(1, pa.int64())] * 2, ["g", "one", "two", "a", "b"])
+        none = lambda kind: pa.nulls(len(found), kind)
+        return pa.table([none(pa.int64()), none(pa.int32()), none(pa.int32()), pa.array(found[:, 0]), pa.array(found[:, 1])], ["g", "one", "two", "a", "b"])
+
+    return dealt.join(sketches, "h").groupBy("g", "one", "two").applyInArrow(run, "g long, one int, two int, a long, b long")
 
-    return dealt.join(sketches, "h").groupBy("g", "one", "two").applyInArrow(run, "a long, b long")
+
+def _block_links(dealt: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        found = np.zeros((0, 2), np.int64)
+        if t.num_rows:
+            found = spanning_links(*[t[c].to_numpy() for c in ("h", "n", "component", "block")], t["sketch"].to_pylist(), t["text"].to_pylist())
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return dealt.join(sketches, "h").join(texts, "h").groupBy("g", "one", "two").applyInArrow(run, "a long, b long")
 
 
 def set_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """h, component for every set that is linked with another; sets: as ``_sets`` gives.
 
     Candidates are thinned by sketches, which never rule out a link. Then each set is compared with a few partners, those
-    in most groups first, which joins most copies to what they were copied from; the pairs and large groups that still
-    reach across components follow in full.
+    it shares most signatures with, which joins most copies to what they were copied from; the pairs and large groups that
+    still reach across components follow in full.
     """
     spark = docs.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.9 * total / BUCKET))
-    found = materialize(_candidates(_signature_rows(docs, buckets)), "candidates")
-    one_key = materialize(sets.filter("n > 0").groupBy("h").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "one-each")
+    found = kept(_candidates(_signature_rows(docs, buckets)))
+    one_key = kept(sets.filter("n > 0").groupBy("h").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("sketch")))
     sketches = one_key.select("h", "n", "sketch")
 
-    def elements_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        return materialize(_fetch_sets(docs, materialize(one_key.join(ids, "h", "left_semi").select("key"), "keys")), "elements")
-
-    members = found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("h"))
-    degree = members.groupBy("h").agg(F.count(F.lit(1)).alias("degree"))
-    leaders = materialize(members.join(degree, "h").groupBy("g").agg(F.max(F.struct("degree", "h")).alias("first")), "leaders")
-    led = members.join(leaders, "g").filter(F.col("h") != F.col("first.h")).groupBy(F.col("first.h").alias("hub"), "h").agg(F.max("first.degree").alias("degree"))
-    few = found.filter("kind = 0").select("a", "b", F.lit(0).cast("long").alias("degree"))
-    wide = few.unionByName(led.select(F.least("hub", "h").alias("a"), F.greatest("hub", "h").alias("b"), "degree")).groupBy("a", "b").agg(F.max("degree").alias("degree"))
-    pairs = materialize(_near(wide, sketches), "pairs")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return kept(_texts(docs, kept(one_key.join(ids.distinct(), "h", "left_semi").select("key", "h"))))
+
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("h"))
+
+    pairs = kept(_near(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), sketches))
     other = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
-    best = Window.partitionBy("x").orderBy(F.desc("degree"), "a", "b")
+    best = Window.partitionBy("x").orderBy(F.desc("n"), "a", "b")
     chosen = other.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PARTNERS)
-    some = materialize(chosen.select("a", "b").distinct(), "chosen")
-    links = materialize(_verified(some, elements_of(some)), "links")
-    label = materialize(connected_components(links), "components")
+    some = kept(chosen.select("a", "b").distinct())
+    texts = texts_of(of_pairs(some))
+    label = kept(connected_components(_verified(some, texts)))
+    discard(texts)
 
     def labelled(df: DataFrame, name: str, out: str) -> DataFrame:
         return df.join(label.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
 
     across = labelled(labelled(pairs.select("a", "b").join(some, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    members = labelled(members, "h", "component")
-    mixed = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("g", "m")
-    within = _group_pairs(members.join(mixed, "g"), sketches).distinct().join(some, ["a", "b"], "left_anti")
-    rest = materialize(across.union(within).distinct(), "rest")
-    more = _verified(rest, elements_of(rest))
-    return connected_components(materialize(links.union(more), "all-links")).select(F.col("node").alias("h"), "component")
+    members = found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("name"), "n")
+    names = labelled(one_key.select(name_of(F.col("h")).alias("name"), "h", "slack"), "h", "component")
+    members = kept(_without_hottest(members.join(names, "name")).select("g", "h", "component"))
+    dealt = _blocks(members)
+    within = kept(_group_pairs(dealt, sketches))
+    rest = kept(across.union(within.filter("g is null").select("a", "b")).distinct().join(some, ["a", "b"], "left_anti"))
+    rest_texts = texts_of(of_pairs(rest))
+    more = [_verified(rest, rest_texts)]
+    held = [rest_texts]
+    dense = within.filter("g is not null").select("g", "one", "two")
+    if dense.limit(1).count():
+        dealt = kept(dealt.join(dense, ["g", "one", "two"], "left_semi"))
+        held += [dealt, texts_of(dealt.select("h"))]
+        more.append(_block_links(dealt, sketches, held[-1]))
+    stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))  # as good as the links that they come from
+    out = connected_components(reduce(DataFrame.union, more, stars)).select(F.col("node").alias("h"), "component")
+    discard(found, one_key, pairs, some, label, members, within, rest, *held)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -397,7 +496,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = set_components(docs, sets)
     by_set = sets.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("least")).join(label, "h", "left").withColumn("component", F.coalesce("component", "h"))
     smallest = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(by_set.join(smallest, "component").select("h", "component_id"), "names")
+    named = by_set.join(smallest, "component").select("h", "component_id")
     out = sets.join(named, "h", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -414,7 +513,7 @@ def redundant_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
     by_set = sets.filter("n > 0").groupBy("h").agg(first).join(label, "h", "left").withColumn("component", F.coalesce("component", "h"))
     best = by_set.groupBy("component").agg(F.min("first").alias("first"))
-    named = materialize(by_set.drop("first").join(best, "component").select("h", F.col("first.key").alias("stays")), "names")
+    named = by_set.drop("first").join(best, "component").select("h", F.col("first.key").alias("stays"))
     others = materialize(sets.filter("n > 0").join(named, "h").filter("key <> stays").select("key").distinct(), "others")
     many = sets.filter("n > 0 or doc_id is not null").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
     return others, materialize(many.join(others, "key", "left_anti"), "repeated")

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from buildlens.llm.common import materialize
+
 #: Segments of a vector at each level, coarse to fine; a level with more segments than components is left out.
 LEVELS = (1, 4, 16)
-#: Rows of a block of candidates and of a block of queries: what one task holds at a time, whatever the table's size.
-CANDIDATE_ROWS, QUERY_ROWS, STEP = 32_768, 4_096, 256
+#: Most rows of a block of candidates and of a block of queries: what one task holds at a time, whatever the table's size. The
+#: larger the blocks, the fewer copies of a vector are shipped. A small table has blocks of LEAST_ROWS candidates at least.
+CANDIDATE_ROWS, QUERY_ROWS, LEAST_ROWS, STEP = 65_536, 32_768, 4_096, 128
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -78,7 +81,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     stated queries meet all rows in blocks: a task holds one block of each, so the queries are never broadcast. Fewer
     candidates than k: all. No queries or no candidates: no rows.
     """
-    n_chunks = max(1, math.ceil(vectors.count() / CANDIDATE_ROWS))
+    n = vectors.count()
+    n_chunks = max(1, math.ceil(n / CANDIDATE_ROWS), min(n // LEAST_ROWS, vectors.sparkSession.sparkContext.defaultParallelism))
     n_blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
     dim = F.size("vec").alias("dim")
     chunk, block = F.pmod(F.xxhash64("id", "vec"), F.lit(n_chunks)), F.pmod(F.xxhash64("id", "vec"), F.lit(n_blocks))
@@ -100,7 +104,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def search_embeddings(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    vectors = quantised(embeddings, "vec_id", "embedding")
+    """query_id, rank, vec_id, score: the k best of all other rows for each row whose vec_id is divisible by ``every``.
+
+    Vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Rows that repeat id
+    and vector count once; of an id with several vectors each is a row, and none is a candidate of another. Ties go to the
+    smaller id. Other columns are not looked at; an empty table gives no rows.
+    """
+    vectors = materialize(quantised(embeddings, "vec_id", "embedding"), "vectors")
     return top_k(vectors, vectors.filter(F.pmod(F.col("id"), F.lit(every)) == 0), k)
 
 
