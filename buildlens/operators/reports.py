@@ -52,7 +52,7 @@ def response_flags(text: Column) -> dict[str, Column]:
 
 def expanded_commands(commands: DataFrame, files: DataFrame) -> DataFrame:
     """log_id, id, rsp, found, degraded of each response file that a command names (rsp_files); a command with one that is not
-    there is degraded. files: log_id, rsp, text."""
+    there is degraded, and the file has null flags. files: log_id, rsp, text."""
     df = commands.select("log_id", "id", F.explode("rsp_files").alias("rsp")).join(files, ["log_id", "rsp"], "left")
     missing = df.groupBy("log_id", "id").agg(F.bool_or(F.col("text").isNull()).alias("degraded"))
     flags = response_flags(F.col("text"))

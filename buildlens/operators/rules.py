@@ -64,9 +64,16 @@ def rule_violations(frame: DataFrame) -> DataFrame:
 
 
 def _hits(ev: DataFrame, rules: DataFrame) -> DataFrame:
-    """Events with each rule of their kind of which a pattern is found and no negative one. Rules join by kind."""
-    met = ev.join(F.broadcast(rules), "kind")
-    return met.filter(F.expr("rlike(message, regex)") & ~F.expr("rlike(message, negative)"))
+    """Events with each rule of their kind of which a pattern is found and no negative one.
+
+    The library is written by hand, so its rows are few: their patterns stand in the plan as constants and are compiled once.
+    """
+    rows = rules.select("kind", "rule_ord", "regex_ord", "regex", "negative").collect()
+    found = [F.when((F.col("kind") == r["kind"]) & F.col("message").rlike(r["regex"]) & ~F.col("message").rlike(r["negative"]), F.struct(F.lit(r["rule_ord"]).alias("rule_ord"), F.lit(r["regex_ord"]).alias("regex_ord"))) for r in rows]
+    if not found:
+        return ev.join(rules, "kind").filter(F.lit(False))
+    met = ev.select("*", F.explode(F.array_compact(F.array(*found))).alias("_hit")).select(*ev.columns, "_hit.rule_ord", "_hit.regex_ord")
+    return met.join(F.broadcast(rules), ["kind", "rule_ord", "regex_ord"])
 
 
 def context_holds(full: bool) -> Column:

@@ -84,27 +84,34 @@ def tool_of(argv: Column) -> Column:
     return F.nullif(F.substring_index(F.regexp_replace(F.regexp_extract(argv, r"^\s*(\"[^\"]*\"|'[^']*'|\S+)", 1), "[\"']", ""), "/", -1), F.lit(""))
 
 
-def _patch() -> tuple[Column, dict[str, Column]]:
-    """Which patch pattern is the first found (from 1), and its groups."""
-    text, which = F.col("text"), F.lit(None).cast("int")
-    groups = dict.fromkeys(("num", "total", "line", "file"), F.lit(None).cast("string"))
-    for i, (pattern, names) in reversed(list(enumerate(P.PATCH, 1))):
-        found = text.rlike(pattern)
-        which = F.when(found, i).otherwise(which)
-        groups = {n: F.when(found, group(text, pattern, names.index(n) + 1) if n in names else F.lit(None)).otherwise(c) for n, c in groups.items()}
-    return which, groups
+def _patch() -> Column:
+    """Which patch pattern is the first found, from 1."""
+    which = F.lit(None).cast("int")
+    for i, (pattern, _) in reversed(list(enumerate(P.PATCH, 1))):
+        which = F.when(F.col("text").rlike(pattern), i).otherwise(which)
+    return which
+
+
+def _patch_group(name: str) -> Column:
+    """A group of the pattern found."""
+    out = F.lit(None).cast("string")
+    for i, (pattern, names) in enumerate(P.PATCH, 1):
+        if name in names:
+            out = F.when(F.col("patch") == i, group(F.col("text"), pattern, names.index(name) + 1)).otherwise(out)
+    return out
 
 
 def events(annotated: DataFrame) -> DataFrame:
     """Diagnostic events: the first branch of an ordered case decides the kind; seq and id count them in each log.
 
-    The cheap marker test comes first and keeps most lines away from the patterns.
+    The cheap marker test comes first and keeps most lines away from the patterns. What decides is worked out once for a
+    line, in an array that is exploded: a plain column would be copied into the filter and each field.
     """
     text, low = F.col("text"), F.lower("text")
     tool = tool_of(F.last(F.when(F.col("is_command"), group(text, P.COMMAND, 1)), True).over(so_far()))
     df = annotated.withColumn("tool", tool).filter("marker is null and not is_command and not is_continuation").filter(low.rlike(P.MARKERS))
-    which, found = _patch()
-    df = df.withColumn("patch", which).withColumn("is_compiler", text.rlike(P.COMPILER))
+    df = df.select("*", F.explode(F.array(F.struct(_patch().alias("patch"), text.rlike(P.COMPILER).alias("is_compiler")))).alias("p")).select("*", "p.patch", "p.is_compiler").drop("p")
+    found = {name: _patch_group(name) for name in ("num", "total", "line", "file")}
     compiler = F.col("is_compiler")
     kind = (
         F.when(low.contains("nothing provides"), "depsolve")
@@ -121,7 +128,7 @@ def events(annotated: DataFrame) -> DataFrame:
         .when(low.contains("spec file") & low.contains("error"), "spec_script")
         .when(low.contains("error:") | low.contains("fatal:"), "raw_error")
     )
-    df = df.withColumn("branch", kind).filter("branch is not null")
+    df = df.select("*", F.explode(F.array_compact(F.array(kind))).alias("branch"))
     branch = F.col("branch")
     located = branch.isin("werror_located", "compiler")
     at = lambda n: F.when(located, group(text, P.COMPILER, n))
@@ -170,13 +177,13 @@ def patch_parents(ev: DataFrame) -> DataFrame:
 def cascade_parents(ev: DataFrame) -> DataFrame:
     """log_id, id, cascade_parent: the one source event whose object a failed make target ends with.
 
-    All ends of the target meet object names by equality. Of each file that fits, the latest event before the cascade
+    All ends of the target's last segment meet object names by equality; these have no slash. Of each file that fits, the latest event before the cascade
     counts, found by a window over the file's events and the cascades that ask for it; two events make none the parent.
     """
     base = F.substring_index("file", "/", -1)
     sources = ev.filter(F.col("file").isNotNull() & F.col("file").rlike(P.SOURCE_FILE)).select("log_id", "file", "seq", F.col("id").alias("event"), base.alias("base"))
     names = sources.select("log_id", "file", F.explode(F.array(F.concat(F.regexp_replace("base", r"\.[^.]*$", ""), F.lit(".o")), F.concat("base", F.lit(".o")))).alias("object")).distinct()
-    ends = ev.filter("kind = 'make_cascade' and target is not null").select("log_id", "id", "seq", F.explode(F.expr("transform(sequence(1, length(target)), i -> substring(target, i))")).alias("object"))
+    ends = ev.filter("kind = 'make_cascade' and target is not null").select("log_id", "id", "seq", F.explode(F.expr("transform(sequence(1, length(substring_index(target, '/', -1))), i -> substring(substring_index(target, '/', -1), i))")).alias("object"))
     asked = ends.join(names, ["log_id", "object"]).select("log_id", "file", "seq", "id").distinct()
     both = sources.select("log_id", "file", "seq", "event", F.lit(None).cast("string").alias("id")).unionByName(asked.withColumn("event", F.lit(None).cast("string")))
     by_file = Window.partitionBy("log_id", "file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
