@@ -4,23 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """log_id (the file), line_no, raw_offset, raw_text of logs, plain or gzip. A file is one row of at most 2 GB before it is cut.
+    """log_id (the file), line_no, raw_offset, raw_text of logs, plain or gzip.
 
-    Lines end at a line feed alone, a carriage return before it goes; bytes that are no UTF-8 become U+FFFD.
+    A plain log of any size is read in blocks. Lines are numbered within their block; how many lines and bytes stand before a
+    block is a sum over the blocks, of which there are few. A gzip log is one block, and its offsets are of its text. Lines end
+    at a line feed alone, a carriage return before it goes; bytes that are no UTF-8 become U+FFFD. An empty file has no lines.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    plain = files.filter(~F.col("path").endswith(".gz")).select(F.col("path").alias("log_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    lines = plain.select("log_id", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("i", "raw"))
-    text = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.gz", wholetext=True).select(F.input_file_name().alias("log_id"), F.col("value").alias("text"))
-    zipped = text.select("log_id", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("i", "raw"))
-    from pyspark.sql.window import Window
-
-    df = lines.unionByName(zipped)
-    before = Window.partitionBy("log_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return df.select("log_id", (F.col("i") + 1).alias("line_no"), F.coalesce(F.sum(F.octet_length("raw") + 1).over(before), F.lit(0)).cast("long").alias("raw_offset"), F.regexp_replace("raw", r"\r+$", "").alias("raw_text"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    block = [F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("block")]
+    lines = lines.select(*block, F.monotonically_increasing_id().alias("place"), "value")
+    n_bytes = F.octet_length("value") + 1
+    blocks = lines.groupBy("log_id", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(n_bytes).alias("size"))
+    ahead = Window.partitionBy("log_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("log_id", "block", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("bytes_before"))
+    before = Window.partitionBy("log_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    df = lines.join(blocks, ["log_id", "block"])
+    offset = F.col("bytes_before") + F.coalesce(F.sum(n_bytes).over(before), F.lit(0))
+    text = F.regexp_replace(F.make_valid_utf8("value"), r"\r+$", "")
+    return df.select("log_id", (F.col("place") - F.col("first") + F.col("lines_before") + 1).cast("int").alias("line_no"), offset.cast("long").alias("raw_offset"), text.alias("raw_text"))
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
@@ -32,8 +37,6 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 def spec_lines(spark: SparkSession, path: str) -> DataFrame:
     """spec, line_no, text of spec files, lines that end in a backslash joined with the next."""
     logs = read_logs(spark, path).select(F.col("log_id").alias("spec"), "line_no", F.col("raw_text").alias("text"))
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("spec").orderBy("line_no")
     start = F.when(F.coalesce(F.lag("text").over(w).endswith("\\"), F.lit(False)), 0).otherwise(1)
     df = logs.withColumn("start", start).withColumn("no", F.sum("start").over(w))

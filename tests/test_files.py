@@ -80,3 +80,28 @@ def test_response_files_and_package_pages(spark):
     assert [tuple(r) for r in reports.package_report(triage.table_cells(pages, "id", "html")).collect()] == [("1", "pkg", "failed", "log/x")]
     one = pages.select(reports.frame_source(pages["html"]).alias("src"), reports.snapshot_name(pages["id"]).alias("n"), reports.status_of_classes(pages["id"]).alias("c")).first()
     assert one["src"] == "a?b=1&c=2" and one["n"] == "1" and one["c"] is None
+
+
+def test_logs_are_read_in_blocks(spark, tmp_path):
+    import gzip
+
+    from buildlens.sources.logs import read_logs
+
+    lines = [f"line {i} " + "x" * (i % 50) + ("é" if i % 7 == 0 else "") + ("\r" if i % 5 == 0 else "") for i in range(3000)]
+    data = "\n".join(lines).encode()
+    (tmp_path / "a.log").write_bytes(data + b"\n")
+    (tmp_path / "b.log.gz").write_bytes(gzip.compress(b"one\n\ntwo \xff"))
+    (tmp_path / "c.log").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        rows = read_logs(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    a = sorted((r["line_no"], r["raw_offset"], r["raw_text"]) for r in rows if r["log_id"].endswith("a.log"))
+    want, at = [], 0
+    for i, text in enumerate(lines, 1):
+        want.append((i, at, text.rstrip("\r")))
+        at += len(text.encode()) + 1
+    assert a == want
+    assert sorted((r["line_no"], r["raw_offset"], r["raw_text"]) for r in rows if r["log_id"].endswith(".gz")) == [(1, 0, "one"), (2, 4, ""), (3, 5, "two �")]
+    assert len({r["log_id"] for r in rows}) == 2
