@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,16 +47,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, computed once when first asked for and held on the executors' disks. What a lost executor held is computed
-    again; steps that follow each other in a loop are written by ``materialize`` instead."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def discard(*tables: DataFrame) -> None:
-    """Give up what ``kept`` holds, and remove what ``materialize`` wrote, once all that was read from them is written itself."""
+    """Remove what ``materialize`` wrote, once all that was read from it has been written itself."""
     for df in tables:
-        df.unpersist()
         if path := getattr(df, "_written_at", None):
             session = df.sparkSession
             target = session._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,6 +61,17 @@ def doc_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
 
 
+#: Rows of a batch that goes to Python where each row is worked on by itself; ten thousand long texts at once fill a task's memory.
+BATCH_ROWS = 2000
+
+
+def by_small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of BATCH_ROWS at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from buildlens.llm.common import discard, doc_key, kept, materialize
+from buildlens.llm.common import discard, doc_key, materialize
 from buildlens.llm.components import connected_components
 
 WORDS = 5
@@ -31,6 +31,8 @@ NAME_BITS = 40
 #: Sets that share a signature are all paired up to this many; larger groups are compared in blocks.
 FEW = 8
 BLOCK = 1024
+#: Sets of a group in a row, at most.
+PART = 4096
 #: A set is compared with so many partners first; the others follow where that left components apart.
 PARTNERS = 3
 #: Keys of candidates are broadcast up to so many, some 30 bytes each; beyond, documents are joined by a shuffle.
@@ -251,10 +253,11 @@ def _signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _candidates(packed: DataFrame) -> DataFrame:
     """kind 0: sets a < b share n signatures of the bucket, as a small group's pair or as a large one's first and another.
-    kind 1: set b is of the large group a of n sets.
+    kind 1: the sets named are a part of a large group, of n sets, the first b, which w signatures of the bucket share; a tells
+    groups by their sets.
 
-    A large group is the sets that share a signature, more than a few. It gives its members once, and the pairs with its
-    first alone, so rows are never more than a small multiple of the signatures.
+    A large group is more than a few sets that share a signature. It gives the pairs with its first alone, and its sets once,
+    however many signatures just these sets share; so rows are never more than a small multiple of the signatures.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -273,15 +276,25 @@ def _candidates(packed: DataFrame) -> DataFrame:
         for gap in range(1, FEW):  # ids ascend within a group
             at = np.flatnonzero((place >= gap) & (many <= FEW))
             pairs.append(np.stack([ids[at - gap], ids[at]], 1))
-        large = many > FEW
-        at = np.flatnonzero(large & (place > 0))
+        at = np.flatnonzero((many > FEW) & (place > 0))
         pairs.append(np.stack([ids[at - place[at]], ids[at]], 1))
         pair, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-        bucket = int(table["bucket"][0].as_py()) if table.num_rows else 0
-        group = mix(sigs[large].astype(np.uint64) + (U(bucket) << U(32))).astype(np.int64)
-        return pa.table({"kind": pa.array(np.r_[np.zeros(len(pair), np.int32), np.ones(len(group), np.int32)]), "a": pa.array(np.r_[pair[:, 0], group]), "b": pa.array(np.r_[pair[:, 1], ids[large]]), "n": pa.array(np.r_[n, many[large]])})
+        large = np.flatnonzero(count > FEW)
+        tells = mix(np.add.reduceat(mix(ids.astype(np.uint64)), start)[large] + count[large].astype(np.uint64)) if len(large) else np.zeros(0, np.uint64)
+        tells, first, weight = np.unique(tells, return_index=True, return_counts=True)
+        groups = [(g, int(ids[s]), int(c), w, k, ids[s + k : s + min(k + PART, c)]) for g, s, c, w in zip(tells.astype(np.int64).tolist(), start[large[first]], count[large[first]], weight.tolist()) for k in range(0, int(c), PART)]
+        parts = pa.ListArray.from_arrays(pa.array(np.cumsum([0] * (len(pair) + 1) + [len(x[5]) for x in groups]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *[x[5] for x in groups]])))
+        numbers = [np.r_[mine, np.array([x[i] for x in groups], np.int64)] for i, mine in enumerate((pair[:, 0], pair[:, 1], n, np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)))]
+        kind = np.r_[np.zeros(len(pair), np.int32), np.ones(len(groups), np.int32)]
+        return pa.table([pa.array(kind), *map(pa.array, numbers), parts], ["kind", "a", "b", "n", "w", "part", "names"])
 
-    return packed.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long")
+    return packed.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long, w long, part long, names array<long>")
+
+
+def _members(found: DataFrame) -> DataFrame:
+    """g, name, n, w of each set of each large group: n sets, which w signatures of all buckets share."""
+    groups = found.filter("kind = 1").groupBy("a", "b", "n", "part").agg(F.sum("w").alias("w"), F.first("names").alias("names"))
+    return groups.select(F.xxhash64("a", "b", "n").alias("g"), "n", "w", F.explode("names").alias("name"))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -375,14 +388,14 @@ def spanning_links(ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, bl
 
 
 def _without_hottest(members: DataFrame) -> DataFrame:
-    """Members (g, name, h, slack, n: the group's size) without each set's hottest large groups, one fewer than its slack. No
-    link is lost.
+    """Members (g, name, h, slack, n, w) without each set's hottest large groups, which stand for fewer signatures together than
+    its slack. No link is lost.
 
-    Linked sets share as many signatures as the slack of either. The one of these in the smallest group is none that
-    either leaves out: it would have left out all others that they share first.
+    Linked sets share as many signatures as the slack of either, and of a group all that it stands for. The smallest group
+    that they share is none that either leaves out: it would have left out all others that they share first.
     """
-    hottest = Window.partitionBy("name", "h").orderBy(F.desc("n"), "g")
-    return members.withColumn("place", F.row_number().over(hottest)).filter(F.col("place") >= F.col("slack"))
+    hottest = Window.partitionBy("name", "h").orderBy(F.desc("n"), "g").rowsBetween(Window.unboundedPreceding, 0)
+    return members.withColumn("so_far", F.sum("w").over(hottest)).filter(F.col("so_far") >= F.col("slack"))
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -442,41 +455,41 @@ def set_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.9 * total / BUCKET))
-    found = kept(_candidates(_signature_rows(docs, buckets)))
-    one_key = kept(sets.filter("n > 0").groupBy("h").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("sketch")))
+    found = materialize(_candidates(_signature_rows(docs, buckets)), "candidates")
+    one_key = materialize(sets.filter("n > 0").groupBy("h").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("sketch")), "one-each")
     sketches = one_key.select("h", "n", "sketch")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return kept(_texts(docs, kept(one_key.join(ids.distinct(), "h", "left_semi").select("key", "h"))))
+        return materialize(_texts(docs, one_key.join(ids.distinct(), "h", "left_semi").select("key", "h")), "texts")
 
     def of_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("h"))
 
-    pairs = kept(_near(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), sketches))
+    pairs = materialize(_near(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), sketches), "pairs")
     other = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
     best = Window.partitionBy("x").orderBy(F.desc("n"), "a", "b")
     chosen = other.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PARTNERS)
-    some = kept(chosen.select("a", "b").distinct())
+    some = materialize(chosen.select("a", "b").distinct(), "chosen")
     texts = texts_of(of_pairs(some))
-    label = kept(connected_components(_verified(some, texts)))
+    label = materialize(connected_components(_verified(some, texts)), "components")
     discard(texts)
 
     def labelled(df: DataFrame, name: str, out: str) -> DataFrame:
         return df.join(label.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
 
     across = labelled(labelled(pairs.select("a", "b").join(some, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    members = found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("name"), "n")
+    members = _members(found)
     names = labelled(one_key.select(name_of(F.col("h")).alias("name"), "h", "slack"), "h", "component")
-    members = kept(_without_hottest(members.join(names, "name")).select("g", "h", "component"))
+    members = materialize(_without_hottest(members.join(names, "name")).select("g", "h", "component"), "members")
     dealt = _blocks(members)
-    within = kept(_group_pairs(dealt, sketches))
-    rest = kept(across.union(within.filter("g is null").select("a", "b")).distinct().join(some, ["a", "b"], "left_anti"))
+    within = materialize(_group_pairs(dealt, sketches), "within")
+    rest = materialize(across.union(within.filter("g is null").select("a", "b")).distinct().join(some, ["a", "b"], "left_anti"), "rest")
     rest_texts = texts_of(of_pairs(rest))
     more = [_verified(rest, rest_texts)]
     held = [rest_texts]
     dense = within.filter("g is not null").select("g", "one", "two")
     if dense.limit(1).count():
-        dealt = kept(dealt.join(dense, ["g", "one", "two"], "left_semi"))
+        dealt = materialize(dealt.join(dense, ["g", "one", "two"], "left_semi"), "dense")
         held += [dealt, texts_of(dealt.select("h"))]
         more.append(_block_links(dealt, sketches, held[-1]))
     stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))  # as good as the links that they come from

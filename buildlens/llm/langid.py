@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from buildlens.llm.common import is_held_out
 from buildlens.llm.features import damped, entries, linear_svm, ngram_counts, pack, platt, sigmoid, table
@@ -253,7 +254,7 @@ def predict(docs: DataFrame, model: Model | None, prefix: str = "", judge: bool
                             langs[i], scores[i] = g, s
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, f"{prefix}lang_pred", f"{prefix}score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {prefix}lang_pred string, {prefix}score double"
+    schema = T.StructType([*kept.schema.fields, T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
     return kept.mapInArrow(run, schema)
 
 
@@ -262,7 +263,12 @@ def learned_from(docs: DataFrame) -> DataFrame:
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document, learning from those that are not held out."""
+    """doc_id, held_out, lang_pred, score of every document, learning from those that are not held out.
+
+    A text that is null or has no letter is ``und`` with score 0; so is every text if no labelled row is left to learn from. A
+    null doc_id counts as the empty text where rows are held out. Rows that repeat are predicted each; ties of votes and
+    scores go to the language that comes first in its family. An empty table gives no rows.
+    """
     model = train(learned_from(docs), sample)
     held_out: Column = is_held_out(F.col("doc_id"), 5, 0)
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")

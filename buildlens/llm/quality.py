@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from buildlens.llm.common import materialize
 from buildlens.llm.features import damped, logistic, ngram_counts, pack, platt, sigmoid, table
@@ -256,7 +257,7 @@ def score(docs: DataFrame, model: Model | None, least: float = LEAST, prefix: st
                     found = [pa.array(p, pa.float64()) for p in shared.value.predict(np.stack(_vectors([part.column(i).to_pylist() for i in at], range(part.num_rows))))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *found], [*names, *new])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + "".join(f", {n} double" for n in new)
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, T.DoubleType()) for n in new]])
     return kept.mapInArrow(run, schema).withColumn(f"{prefix}keep", F.coalesce(F.col(new[2]) >= least, F.lit(True)))
 
 

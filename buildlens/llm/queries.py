@@ -1,17 +1,21 @@
-"""The numbered operators over their whole tables, with production parameters."""
+"""The numbered operators over their whole tables, with production parameters.
+
+What each gives for nulls, ties, repeated rows, empty tables and other columns is stated at the operator that it calls.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 
 from buildlens.llm import bpe, decontam, jaccard, langid, license, lm, quality, sharding, sstable, topk
-from buildlens.llm.common import read
+from buildlens.llm.common import by_small_batches, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_language_id(spark, sf_dir):
+    by_small_batches(spark)
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
@@ -24,6 +28,7 @@ def op3_token_ids(spark, sf_dir):
 
 
 def op4_quality(spark, sf_dir):
+    by_small_batches(spark)
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
@@ -48,6 +53,7 @@ def op9_sharding(spark, sf_dir):
 
 
 def op10_jaccard_join(spark, sf_dir):
+    by_small_batches(spark)
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.llm import bpe, decontam, jaccard, langid, quality
-from buildlens.llm.common import materialize, read
+from buildlens.llm.common import by_small_batches, doc_key, materialize, read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the labelled ones teach, by evidence of the language itself and not against the others."""
+    by_small_batches(spark)
     model = langid.train(docs.select("text", "lang", F.col("doc_id").alias("salt")))
     found = langid.predict(docs, model, prefix="_llm_", judge=True)
     return found.filter(F.col("_llm_lang_pred") != "und").select(*docs.columns)
@@ -21,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the co-trained views take for good."""
+    by_small_batches(spark)
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs, model, prefix="_llm_").filter("_llm_keep").select(*docs.columns)
 
@@ -30,8 +32,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows go by a key of id and text, so a doc_id on rows of different texts counts once for each text.
     """
+    by_small_batches(spark)
     others, repeated = jaccard.redundant_keys(docs)
-    kept = docs.withColumn("_llm_key", decontam.doc_key()).join(others.withColumnRenamed("key", "_llm_key"), "_llm_key", "left_anti")
+    kept = docs.withColumn("_llm_key", doc_key()).join(others.withColumnRenamed("key", "_llm_key"), "_llm_key", "left_anti")
     if repeated.limit(1).count():
         repeated = repeated.withColumnRenamed("key", "_llm_key")
         one_each = kept.join(repeated, "_llm_key", "left_semi").dropDuplicates(["_llm_key"])
@@ -43,10 +46,11 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps documents in which no window of a benchmark item occurs."""
     runs = decontam.contaminated_stretches(docs, read(spark, sf_dir, "benchmark"))
     hit = materialize(runs.select(F.col("key").alias("_llm_key")), "contaminated")
-    return docs.withColumn("_llm_key", decontam.doc_key()).join(hit, "_llm_key", "left_anti").select(*docs.columns)
+    return docs.withColumn("_llm_key", doc_key()).join(hit, "_llm_key", "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document that is left; a null text is empty, rows that repeat give a row each."""
     return bpe.digest_documents(docs, WORD_BPE)
 
 
@@ -63,6 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all documents, each on what the one before kept. No documents, or none left: no rows."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
