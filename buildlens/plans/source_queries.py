@@ -98,7 +98,7 @@ ORACLES = {
     "fixability": sql("SELECT type_fixability, type_fixability_reason, count(*) AS n FROM cand GROUP BY ALL"),
     "path_ownership": sql("SELECT file, normalized_file, source_ownership_status, count(*) AS n FROM cand GROUP BY ALL"),
     "path_suffix_match": sql("SELECT '/home/abuild/rpmbuild/BUILD/app-1.0/' || e.file AS file, count(*) AS matches, CASE WHEN count(*) = 1 THEN min(path) END AS mapped FROM (SELECT DISTINCT file FROM based WHERE file IS NOT NULL) e, tree WHERE path = e.file OR ends_with(path, '/' || e.file) GROUP BY e.file"),
-    "path_suffix_roots": sql("SELECT DISTINCT 'pkg' || (log_id % 3) AS root, file, 1::BIGINT AS matches, file AS mapped FROM based WHERE file IS NOT NULL AND log_id % 3 < 2"),
+    "path_suffix_roots": sql("SELECT DISTINCT 'pkg' || (log_id % 3) AS root, file, 1::BIGINT AS matches, file AS mapped FROM based WHERE file LIKE 'src/f%' AND log_id % 3 < 2"),
     "candidate_counts": sql("SELECT log_id, count(*) AS candidates, count(*) FILTER (type_fixability = 'probably_fixable') AS type_probably_fixable, count(*) FILTER (type_fixability = 'unknown') AS type_unknown, count(*) FILTER (source_reachable) AS source_reachable, count(*) FILTER (source_owned) AS source_owned, count(*) FILTER (patch_ready) AS patch_ready FROM cand GROUP BY log_id"),
     "dedupe_key": sql("SELECT log_id, id, dedupe_key, degraded_key FROM cand"),
     "first_of_key": sql("SELECT log_id, id, dedupe_key FROM (SELECT *, row_number() OVER (PARTITION BY log_id, dedupe_key ORDER BY seq) AS n FROM cand) WHERE n = 1"),

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 Q, B = "chr(39)", "chr(92)"
 K, N = "cast(event_id % 7 as string)", "cast(1 + event_id % 90 as string)"
-TEXT = f"""case event_id % 16
+TEXT = f"""case event_id % 24
 when 0 then '+ %build'
 when 1 then concat('+ gcc -c src/f', {K}, '.c')
 when 2 then concat('src/f', {K}, '.c:', {N}, ':5: error: use of undeclared identifier ', {Q}, 'v', {K}, {Q})
@@ -24,7 +24,15 @@ when 11 then concat('File not found: /usr/lib/x', {K})
 when 12 then '+ %prep'
 when 13 then concat('building object ', {N})
 when 14 then concat('+ g++ -o app f', {K}, '.o ', {B})
-when 15 then 'app: error: something broke' end"""
+when 15 then 'app: error: something broke'
+when 16 then concat(chr(27), '[31m[ ', {N}, 's] a.S:', {N}, ': fatal error: no')
+when 17 then concat('error: unknown warning option ', {Q}, '-Wfoo', {K}, {Q}, ' [-Werror,-Wunknown-warning-option]')
+when 18 then 'cc1: all warnings being treated as errors'
+when 19 then 'cc1: error: bad [-Werror]'
+when 20 then 'spec file has an error: odd'
+when 21 then 'Executing(%install): /bin/sh'
+when 22 then concat('+ /usr/bin/gcc @objs', {K}, '.rsp -o x')
+when 23 then concat('[ 7s] src/f', {K}, '.c:', {N}, ': error: e again') end"""
 
 SQL = f"SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS line_no, {TEXT.replace('as string', 'as varchar')} AS raw_text FROM events"
 

@@ -133,9 +133,12 @@ def test_clusters(spark):
 
 def test_paths_and_ownership(spark):
     files = spark.createDataFrame([("r", p) for p in ("src/a.c", "lib/a.c", "src/b.c", "build/c.c", "vendor/d.c")], "root string, path string")
-    asked = spark.createDataFrame([("a.c",), ("src/a.c",), ("/x/y/src/b.c",), ("c.c",), ("d.c",), ("/usr/include/z.h",)], "file string")
+    asked = spark.createDataFrame([("r", p) for p in ("a.c", "src/a.c", "/x/y/src/b.c", "c.c", "d.c", "/usr/include/z.h")], "root string, file string")
     m = candidates.mapped_paths(asked, files)
     assert {r["file"]: r["mapped"] for r in m.collect()} == {"a.c": None, "src/a.c": "src/a.c", "/x/y/src/b.c": "src/b.c", "d.c": "vendor/d.c"}
+    two = files.union(spark.createDataFrame([("q", "src/a.c")], "root string, path string"))
+    asked_two = spark.createDataFrame([("r", "src/a.c"), ("q", "src/a.c"), ("q", "src/b.c")], "root string, file string")
+    assert {(r["root"], r["file"], r["mapped"]) for r in candidates.mapped_paths(asked_two, two).collect()} == {("r", "src/a.c", "src/a.c"), ("q", "src/a.c", "src/a.c")}
     own = {r["file"]: r["source_ownership_status"] for r in candidates.owned(asked, m).collect()}
     assert own == {"a.c": "unknown", "src/a.c": "project_owned", "/x/y/src/b.c": "project_owned", "c.c": "unknown", "d.c": "generated_or_vendor", "/usr/include/z.h": "system_or_toolchain_path"}
 
@@ -159,7 +162,14 @@ def test_text_functions(spark):
 def test_budget_is_conserved(spark):
     rows = registry.QUERIES["packets"](spark, SF).collect()
     assert rows and all(r["conservation_total"] == packet.TOTAL for r in rows)
-    assert packet.fit("word " * 500, 60).endswith("...[truncated]") and packet._tokens(packet.fit("word " * 500, 60)) <= 60
+    cut = packet.fit("word " * 500, 60)
+    assert cut.endswith("\n[truncated]") and packet._tokens(cut.removesuffix("\n[truncated]")) <= 60 and packet.fit("a b", 60) == "a b" and packet.fit("a b", 0) == ""
+    big = {"primary_error": "{}", "causes": '[{"rank":1},{"rank":2}]', "cascade_summary": "make cascade: " + "a -> b; " * 200, "excerpt": "\n".join(f"line {i}" for i in range(200)), "prompt": "p " * 50, "command": None, "direct_answer": None}
+    small = packet.shrunk(dict(big), 150)
+    assert not small["over"] and small["used"] <= 150 and small["steps"] > 1 and small["cascade_summary"] == ""
+    same = packet.shrunk(dict(big), 100_000)
+    assert same["steps"] == 0 and same["excerpt"] == big["excerpt"]
+    assert packet.shrunk(dict(big), 1)["over"]
 
 
 def test_convergence_and_failures(spark):
