@@ -160,8 +160,8 @@ def test_text_functions(spark):
 
 
 def test_budget_is_conserved(spark):
-    rows = registry.QUERIES["packets"](spark, SF).collect()
-    assert rows and all(r["conservation_total"] == packet.TOTAL for r in rows)
+    rows = registry.QUERIES["packet_budget"](spark, SF).collect()
+    assert rows and all(r["conservation_total"] == packet.TOTAL and r["within"] and r["reclaimed"] for r in rows)
     cut = packet.fit("word " * 500, 60)
     assert cut.endswith("\n[truncated]") and packet._tokens(cut.removesuffix("\n[truncated]")) <= 60 and packet.fit("a b", 60) == "a b" and packet.fit("a b", 0) == ""
     big = {"primary_error": "{}", "causes": '[{"rank":1},{"rank":2}]', "cascade_summary": "make cascade: " + "a -> b; " * 200, "excerpt": "\n".join(f"line {i}" for i in range(200)), "prompt": "p " * 50, "command": None, "direct_answer": None}
