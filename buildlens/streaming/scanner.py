@@ -97,32 +97,27 @@ def step(state: dict, log_id: str, line_no: int, raw: str) -> tuple | None:
     return log_id, event, kind, severity, message, line_no, phase, command, file, line, parent
 
 
-#: A log without lines for so long has ended.
-SILENT_MS = 6 * 3600 * 1000
-
-
 def fresh() -> dict:
     return {"phase": None, "commands": 0, "pending": False, "seq": 0, "patches": {}, "sources": {}}
 
 
 def _group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     held = json.loads(state.get[0]) if state.exists else fresh()
     rows = pd.concat(list(batches)).sort_values("line_no")
-    found = [e for n, raw in zip(rows["line_no"], rows["raw_text"]) if (e := step(held, key[0], int(n), raw or ""))]
-    state.update((json.dumps(held),))
-    state.setTimeoutDuration(SILENT_MS)
+    found = [e for n, raw in zip(rows["line_no"], rows["raw_text"]) if raw is not None and (e := step(held, key[0], int(n), raw))]
+    if rows["raw_text"].isna().any():
+        state.remove()
+    else:
+        state.update((json.dumps(held),))
     yield pd.DataFrame(found, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"line": "Int32", "line_no": "int32"})
 
 
 def scan_stream(lines: DataFrame) -> DataFrame:
     """Events of a stream of lines (log_id, line_no, raw_text). Lines of a log must arrive in order of batches; in a batch they are put in order.
 
-    What is remembered of a log, its latest event for each source file among it, goes when the log has been silent for
-    SILENT_MS; a line after that would begin the log anew."""
-    return lines.select(F.col("log_id").cast("string").alias("log_id"), "line_no", "raw_text").groupBy("log_id").applyInPandasWithState(_group, EVENTS, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    What is remembered of a log, its latest event for each source file among it, goes with a line whose text is null: the
+    end of the log. A line after that would begin it anew."""
+    return lines.select(F.col("log_id").cast("string").alias("log_id"), "line_no", "raw_text").groupBy("log_id").applyInPandasWithState(_group, EVENTS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def landed(spark: SparkSession, path: str, most_files: int = 100) -> DataFrame:
