@@ -71,25 +71,33 @@ def fill(counts: dict[int, int], n_shards: int, vnodes: int = 128) -> list[tuple
 def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", order: tuple[Column, ...] = (), vnodes: int = 128) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (gapless from 0 in each shard); row counts of shards differ by one at most.
 
-    Only the key is read to count the cells; then one shuffle, of the columns given, ranks the keys of each cell.
-    A null key has a cell like any other; rows that repeat a key are told apart by ``order``, and rows equal in all of it
-    are interchangeable. An empty table gives no rows. Columns named like the helper columns are kept apart by
-    underscores that no input column may start with.
+    A row's place on the ring is that of its key together with ``order``, so rows of one key, or without a key, are no hot
+    cell unless they are equal in all of these, and then they are interchangeable. Only these columns are read to count the
+    cells; then one shuffle, of the columns given, ranks the rows of each cell. An empty table gives no rows. Columns of docs
+    named shard or slot are replaced; helper columns have names that no column of docs begins with.
     """
     spark = docs.sparkSession
-    h = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 32))
-    cell = F.shiftright(h, 16).cast("int")
-    counts = {r["_cell"]: r["n"] for r in docs.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    kind = T.StructType([T.StructField(n, T.LongType() if n != "_shard" else T.IntegerType()) for n in ("_to_cell", "_from", "_until", "_shard", "_slot")])
+    p = "_ring_"
+    while any(c.startswith(p) for c in docs.columns):
+        p = "_" + p
+    h = F.pmod(F.xxhash64(F.col(key), *order), F.lit(1 << 32))
+    cell = F.shiftright(h, 16)
+    counts = {int(r["cell"]): r["n"] for r in docs.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    kind = T.StructType([T.StructField(p + n, T.LongType() if n != "shard" else T.IntegerType()) for n in ("to", "from", "until", "shard", "slot")])
     ranges = spark.createDataFrame(fill(counts, n_shards, vnodes), kind)  # a row for each cell, and for each split of one
-    ranked = docs.withColumn("_h", h).withColumn("_cell", cell.cast("long"))
-    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_h", F.col(key), *order)) - 1)
-    met = ranked.join(F.broadcast(ranges), (F.col("_cell") == F.col("_to_cell")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_until")))
-    return met.withColumn("shard", F.col("_shard")).withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from")).drop("_h", "_cell", "_rank", "_to_cell", "_from", "_until", "_shard", "_slot")
+    ranked = docs.withColumn(p + "h", h).withColumn(p + "cell", cell)
+    ranked = ranked.withColumn(p + "rank", F.row_number().over(Window.partitionBy(p + "cell").orderBy(p + "h", F.col(key), *order)) - 1)
+    c = lambda n: F.col(p + n)
+    met = ranked.join(F.broadcast(ranges), (c("cell") == c("to")) & (c("rank") >= c("from")) & (c("rank") < c("until")))
+    return met.withColumn("shard", c("shard")).withColumn("slot", c("slot") + c("rank") - c("from")).drop(*[p + n for n in ("h", "cell", "rank", "to", "from", "until", "shard", "slot")])
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, vnodes: int = 128) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of all documents, by the law of rows: counts at most one apart."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of all documents, by the law of rows: counts at most one apart.
+
+    A null text has no bytes: size 16, checksum 0. Rows that repeat an id, a text or both have a slot each; rows equal in both
+    are interchangeable. Null ids go by their text. An empty table gives no rows, and columns besides are not looked at.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = assign_shards(rows, n_shards, "doc_id", (F.col("text_crc32"), F.col("size")), vnodes)

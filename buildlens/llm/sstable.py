@@ -284,9 +284,9 @@ MANIFEST = "shard string, docs long, ids long"
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_bytes: int = 256 << 20) -> DataFrame:
     """Encode ``docs`` (doc_id, text; a null text is empty) and write shards under ``path`` in ascending doc_id order.
 
-    One shuffle, by ranges of doc_id. Each task writes under names of its own, and only the shards that the manifest
+    One shuffle, by ranges of doc_id and then of a hash of the text. Each task writes under names of its own, and only the shards that the manifest
     lists count, so a task that runs again leaves no double. Returns the manifest: shard, docs, ids; shard names ascend
-    with their doc_ids. Null doc_ids come first; rows of one doc_id are ordered by text. No documents: no shards.
+    with their doc_ids. Null doc_ids come first; rows of one doc_id follow each other by that hash. No documents: no shards.
     """
 
     def write(batches):
@@ -314,7 +314,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["shard", "docs", "ids"])
 
     # rows of one doc_id must be told apart in the same way whenever a task runs again, hence the order by text too
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # and rows of one doc_id are spread by a hash of their text, so that no id is one task's
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("spread")).repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
@@ -359,5 +360,10 @@ def lookup(spark, manifest: DataFrame, path: str, doc_ids: list[int]) -> dict[in
 
 
 def ids_of_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from shards written and read again.
+
+    A null or empty text has its end id alone. Null doc_ids come first, as in Spark's order; rows that repeat a doc_id have an
+    entry each, and rows equal in id and text are interchangeable. An empty table gives no rows; other columns are not read.
+    """
     path = new_path(docs.sparkSession, "token-ids")
     return read_shards(write_shards(docs, path, tokenizer_path, end_id), path)
