@@ -396,6 +396,32 @@ def r_text(i):
     return f"text {i}" if i % 9 else ""
 
 
+def test_sharding_equals_a_walk_row_by_row(spark):
+    """Every row goes to the owner of its cell while that has room, else on clockwise, the first to overflow first."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i % 900, f"text {i // 2}") for i in range(1500)], "doc_id long, text string")
+    got = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in sharding.shard_documents(docs, 7).collect()}
+    text = F.col("text").cast("binary")
+    h = F.pmod(F.xxhash64("doc_id", F.crc32(text), (F.octet_length(text) + 16).cast("long")), F.lit(1 << 32))
+    rows = sorted((r["h"], r["doc_id"], r["c"]) for r in docs.select("doc_id", F.crc32(text).alias("c"), h.alias("h")).collect())
+    owners, room, want, over = sharding.ring_owners(7), [1500 // 7 + (s < 1500 % 7) for s in range(7)], {}, {}
+    for x, d, c in rows:
+        if room[owners[x >> 16]]:
+            room[owners[x >> 16]] -= 1
+            want[d, c] = owners[x >> 16]
+        else:
+            over.setdefault(x >> 16, []).append((d, c))
+    waiting = []
+    for step in range(2 * sharding.CELLS):
+        cell = step % sharding.CELLS
+        waiting += over.pop(cell, [])
+        while waiting and room[owners[cell]]:
+            room[owners[cell]] -= 1
+            want[waiting.pop(0)] = owners[cell]
+    assert over == {} and not waiting and got == want
+
+
 def test_sharding_of_odd_rows(spark):
     """Null and repeated ids, texts that are not ASCII, columns named like helpers and results."""
     rows = [(None, f"t{i}", 1, 2) for i in range(40)] + [(7, "ü中", 1, 2)] * 5 + [(8, None, 1, 2)]
