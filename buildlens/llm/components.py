@@ -34,4 +34,6 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct()
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct()
+    out._written_at = edges._written_at  # so that it can be given up
+    return out

@@ -387,6 +387,14 @@ def spanning_links(ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, bl
     return np.concatenate(out)
 
 
+def _possible(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Pairs (a, b, n) that may be linked: linked sets share as many signatures as the slack of either, and a pair shares no more
+    than n, which its small groups gave, and those of its large groups. bounds: name, slack, large."""
+    one, two = (bounds.select(F.col("name").alias(x), F.col("slack").alias(f"slack_{x}"), F.col("large").alias(f"large_{x}")) for x in "ab")
+    met = pairs.join(one, "a").join(two, "b")
+    return met.filter(F.col("n") + F.least("large_a", "large_b") >= F.greatest("slack_a", "slack_b")).select("a", "b", "n")
+
+
 def _without_hottest(members: DataFrame) -> DataFrame:
     """Members (g, name, h, slack, n, w) without each set's hottest large groups, which stand for fewer signatures together than
     its slack. No link is lost.
@@ -403,14 +411,17 @@ def _blocks(members: DataFrame) -> DataFrame:
 
     A group's main component, that of most of its sets, needs no comparing within. All other sets, the strays, meet each
     other and the main ones: block ``one`` is of strays, ``two`` of strays (from 0) or of main ones (below 0). So a large
-    group of copies that are linked already costs a row for each, and each pair of blocks is one task's.
+    group of copies that are linked already costs a row for each, and each pair of blocks is one task's. Copies share
+    hundreds of groups: those in which one main component has half of the sets at least are taken together.
     """
     per = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
     groups = per.groupBy("g").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("m")).filter("m > main.n")
-    count = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
-    groups = groups.select("g", F.col("main.component").alias("main"), count(F.col("m") - F.col("main.n")).alias("strays"), count(F.col("main.n")).alias("mains"))
-    df = members.join(groups, "g")
+    together = F.when(2 * F.col("main.n") >= F.col("m"), F.xxhash64(F.lit("main"), F.col("main.component"))).otherwise(F.col("g"))
+    groups = groups.select("g", F.col("main.component").alias("main"), together.alias("key"))
+    df = members.join(groups, "g").select(F.col("key").alias("g"), "h", "component", "main").distinct()
     stray = F.col("component") != F.col("main")
+    count = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / BLOCK)).cast("int")
+    df = df.join(df.groupBy("g").agg(count(stray).alias("strays"), count(~stray).alias("mains")), "g")
     block = F.when(stray, F.pmod(F.xxhash64("h"), F.col("strays")).cast("int")).otherwise(-1 - F.pmod(F.xxhash64("h"), F.col("mains")).cast("int"))
     other = F.when(stray, F.expr("sequence(-mains, strays - 1)")).otherwise(F.expr("sequence(0, strays - 1)"))
     df = df.select("g", "h", "component", block.alias("block"), F.explode(other).alias("other"))
@@ -465,23 +476,29 @@ def set_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     def of_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("h"))
 
-    pairs = materialize(_near(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), sketches), "pairs")
+    in_large = materialize(_members(found), "in-large")
+    least = one_key.groupBy(name_of(F.col("h")).alias("name")).agg(F.min("slack").alias("slack"))
+    bounds = least.join(in_large.groupBy("name").agg(F.sum("w").alias("large")), "name", "left").withColumn("large", F.coalesce("large", F.lit(0)))
+    bounds = materialize(bounds, "bounds")
+    pairs = materialize(_near(_possible(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), bounds), sketches), "pairs")
+    discard(found, bounds)
     other = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
     best = Window.partitionBy("x").orderBy(F.desc("n"), "a", "b")
     chosen = other.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PARTNERS)
     some = materialize(chosen.select("a", "b").distinct(), "chosen")
     texts = texts_of(of_pairs(some))
-    label = materialize(connected_components(_verified(some, texts)), "components")
-    discard(texts)
+    first = connected_components(_verified(some, texts))
+    label = materialize(first, "components")
+    discard(texts, first)
 
     def labelled(df: DataFrame, name: str, out: str) -> DataFrame:
         return df.join(label.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
 
     across = labelled(labelled(pairs.select("a", "b").join(some, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    members = _members(found)
+    members = in_large
     names = labelled(one_key.select(name_of(F.col("h")).alias("name"), "h", "slack"), "h", "component")
     members = materialize(_without_hottest(members.join(names, "name")).select("g", "h", "component"), "members")
-    dealt = _blocks(members)
+    dealt = materialize(_blocks(members), "dealt")
     within = materialize(_group_pairs(dealt, sketches), "within")
     rest = materialize(across.union(within.filter("g is null").select("a", "b")).distinct().join(some, ["a", "b"], "left_anti"), "rest")
     rest_texts = texts_of(of_pairs(rest))
@@ -489,12 +506,14 @@ def set_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     held = [rest_texts]
     dense = within.filter("g is not null").select("g", "one", "two")
     if dense.limit(1).count():
-        dealt = materialize(dealt.join(dense, ["g", "one", "two"], "left_semi"), "dense")
-        held += [dealt, texts_of(dealt.select("h"))]
-        more.append(_block_links(dealt, sketches, held[-1]))
+        compact = materialize(dealt.join(dense, ["g", "one", "two"], "left_semi"), "dense")
+        held += [compact, texts_of(compact.select("h"))]
+        more.append(_block_links(compact, sketches, held[-1]))
     stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))  # as good as the links that they come from
-    out = connected_components(reduce(DataFrame.union, more, stars)).select(F.col("node").alias("h"), "component")
-    discard(found, one_key, pairs, some, label, members, within, rest, *held)
+    joined = connected_components(reduce(DataFrame.union, more, stars))
+    out = joined.select(F.col("node").alias("h"), "component")
+    out._written_at = joined._written_at
+    discard(one_key, in_large, pairs, some, label, members, dealt, within, rest, *held)
     return out
 
 
@@ -529,4 +548,6 @@ def redundant_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = by_set.drop("first").join(best, "component").select("h", F.col("first.key").alias("stays"))
     others = materialize(sets.filter("n > 0").join(named, "h").filter("key <> stays").select("key").distinct(), "others")
     many = sets.filter("n > 0 or doc_id is not null").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
-    return others, materialize(many.join(others, "key", "left_anti"), "repeated")
+    repeated = materialize(many.join(others, "key", "left_anti"), "repeated")
+    discard(sets, label)
+    return others, repeated
