@@ -30,7 +30,7 @@ FLUSH = 2_000_000
 NAME_BITS = 40
 #: Sets that share a signature are all paired up to this many; larger groups are compared in blocks.
 FEW = 8
-BLOCK = 1024
+BLOCK = 4096
 #: Sets of a group in a row, at most.
 PART = 4096
 #: A set is compared with so many partners first; the others follow where that left components apart.
@@ -407,7 +407,7 @@ def _without_hottest(members: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Groups (g, h, component) that reach across components, dealt as pairs of blocks (g, one, two) of a thousand sets.
+    """Groups (g, h, component) that reach across components, dealt as pairs of blocks (g, one, two) of some thousand sets.
 
     A group's main component, that of most of its sets, needs no comparing within. All other sets, the strays, meet each
     other and the main ones: block ``one`` is of strays, ``two`` of strays (from 0) or of main ones (below 0). So a large
