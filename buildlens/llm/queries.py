@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from buildlens.llm import bpe, decontam, jaccard, langid, license, lm, quality, sharding, sstable, topk
+from buildlens.llm import bpe, byte_bpe, decontam, jaccard, langid, license, lm, quality, resample, sharding, sstable, topk, variants
 from buildlens.llm.common import by_small_batches, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_language_id(spark, sf_dir):
@@ -57,6 +58,18 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark, sf_dir):
+    return byte_bpe.digest_documents(read(spark, sf_dir, "documents"), BYTE_RANKS)
+
+
+def op12_resample(spark, sf_dir):
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_variants(spark, sf_dir):
+    return variants.group_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_score": op2_lm_score,
@@ -68,6 +81,9 @@ QUERIES = {
     "op8_license": op8_license,
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_resample": op12_resample,
+    "op13_variants": op13_variants,
 }
 ORACLES: dict[str, str] = {
     "op7_top_k": topk.ORACLE,
