@@ -166,6 +166,8 @@ class Automaton:
             other = self.label[arc] != data[start[who[whose]] + p]
             whose, arc = whose[other], arc[other]
             rows = tuple(np.concatenate(x) for x in zip(moved, (who[whose], self.to[arc], n[whose] + self.before[arc]), (who, s, n)))  # replaced, deleted
+            if len(rows[0]) > 8 * len(clean):  # errors at several places of a run of one letter come to the same
+                rows = tuple(np.unique(np.stack(rows), axis=1))
             inside = size[clean] > p
             clean, state, number = clean[inside], state[inside], number[inside]
             arc_of = self.step(state, data[start[clean] + p])

@@ -85,9 +85,10 @@ def test_no_words(spark):
 
 
 def test_very_long_runs_and_repeated_rows(spark):
-    long = "q" * 200_000
+    long = "q" * 20_000
     docs = spark.createDataFrame([(1, f"{long} {long} {long} {long}b {long}b {long}b")] * 2 + [(7, "hello " * 50_000)], "doc_id long, text string")
-    assert got(variants.group_variants(docs)) == brute_long(rows_of(docs))
+    want = brute_long(rows_of(docs))
+    assert got(variants.group_variants(docs)) == want and any(w[4] for w in want)
 
 
 def brute_long(docs):
