@@ -24,7 +24,9 @@ ORDERS = 3
 #: Ranges of buckets. Every range of a block of documents names these, so more ranges mean more names.
 RANGES = 16
 #: A block of postings is of documents with so many features together, or of so many documents.
-BLOCK_FEATURES, BLOCK_DOCS = 4_000_000, 4096
+BLOCK_FEATURES, BLOCK_DOCS = 1_500_000, 4096
+#: Bytes of texts that are counted together.
+SLICE = 3 << 20
 LEAST_WORDS = 20
 SHARE = 5
 #: Candidates of a cell in which ranks are counted, on average.
@@ -61,7 +63,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, by
             at = np.flatnonzero(total)
             return ids[open_row], keys[open_row], n_words, int(total.sum()), at, total[at]
 
-        for first, part, runs in runs_of(texts, word_mask):
+        for first, part, runs in runs_of(texts, word_mask, SLICE):
             crc, length = crcs(runs.words)[runs.at], runs.lengths
             if part == 0 and open_row >= 0:
                 yield closed()

@@ -77,11 +77,11 @@ def test_resampling_of_nothing(spark):
 def test_long_text_is_counted_in_pieces():
     text = " ".join(words(9, 3000)) + " " + "y" * 5000 + " end. " + "é" * 300
     batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([b"k" * 16]), pa.array([text])], ["a", "b", "c"])
-    was, runs.PIECE = runs.PIECE, 700
+    was, resample.SLICE = resample.SLICE, 700
     try:
         [(_, _, n, total, buckets, counts)] = list(resample._counted(iter([batch])))
     finally:
-        runs.PIECE = was
+        resample.SLICE = was
     assert (n, dict(zip(buckets.tolist(), counts.tolist()))) == (len(words_of(text)), dict(features_of(text))) and total == 3 * n - 3
 
 
