@@ -1,4 +1,9 @@
-"""Log lines to phases, commands and diagnostic events. Every window is by log and in line order, so one exchange serves all."""
+"""Log lines to phases, commands and diagnostic events, by parts of logs.
+
+What a line says by itself is worked out where it is read. Then lines are dealt by log and range of line numbers, a part. Windows
+see a part alone; what a part hands to those behind it, the carry, is one row: its last marker and command, how many commands
+and events it has, whether a command goes on at its end. Carries are composed in order, and joined back to the parts' lines.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +13,44 @@ from pyspark.sql.window import Window, WindowSpec
 
 from buildlens.functions import patterns as P
 
+#: Lines of a part. A log of fewer is one; one of many millions is dealt over many tasks.
+PART_LINES = 100_000
+
 
 def in_order() -> WindowSpec:
     return Window.partitionBy("log_id").orderBy("line_no")
 
 
-def so_far() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+def part_of(line_no: Column) -> Column:
+    return F.floor((line_no - 1) / PART_LINES).cast("int")
+
+
+def in_part(name: str = "part") -> WindowSpec:
+    return Window.partitionBy("log_id", name).orderBy("line_no")
+
+
+def up_to(w: WindowSpec, last: int) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, last)
+
 
+def parts_before(name: str = "part") -> WindowSpec:
+    """Over carries, one row for each part: all parts of the log that come before."""
+    return up_to(Window.partitionBy("log_id").orderBy(name), -1)
 
-def before() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, -1)
 
+def last_of(value: Column, given: Column | None = None) -> Column:
+    """Of a part: the value of its last line that has one."""
+    return F.max_by(value, F.when(value.isNotNull() if given is None else given, F.col("line_no")))
 
-def whole_log() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def last_before(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the value of the last row of the log before this one that has one. Needs log_id and line_no; rows
+    of a log are windowed by parts."""
+    df = rows.withColumn("_part", part_of(F.col("line_no"))).withColumn("_value", value)
+    df = df.withColumn("_own", F.last("_value", True).over(up_to(in_part("_part"), -1)))
+    carry = df.groupBy("log_id", "_part").agg(last_of(F.col("_value")).alias("_last"))
+    carry = carry.select("log_id", "_part", F.last("_last", True).over(parts_before("_part")).alias("_before"))
+    return df.join(carry, ["log_id", "_part"]).withColumn(name, F.coalesce("_own", "_before")).drop("_part", "_value", "_own", "_before")
 
 
 def group(text: Column, pattern: str, n: int) -> Column:
@@ -38,25 +66,56 @@ def normalise(lines: DataFrame) -> DataFrame:
 
 def with_offsets(lines: DataFrame) -> DataFrame:
     """raw_offset: bytes of the lines before, each with its line feed."""
-    return lines.withColumn("raw_offset", F.coalesce(F.sum(F.octet_length("raw_text") + 1).over(before()), F.lit(0)).cast("long"))
+    df = lines.withColumn("_part", part_of(F.col("line_no"))).withColumn("_size", F.octet_length("raw_text") + 1)
+    df = df.withColumn("_own", F.sum("_size").over(up_to(in_part("_part"), -1)))
+    carry = df.groupBy("log_id", "_part").agg(F.sum("_size").alias("_all"))
+    carry = carry.select("log_id", "_part", F.sum("_all").over(parts_before("_part")).alias("_before"))
+    offset = F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return df.join(carry, ["log_id", "_part"]).withColumn("raw_offset", offset.cast("long")).drop("_part", "_size", "_own", "_before")
+
 
+def dealt(lines: DataFrame) -> DataFrame:
+    """Lines by log and part. The number of partitions is the session's, and stays: what follows works hard on few bytes, so
+    partitions are not to be taken together by their size."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.withColumn("part", part_of(F.col("line_no"))).repartition(n, "log_id", "part")
 
-def annotate(lines: DataFrame) -> DataFrame:
-    """Lines with marker (the phase that starts here), is_command, is_continuation, phase, and command_no so far.
+
+def annotate(read: DataFrame) -> DataFrame:
+    """Lines, as ``classify`` gives them, with is_continuation, phase, command_no so far, tool of the last command, and events_before:
+    the number of events of the log's parts before.
 
     A line goes on a command if the last line before it that is a phase marker, a command, or does not end in a
-    backslash, is a command that ends in one.
+    backslash, is a command that ends in one. In a part, lines up to the first such one depend on the part before.
     """
-    text = F.col("text")
-    df = lines.withColumn("marker", F.coalesce(group(text, P.PHASE, 1), group(text, P.EXECUTING, 1)))
-    df = df.withColumn("is_command", F.col("marker").isNull() & text.rlike(P.COMMAND)).withColumn("goes_on", text.rlike(P.CONTINUES))
-    anchor = F.last(F.when(F.col("marker").isNotNull() | F.col("is_command") | ~F.col("goes_on"), F.col("is_command") & F.col("goes_on")), True).over(before())
-    df = df.withColumn("is_continuation", F.col("marker").isNull() & ~F.col("is_command") & F.coalesce(anchor, F.lit(False)))
-    return df.withColumn("phase", F.last("marker", True).over(so_far())).withColumn("command_no", F.sum(F.col("is_command").cast("int")).over(so_far()).cast("int"))
+    df = dealt(read)
+    settles = F.col("marker").isNotNull() | F.col("is_command") | ~F.col("goes_on")
+    open_end = F.when(settles, F.col("is_command") & F.col("goes_on"))
+    own = up_to(in_part(), 0)
+    df = df.withColumn("own_open", F.last(open_end, True).over(up_to(in_part(), -1)))
+    df = df.withColumn("own_phase", F.last("marker", True).over(own)).withColumn("own_commands", F.sum(F.col("is_command").cast("int")).over(own))
+    df = df.withColumn("own_tool", F.last(F.when(F.col("is_command"), F.struct("tool")), True).over(own))
+    is_event = F.col("fact").isNotNull()
+    carry = df.groupBy("log_id", "part").agg(
+        last_of(F.col("marker")).alias("marker"),
+        last_of(open_end, settles).alias("open_end"),
+        last_of(F.struct("tool"), F.col("is_command")).alias("tool"),
+        F.count_if("is_command").alias("commands"),
+        F.count_if(is_event & ~F.col("own_open")).alias("events"),
+        F.count_if(is_event & F.col("own_open").isNull()).alias("if_closed"),  # events unless a command goes on from the part before
+    )
+    ahead = parts_before()
+    carry = carry.select("log_id", "part", "events", "if_closed", F.last("marker", True).over(ahead).alias("phase_in"), F.last("open_end", True).over(ahead).alias("open_in"), F.last("tool", True).over(ahead).alias("tool_in"), F.coalesce(F.sum("commands").over(ahead), F.lit(0)).alias("commands_in"))
+    certain = F.col("events") + F.when(F.coalesce("open_in", F.lit(False)), 0).otherwise(F.col("if_closed"))
+    carry = carry.withColumn("events_before", F.coalesce(F.sum(certain).over(ahead), F.lit(0))).drop("events", "if_closed")
+    df = df.join(carry, ["log_id", "part"])
+    goes = F.col("marker").isNull() & ~F.col("is_command") & F.coalesce("own_open", "open_in", F.lit(False))
+    df = df.withColumn("is_continuation", goes).withColumn("phase", F.coalesce("own_phase", "phase_in")).withColumn("command_no", (F.col("own_commands") + F.col("commands_in")).cast("int"))
+    return df.withColumn("tool", F.coalesce("own_tool", "tool_in")["tool"]).drop("own_open", "own_phase", "own_commands", "own_tool", "phase_in", "open_in", "tool_in", "commands_in")
 
 
 def scanned(lines: DataFrame) -> DataFrame:
-    return annotate(normalise(lines))
+    return annotate(classify(normalise(lines)))
 
 
 def phases(annotated: DataFrame) -> DataFrame:
@@ -101,18 +160,40 @@ def _patch_group(name: str) -> Column:
     return out
 
 
-def events(annotated: DataFrame) -> DataFrame:
-    """Diagnostic events: the first branch of an ordered case decides the kind; seq and id count them in each log.
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The whole and all groups of the first place where the pattern is found, in one go; null where it is not. Groups that took no
+    part are empty."""
+    flags, body = (pattern[:4], pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    between = "\u0001"
+    marked = F.regexp_replace(text, rf"{flags}\A[\s\S]*?{body}[\s\S]*\z", between + between.join(f"${i}" for i in range(1, n + 1)))
+    one_by_one = F.when(text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, i) for i in range(n + 1)]))
+    return F.when(text.contains(between), one_by_one).when(marked.startswith(between), F.split(marked, between))
 
-    The cheap marker test comes first and keeps most lines away from the patterns. What decides is worked out once for a
-    line, in an array that is exploded: a plain column would be copied into the filter and each field.
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once a line, in an array that is exploded: a plain column would be copied into
+    every place that names it."""
+    named = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_x")
+    return df.select("*", named).select("*", *[f"_x.{n}" for n in columns]).drop("_x")
+
+
+def classify(lines: DataFrame) -> DataFrame:
+    """What each line says by itself: marker (the phase that starts), is_command, goes_on (it ends in a backslash), tool (of a
+    command), and fact: what it is as an event, if it goes on no command. No shuffle.
+
+    The first branch of an ordered case decides the kind. The cheap marker test comes first and keeps most lines away from
+    the patterns.
     """
-    text, low = F.col("text"), F.lower("text")
-    tool = tool_of(F.last(F.when(F.col("is_command"), group(text, P.COMMAND, 1)), True).over(so_far()))
-    df = annotated.withColumn("tool", tool).filter("marker is null and not is_command and not is_continuation").filter(low.rlike(P.MARKERS))
-    df = df.select("*", F.explode(F.array(F.struct(_patch().alias("patch"), text.rlike(P.COMPILER).alias("is_compiler")))).alias("p")).select("*", "p.patch", "p.is_compiler").drop("p")
-    found = {name: _patch_group(name) for name in ("num", "total", "line", "file")}
-    compiler = F.col("is_compiler")
+    text, low = F.col("text"), F.col("low")
+    df = lines.withColumn("marker", F.coalesce(group(text, P.PHASE, 1), group(text, P.EXECUTING, 1)))
+    df = df.withColumn("is_command", F.col("marker").isNull() & text.rlike(P.COMMAND)).withColumn("goes_on", text.rlike(P.CONTINUES))
+    df = df.withColumn("tool", F.when(F.col("is_command"), tool_of(group(text, P.COMMAND, 1))))
+    df = df.withColumn("low", F.lower("text"))
+    marked = F.col("marker").isNull() & ~F.col("is_command") & low.rlike(P.MARKERS)
+    df = _once(df, marked=marked)
+    marked = F.col("marked")
+    df = _once(df, patch=F.when(marked, _patch()), place=F.when(marked, _groups(text, P.COMPILER, 5)))
+    compiler = F.col("place").isNotNull()
     kind = (
         F.when(low.contains("nothing provides"), "depsolve")
         .when(F.col("patch").isNotNull(), "patch")
@@ -128,50 +209,51 @@ def events(annotated: DataFrame) -> DataFrame:
         .when(low.contains("spec file") & low.contains("error"), "spec_script")
         .when(low.contains("error:") | low.contains("fatal:"), "raw_error")
     )
-    df = df.select("*", F.explode(F.array_compact(F.array(kind))).alias("branch"))
+    df = _once(df, branch=F.when(marked, kind))
     branch = F.col("branch")
     located = branch.isin("werror_located", "compiler")
-    at = lambda n: F.when(located, group(text, P.COMPILER, n))
-    severity = F.when(located, F.when(F.lower(at(4)) == "warning", "warning").otherwise("error")).otherwise("error")
+    at = lambda n: F.when(located, F.nullif(F.col("place")[n], F.lit("")))
+    of = lambda name, value: F.when(branch == name, value)
+    found = {name: of("patch", _patch_group(name)) for name in ("num", "total", "line", "file")}
     message = (
-        F.when(located, F.regexp_extract(text, P.COMPILER, 5))
+        F.when(located, F.col("place")[5])
         .when((branch == "patch") & low.contains("can't find file to patch"), F.concat(F.lit("error: patch failed: "), text))
         .when((branch == "patch") & low.contains("hunk") & low.contains("ignored") & ~low.startswith("hunk"), F.concat(F.lit("Hunk #"), F.coalesce(found["num"], F.lit("1")), F.lit(" FAILED: "), text))
         .otherwise(text)
     )
-    of = lambda name, value: F.when(branch == name, value)
-    df = df.withColumn("seq", F.row_number().over(in_order()))
-    return df.select(
-        "log_id",
-        F.format_string("E%03d", "seq").alias("id"),
-        "seq",
+    fact = F.struct(
         F.when(branch.isin("unknown_option", "werror_located"), "werror").otherwise(branch).alias("kind"),
-        severity.alias("severity"),
+        F.when(F.lower(at(4)) == "warning", "warning").otherwise("error").alias("severity"),
         message.alias("message"),
-        "line_no",
-        "phase",
-        command_id(F.col("command_no")).alias("command_id"),
         at(1).alias("file"),
         at(2).try_cast("int").alias("line"),
         at(3).try_cast("int").alias("column"),
         of("make_cascade", group(text, P.MAKE, 1)).alias("target"),
-        "tool",
         of("linker_missing", group(text, P.MISSING_LIBRARY, 1)).alias("library"),
         of("linker_undef", group(text, P.UNDEFINED, 1)).alias("symbol"),
         of("rpm_phase", group(text, P.RPM_PHASE, 1)).alias("exit_phase"),
         of("unknown_option", group(text, P.UNKNOWN_OPTION, 1)).alias("warning_option"),
-        of("patch", found["num"]).alias("patch_num"),
-        of("patch", found["total"]).alias("patch_total"),
-        of("patch", found["line"]).alias("patch_line"),
-        of("patch", found["file"]).alias("patch_file"),
+        *[found[n].alias(f"patch_{n}") for n in ("num", "total", "line", "file")],
         F.when(located, F.lower(at(1)).endswith(".s")).alias("is_assembler"),
     )
+    return df.withColumn("fact", F.when(branch.isNotNull(), fact)).drop("low", "marked", "patch", "place", "branch")
+
+
+FACTS = ("kind", "severity", "message", "line_no", "phase", "command_id", "file", "line", "column", "target", "tool", "library", "symbol", "exit_phase", "warning_option", "patch_num", "patch_total", "patch_line", "patch_file", "is_assembler")
+
+
+def events(annotated: DataFrame) -> DataFrame:
+    """Diagnostic events: the facts of lines that go on no command; seq and id count them in each log."""
+    df = annotated.filter("fact is not null and not is_continuation")
+    df = df.withColumn("seq", (F.col("events_before") + F.row_number().over(in_part())).cast("int")).withColumn("command_id", command_id(F.col("command_no")))
+    own = {"line_no", "phase", "command_id", "tool"}
+    return df.select("log_id", F.format_string("E%03d", "seq").alias("id"), "seq", *[F.col(c) if c in own else F.col(f"fact.{c}").alias(c) for c in FACTS])
 
 
 def patch_parents(ev: DataFrame) -> DataFrame:
     """patch_parent of a failed %prep: the last patch event before it in that phase."""
-    last = F.last(F.when((F.col("kind") == "patch") & (F.col("phase") == "%prep"), F.col("id")), True).over(before())
-    return ev.withColumn("patch_parent", F.when((F.col("kind") == "rpm_phase") & (F.col("exit_phase") == "%prep"), last))
+    df = last_before(ev, F.when((F.col("kind") == "patch") & (F.col("phase") == "%prep"), F.col("id")), "last_patch")
+    return df.withColumn("patch_parent", F.when((F.col("kind") == "rpm_phase") & (F.col("exit_phase") == "%prep"), F.col("last_patch"))).drop("last_patch")
 
 
 def cascade_parents(ev: DataFrame) -> DataFrame:
@@ -198,7 +280,8 @@ def with_parents(ev: DataFrame) -> DataFrame:
 
 def with_failed_phase(ev: DataFrame) -> DataFrame:
     """failed_phase of the log: the phase of its last event that has one and is no make cascade."""
-    return ev.withColumn("failed_phase", F.last(F.when(F.col("kind") != "make_cascade", F.col("phase")), True).over(whole_log()))
+    of_log = ev.groupBy("log_id").agg(F.max_by("phase", F.when((F.col("kind") != "make_cascade") & F.col("phase").isNotNull(), F.col("line_no"))).alias("failed_phase"))
+    return ev.join(of_log, "log_id")
 
 
 def cascade_summary(ev: DataFrame) -> DataFrame:

@@ -39,5 +39,7 @@ SQL = f"SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER
 
 def logl(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own is kept: the rows are few bytes, and the patterns behind them work
+    events = events.repartition(n, "user_id")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return events.select(F.col("user_id").alias("log_id"), F.row_number().over(order).alias("line_no"), F.expr(TEXT).alias("raw_text"))

@@ -110,9 +110,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("streamed").select("log_id", "id", "kind", "line_no", "parent").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_one_exchange_serves_all_windows(spark):
-    plan = scan.events(scan.scanned(lines(spark, "x", "y")))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "NestedLoop" not in plan and "Python" not in plan
+def test_parts_of_logs_equal_the_sequential_scanner(spark, monkeypatch):
+    r = random.Random(9)
+    pool = [*POOL, "x \x01 a.c:7: error: odd", "+ ld \\", "error: in a command \\"]
+    rows = [(f"L{g}", i, r.choice(pool)) for g in range(6) for i in range(1, 300)]
+    want = []
+    for g in range(6):
+        held = scanner.fresh()
+        want += [e for log, n, t in rows if log == f"L{g}" and (e := scanner.step(held, log, n, t))]
+    df = spark.createDataFrame(rows, "log_id string, line_no int, raw_text string")
+    whole = sorted(map(str, scan.with_offsets(df).collect()))
+    monkeypatch.setattr(scan, "PART_LINES", 7)
+    ev = scan.with_parents(scan.events(scan.scanned(df)))
+    got = [tuple(x) for x in ev.select("log_id", "id", "kind", "severity", "message", "line_no", "phase", "command_id", "file", "line", "parent").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(map(str, scan.with_offsets(df).collect())) == whole
+
+
+def test_one_log_is_many_tasks_and_its_carry_a_row_a_part(spark, monkeypatch):
+    monkeypatch.setattr(scan, "PART_LINES", 1000)
+    log = spark.range(1, 40_001).select(F.concat(F.lit("L"), F.col("id") % 1).alias("log_id"), F.col("id").cast("int").alias("line_no"), F.concat(F.lit("a.c:"), "id", F.lit(": error: e")).alias("raw_text"))
+    ev = scan.events(scan.scanned(log))
+    assert ev.select(F.spark_partition_id()).distinct().count() > 1
+    assert ev.agg(F.count_if("seq = line_no"), F.max("seq")).first() == (40_000, 40_000)
+    plan = ev._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Python" not in plan and "REPARTITION_BY_NUM" in plan
 
 
 def test_logs_are_read(spark, tmp_path):
