@@ -34,16 +34,41 @@ def group(text: Column, pattern: str, n: int) -> Column:
 
 
 def functions_of(lines: DataFrame) -> DataFrame:
-    """root, path, name, start_line, end_line: function headers, each to the line at which its braces are closed again."""
+    """root, path, name, start_line, end_line: function headers, each to the line at which its braces are closed again.
+
+    A line at which the depth falls closes each depth that it falls through, so there are no more closings than closing braces.
+    A header whose first brace does not close on its own line ends at the next closing of the depth that it stood at: of one
+    window over file and depth, in which headers and closings are together.
+    """
     place = Window.partitionBy("root", "path").orderBy("line_no")
     count = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
     df = lines.withColumn("net", count("{") - count("}")).withColumn("opens", F.col("text").contains("{")).withColumn("name", group(F.col("text"), FUNCTION, 1))
     df = df.withColumn("depth", F.sum("net").over(place)).withColumn("before", F.col("depth") - F.col("net"))
-    df = df.withColumn("first_open", F.min(F.when(F.col("opens"), F.col("line_no"))).over(place.rowsBetween(0, Window.unboundedFollowing)))
-    starts = df.filter("name is not null and first_open is not null").select("root", "path", "name", F.col("line_no").alias("start_line"), "before", "first_open")
-    ends = df.select("root", "path", F.col("line_no").alias("end_line"), "depth")
-    met = starts.join(ends, ["root", "path"]).filter((F.col("end_line") >= F.col("first_open")) & (F.col("depth") <= F.col("before")))
-    return met.groupBy("root", "path", "name", "start_line").agg(F.min("end_line").alias("end_line"))
+    first_open = F.first(F.when(F.col("opens"), F.struct(F.col("line_no").alias("line"), "depth")), True).over(place.rowsBetween(0, Window.unboundedFollowing))
+    df = df.withColumn("open", first_open)
+    starts = df.filter("name is not null and open is not null").select("root", "path", F.col("before").alias("level"), F.col("open.line").alias("at"), F.struct("name", F.col("line_no").alias("start_line"), F.col("open.line").alias("open_line"), F.col("open.depth").alias("open_depth")).alias("header"), F.lit(None).cast("int").alias("closing"))
+    falls = df.filter("depth < before").select("root", "path", F.explode(F.expr("sequence(depth, before - 1)")).alias("level"), F.col("line_no").alias("at"), F.lit(None).cast(starts.schema["header"].dataType).alias("header"), F.col("line_no").cast("int").alias("closing"))
+    behind = Window.partitionBy("root", "path", "level").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    met = starts.unionByName(falls).withColumn("next", F.first("closing", True).over(behind)).filter("header is not null")
+    end = F.when(F.col("header.open_depth") <= F.col("level"), F.col("header.open_line")).otherwise(F.col("next")).cast("int")
+    return met.select("root", "path", "header.name", "header.start_line", end.alias("end_line")).filter("end_line is not null")
+
+
+def holding(asks: DataFrame, functions: DataFrame) -> DataFrame:
+    """log_id, id, f (start_line, end_line) of asks (log_id, id, root, path, line): the function of the file that holds the line and
+    starts first.
+
+    Only functions that end behind all that start before them can be that; of these, starts and ends ascend together, so it is the
+    next one that ends at the line or behind, if it starts by then: one window over each file's asks and functions.
+    """
+    ahead = Window.partitionBy("root", "path").orderBy("start_line", F.desc("end_line")).rowsBetween(Window.unboundedPreceding, -1)
+    furthest = functions.withColumn("reached", F.max("end_line").over(ahead)).filter("reached is null or end_line > reached")
+    held = furthest.select("root", "path", F.col("end_line").alias("at"), F.struct("start_line", "end_line").alias("f"))
+    kind = asks.select(F.struct("log_id", "id").alias("ask")).schema["ask"].dataType
+    asked = asks.filter("line is not null").select("root", "path", F.col("line").alias("at"), F.lit(None).cast(held.schema["f"].dataType).alias("f"), F.struct("log_id", "id").alias("ask"))
+    behind = Window.partitionBy("root", "path").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    met = held.withColumn("ask", F.lit(None).cast(kind)).unionByName(asked).withColumn("f", F.first("f", True).over(behind)).filter("ask is not null")
+    return met.filter("f.start_line <= at").select("ask.log_id", "ask.id", "f")
 
 
 def source_contexts(asks: DataFrame, lines: DataFrame) -> DataFrame:
@@ -52,8 +77,10 @@ def source_contexts(asks: DataFrame, lines: DataFrame) -> DataFrame:
     An ask whose file is not there gives no row."""
     length = lines.groupBy("root", "path").agg(F.max("line_no").alias("n_lines"))
     df = asks.join(length, ["root", "path"])
-    met = asks.join(functions_of(lines), ["root", "path"]).filter((F.col("name") == F.col("symbol")) | F.col("line").between(F.col("start_line"), F.col("end_line")))
-    first = met.groupBy("log_id", "id").agg(F.min(F.struct("start_line", "end_line")).alias("f"))
+    functions = functions_of(lines)
+    named = functions.groupBy("root", "path", F.col("name").alias("symbol")).agg(F.min(F.struct("start_line", "end_line")).alias("f"))
+    met = asks.join(named, ["root", "path", "symbol"]).select("log_id", "id", "f").unionByName(holding(asks, functions))
+    first = met.groupBy("log_id", "id").agg(F.min("f").alias("f"))
     df = df.join(first, ["log_id", "id"], "left")
     centre = F.coalesce("line", F.lit(1))
     return df.select(

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from buildlens.functions.text import redacted, token_estimate
 
@@ -95,7 +91,7 @@ def packets(top: DataFrame, verdicts: DataFrame, quick: DataFrame, cascades: Dat
         F.array_join(F.concat(F.when(fallback, F.array(F.lit("fallback_raw_context_used"))).otherwise(F.array().cast("array<string>")), F.when(fast | F.col("warnings").isNull(), F.array().cast("array<string>")).otherwise(F.col("warnings"))), ",").alias("degraded_reasons"),
         F.when(F.col("semantic_class") == "undefined_reference", 900).otherwise(600).alias("ask"),
     )
-    df = fitted(df, "excerpt", 600)
+    df = df.withColumn("excerpt", fit(F.col("excerpt"), 600))
     used = {"cascade_summary": F.when(F.col("cascade_summary") == "", 1).otherwise(token_estimate(F.col("cascade_summary"))), "top_k_text_summaries": token_estimate(F.col("causes")), "raw_excerpt": F.when(F.col("excerpt").isNull(), 0).otherwise(token_estimate(F.col("excerpt")))}
     ask = F.when(F.col("collector").isNull(), 0).otherwise(F.col("ask"))
     return budget_pool(df, used, ask).drop("ask")
@@ -115,82 +111,116 @@ def section_tokens() -> dict[str, Column]:
     return {name: size(c) for name, c in (("primary_tokens", "primary_error"), ("cause_tokens", "causes"), ("cascade_tokens", "cascade_summary"), ("excerpt_tokens", "excerpt"), ("prompt_tokens", "prompt"))}
 
 
-def _tokens(text: str) -> int:
-    import math
-    import re
-
-    from buildlens.functions.text import CJK, WORDY
-
-    cjk, words = len(re.findall(CJK, text)), re.findall(WORDY, text)
-    return max(1, math.ceil(cjk / 1.5 + len(words) / 0.75 + (len(text) - cjk - sum(map(len, words))) / 3))
-
-
-def fit(text: str, most: int, marker: str = "\n[truncated]") -> str:
-    """The text cut in proportion, then by sixteen characters, until it fits; the marker comes on top."""
-    if most <= 0:
-        return ""
-    have = _tokens(text)
-    if have <= most:
-        return text
-    cut = text[: max(1, int(len(text) * (most / have)))].rstrip()
-    while cut and _tokens(cut) > most:
-        cut = cut[: max(0, len(cut) - 16)].rstrip()
-    return cut + marker
-
-
-def fitted(df: DataFrame, column: str, most: int) -> DataFrame:
-    """``column`` cut to so many tokens; the cut is a loop, so it is done on batches of rows. Null stays null."""
+#: White space that is cut off at the end of a text.
+BLANKS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
+TRUNCATED = "\n[truncated]"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[column] = [fit(t, most) if isinstance(t, str) else None for t in b[column]]
-            yield b
 
-    return df.mapInPandas(run, df.schema)
+def fit(text: Column, most: int | Column, marker: str = TRUNCATED) -> Column:
+    """The text cut in proportion to its tokens, then by sixteen characters again and again, until it fits; the marker comes on top.
 
-
-#: What a packet over its budget gives up, in order: column, and tokens that stay (lines, for lines). The first cause stays.
-SHRINK = [("excerpt", "lines", 30), ("cascade_summary", "tokens", 0), ("excerpt", "tokens", 120), ("causes", "first", 1), ("excerpt", "tokens", 40), ("excerpt", "tokens", 0)]
-
-
-def shrunk(packet: dict, most: int) -> dict:
-    """The packet's texts after as many steps as it takes to fit; the prompt is cut last. used: tokens then; steps: how many
-    changed something; over: it does not fit all the same."""
-    import json
-
-    texts = ("primary_error", "causes", "cascade_summary", "excerpt", "command", "prompt", "direct_answer")
-    used = lambda: sum(_tokens(packet[c]) for c in texts if packet.get(c))
-    steps = 0
-    for column, how, keep in SHRINK:
-        if used() <= most:
-            break
-        was = packet.get(column)
-        if not was:
-            continue
-        if how == "lines":
-            packet[column] = "\n".join(was.split("\n")[:keep])
-        elif how == "tokens":
-            packet[column] = fit(was, keep)
-        else:
-            packet[column] = json.dumps(json.loads(was)[:keep], ensure_ascii=False, separators=(",", ":"))
-        steps += packet[column] != was
-    if used() > most and packet.get("prompt"):
-        prompt = packet["prompt"]
-        packet["prompt"] = None
-        packet["prompt"], steps = fit(prompt, max(0, most - used())), steps + 1
-    return packet | {"used": used(), "steps": steps, "over": used() > most}
+    A fold over as many steps as the cut text has sixteens; a step after the one that fits does nothing. Null stays null.
+    """
+    most = F.lit(most) if isinstance(most, int) else most
+    stripped = lambda t: F.regexp_replace(t, BLANKS, "")
+    share = F.greatest(F.lit(1), F.floor(F.length(text) * (most / token_estimate(text))).cast("int"))
+    start = F.struct(stripped(F.substring(text, F.lit(1), share)).alias("cut"), F.lit(False).alias("fits"))
+
+    def step(state: Column, _: Column) -> Column:
+        fits = (state["cut"] == "") | (token_estimate(state["cut"]) <= most)
+        shorter = stripped(F.substring(state["cut"], F.lit(1), F.greatest(F.lit(0), F.length(state["cut"]) - 16)))
+        return F.when(state["fits"], state).when(fits, F.struct(state["cut"].alias("cut"), F.lit(True).alias("fits"))).otherwise(F.struct(shorter.alias("cut"), F.lit(False).alias("fits")))
+
+    cut = F.aggregate(F.sequence(F.lit(0), F.floor(share / 16).cast("int")), start, step, lambda state: F.concat(state["cut"], F.lit(marker)))
+    return F.when(text.isNull(), None).when(most <= 0, F.lit("")).when(token_estimate(text) <= most, text).otherwise(cut)
+
+
+#: What a packet over its budget gives up, in order: section, how, and how much of it stays. ``lines`` keeps the last lines,
+#: ``tokens`` cuts texts, ``over`` clears a section of more tokens than that, ``first`` keeps the first causes.
+LADDER = [
+    ("extra_window", "lines", 30),
+    ("extra_window", "tokens", 0),
+    ("excerpt", "lines", 30),
+    ("cascade_summary", "over", 50),
+    ("snippets", "tokens", 120),
+    ("excerpt", "tokens", 120),
+    ("causes", "first", 1),
+    ("snippets", "tokens", 40),
+    ("excerpt", "tokens", 40),
+    ("snippets", "tokens", 0),
+]
+#: Sections that the ladder cuts, and those that stay as they are.
+SECTIONS = ("extra_window", "excerpt", "cascade_summary", "snippets", "causes")
+FIXED = ("primary_error", "command", "direct_answer")
+
+
+def _size(text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(token_estimate(text))
+
+
+def _size_of(section: str, value: Column) -> Column:
+    return F.aggregate(F.coalesce(value, F.array().cast("array<string>")), F.lit(0), lambda n, t: n + _size(t)) if section in ("snippets", "causes") else _size(value)
+
+
+def _cut(section: str, value: Column, how: Column, keep: Column) -> Column:
+    """A section after one step of the ladder."""
+    if section == "snippets":
+        return F.transform(value, lambda t: fit(t, keep))
+    if section == "causes":
+        return F.slice(value, F.lit(1), keep)
+    lines = F.split(value, "\n")
+    last = F.when(F.size(lines) > keep, F.concat(F.array_join(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - keep + 1), keep), "\n"), F.lit(TRUNCATED))).otherwise(value)
+    return F.when(how == "lines", last).when(how == "over", F.when(_size(value) > keep, F.lit("")).otherwise(value)).otherwise(fit(value, keep))
 
 
 def within_budget(packets: DataFrame, most: int = 1800) -> DataFrame:
-    """Packets that fit, with used, steps and over. A packet is shrunk by a loop, so it is done on batches of rows."""
-    out = T.StructType(list(packets.schema.fields)).add("used", T.IntegerType()).add("steps", T.IntegerType()).add("over", T.BooleanType())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [shrunk({k: (None if v is pd.NA or (isinstance(v, float) and v != v) else v) for k, v in r.items()}, most) for r in b.to_dict("records")]
-            yield pd.DataFrame(rows, columns=out.names)
+    """Packets cut by as many steps of the ladder as it takes to fit; the prompt is cut last. With used (tokens then), steps (how
+    many changed something), over (it does not fit all the same) and, in degraded_reasons, that something was cut or could not be.
 
-    return packets.mapInPandas(run, out)
+    A fold over the ladder in columns: a packet that fits passes the other steps as it is. snippets is an array of texts, causes
+    one of JSON objects; sections that packets do not have are empty.
+    """
+    kind = {c: "array<string>" if c in ("snippets", "causes") else "string" for c in SECTIONS}
+    df = packets
+    for c in (*SECTIONS, *FIXED, "prompt", "degraded_reasons"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(kind.get(c, "string")))
+    fixed = sum((_size(F.col(c)) for c in FIXED), F.lit(0))
+    df = df.withColumn("_room", F.lit(most) - fixed).withColumn("_prompt", _size(F.col("prompt")))
+    used = lambda s: sum((_size_of(c, s[c]) for c in SECTIONS), F.lit(0))
+    start = F.struct(*[F.col(c) for c in SECTIONS], F.lit(0).alias("steps"))
+
+    def step(state: Column, rung: Column) -> Column:
+        def changed(section: str) -> Column:
+            mine = rung["section"] == section
+            return F.when(mine & state[section].isNotNull(), _cut(section, state[section], rung["how"], rung["keep"])).otherwise(state[section])
+
+        after = F.struct(*[changed(c).alias(c) for c in SECTIONS], state["steps"].alias("steps"))
+        return F.when(used(state) + F.col("_prompt") <= F.col("_room"), state).otherwise(after)
+
+    def counted(state: Column, rung: Column) -> Column:
+        after = F.array(step(state, rung))  # worked out once
+        return F.transform(after, lambda x: F.struct(*[x[c].alias(c) for c in SECTIONS], (x["steps"] + F.when(_same(x, state), 0).otherwise(1)).alias("steps")))[0]
+
+    ladder = F.array(*[F.struct(F.lit(c).alias("section"), F.lit(how).alias("how"), F.lit(keep).alias("keep")) for c, how, keep in LADDER])
+    df = df.select("*", F.explode(F.array(F.aggregate(ladder, start, counted))).alias("_cut"))
+    df = df.withColumn("_left", F.col("_room") - used(F.col("_cut")))
+    over = F.col("_prompt") > F.col("_left")
+    df = df.select("*", F.explode(F.array(F.when(over & (F.col("_prompt") > 0), fit(F.col("prompt"), F.greatest(F.lit(0), F.col("_left")))).otherwise(F.col("prompt")))).alias("_short"))
+    df = df.withColumn("steps", F.col("_cut.steps") + F.when(F.col("prompt").isNotNull() & (F.col("_short") != F.col("prompt")), 1).otherwise(0))
+    df = df.withColumn("used", (F.lit(most) - F.col("_left") + _size(F.col("_short"))).cast("int")).withColumn("over", F.col("used") > most)
+    was_over = fixed + used(F.struct(*[F.col(c) for c in SECTIONS])) + F.col("_prompt") > most
+    reasons = F.concat_ws(",", F.nullif(F.col("degraded_reasons"), F.lit("")), F.when(was_over, "packet_truncated_to_token_budget"), F.when(F.col("over"), "packet_could_not_truncate_to_budget"))
+    df = df.withColumn("degraded_reasons", reasons)
+    own = {c: F.col(f"_cut.{c}") for c in SECTIONS} | {"prompt": F.col("_short")}
+    return df.select(*[own.get(c, F.col(c)).alias(c) for c in df.columns if not c.startswith("_")])
+
+
+def _same(a: Column, b: Column) -> Column:
+    out = F.lit(True)
+    for c in SECTIONS:
+        out = out & a[c].eqNullSafe(b[c])
+    return out
 
 
 def compression_ratio(log_bytes: Column, tokens: Column) -> Column:
