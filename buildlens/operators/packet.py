@@ -34,10 +34,15 @@ def budget_pool(df: DataFrame, used: dict[str, Column], ask: Column, total: int
     return df.withColumn("conservation_total", F.lit(sum(HARD.values()) + pending) + sum(taken.values(), F.lit(0)) + F.col("left") + F.col("granted"))
 
 
+def cause_lists(top: DataFrame) -> DataFrame:
+    """log_id, causes: the first causes of each log in order, each as JSON, redacted."""
+    cause = F.to_json(F.struct("rank", F.col("id").alias("event_id"), "kind", "semantic_class", F.round("score", 4).alias("confidence"), "band", redacted(F.col("summary")).alias("summary")))
+    return top.groupBy("log_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", cause.alias("cause")))), lambda x: x["cause"]).alias("causes"))
+
+
 def causes(top: DataFrame) -> DataFrame:
-    """log_id, causes: the first causes of each log as JSON, redacted."""
-    cause = F.struct("rank", F.col("id").alias("event_id"), "kind", "semantic_class", F.round("score", 4).alias("confidence"), "band", redacted(F.col("summary")).alias("summary"))
-    return top.groupBy("log_id").agg(F.to_json(F.array_sort(F.collect_list(cause))).alias("causes"))
+    """The same as one JSON array."""
+    return cause_lists(top).withColumn("causes", F.concat(F.lit("["), F.array_join("causes", ","), F.lit("]")))
 
 
 def excerpts(windows: DataFrame) -> DataFrame:

@@ -96,40 +96,12 @@ def quick_match(ev: DataFrame, rules: DataFrame) -> DataFrame:
     return df.select("log_id", F.col("id").alias("event_id"), "kind", "rule", "category", "confidence", F.map_values("captures").alias("captured"), F.col("tier1_template").alias("direct_answer"))
 
 
-def evidence() -> tuple[Column, Column]:
-    """What the collectors hold of a candidate, by kind, and whether that is degraded. Needs has_source and has_spec.
-
-    Undefined references alone are granted the level that looks for symbols.
-    """
-    put = lambda when, name: F.when(when, F.lit(name))
-    kind = F.col("kind")
-    compile_, link = kind.isin("compiler", "werror"), kind.isin("linker_missing", "linker_undef")
-    spec, deps = kind.isin("spec_script", "rpm_phase"), kind == "depsolve"
-    held = F.array_compact(
-        F.array(
-            put(compile_ | link | spec | deps, "primary_error"),
-            put(compile_, "command_summary"),
-            put(compile_ & F.col("has_source"), "source_snippet"),
-            put(link, "link_command"),
-            put((link | deps) & F.col("has_spec"), "spec_buildrequires"),
-            put((kind == "linker_undef") & F.col("has_source"), "symbol_context"),
-            put(deps, "missing_dependency"),
-            put(spec & F.col("has_spec"), "spec_section_text"),
-            put(spec & F.col("has_spec"), "spec_parse_status"),
-            put(spec & F.col("has_spec"), "failure_context"),
-        )
-    )
-    degraded = (compile_ & ~F.col("has_source")) | ((spec | deps) & ~F.col("has_spec")) | ((kind == "linker_undef") & ~F.col("has_source"))
-    return held, degraded
-
-
 def full_verdicts(cand: DataFrame, rules: DataFrame) -> DataFrame:
     """Verdict of each candidate: a direct answer of the first rule that gives one, else the first rule that came near and why it fell short.
 
-    Needs score, parent, in_warning_block, has_source and has_spec.
+    Needs score, parent, in_warning_block, and contains and degraded of the evidence collected.
     """
-    held, degraded = evidence()
-    df = cand.withColumn("contains", held).withColumn("degraded", degraded)
+    df = cand
     met = _hits(df, rules).withColumn("n", F.row_number().over(Window.partitionBy("log_id", "id", "rule").orderBy("regex_ord"))).filter("n = 1")
     holds, terminal = context_holds(True), F.col("parent").isNull()
     enough = F.size(F.array_except(F.coalesce("tier2_evidence", F.array().cast("array<string>")), "contains")) == 0

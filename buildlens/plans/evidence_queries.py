@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from buildlens.functions.scratch import written
 from buildlens.operators import evidence as V
 from buildlens.operators import packet
 from buildlens.plans.core import annotated, events, scored, top
@@ -65,18 +66,23 @@ def spec_asks(s, d):
     return s.range(41).selectExpr("id as root").crossJoin(s.createDataFrame([("p1",), ("p9",)], "package string"))
 
 
-def with_grant(s, d):
-    return top(s, d).withColumn("granted", V.granted(F.col("semantic_class"), F.lit(650) + F.col("log_id") % 400))
+def granted(top):
+    return top.withColumn("granted", V.granted(F.col("semantic_class"), F.lit(650) + F.col("log_id") % 400))
 
 
-def all_collected(s, d):
-    cand = with_grant(s, d)
+def collected_of(s, d, top):
+    """What the collectors hold of each of these causes."""
+    cand = granted(top)
     own = cand.select("log_id", "id", F.lit("root").alias("root"), F.col("file").alias("path"), "line", V.group(F.col("message"), V.QUOTED, 1).alias("quoted"), "symbol")
     c, src = own.drop("symbol").withColumnRenamed("quoted", "symbol"), sources(s, d)
     spec = specs(s, d).select(F.col("spec").alias("log_id"), "spec").distinct()
     return V.collected(cand, V.source_contexts(c, src), V.header_declarations(c, src), V.symbol_contexts(own, src), spec)
 
 
+def all_collected(s, d):
+    return collected_of(s, d, written(top(s, d), "top"))
+
+
 def dependencies(s, d):
     a, b = V.missing_dependency(F.col("message"))
     return events(s, d).filter("kind in ('depsolve', 'raw_error')").select("log_id", "id", a.alias("dependency"), b.alias("needed_by"))
@@ -96,7 +102,7 @@ QUERIES = {
     "last_command": lambda s, d: V.last_commands(annotated(s, d).select("log_id", "line_no", "text"), annotated(s, d).select("log_id").distinct().withColumn("phase", F.when(F.col("log_id") % 2 == 0, "%build").when(F.col("log_id") % 4 == 1, "%prep").otherwise("%install"))),
     "missing_dependency": dependencies,
     "evidence": lambda s, d: all_collected(s, d).withColumn("contains", F.array_join(F.array_sort("contains"), ",")).withColumn("warnings", F.array_join("warnings", ",")),
-    "evidence_level": lambda s, d: with_grant(s, d).select("log_id", "id", "granted", packet.level(F.col("granted")).alias("level")),
+    "evidence_level": lambda s, d: granted(top(s, d)).select("log_id", "id", "granted", packet.level(F.col("granted")).alias("level")),
 }
 
 BODY = f"src AS ({SRC_SQL})"

@@ -184,14 +184,20 @@ def test_text_functions(spark):
 def test_budget_is_conserved(spark):
     rows = registry.QUERIES["packet_budget"](spark, SF).collect()
     assert rows and all(r["conservation_total"] == packet.TOTAL and r["within"] and r["reclaimed"] for r in rows)
-    cut = packet.fit("word " * 500, 60)
-    assert cut.endswith("\n[truncated]") and packet._tokens(cut.removesuffix("\n[truncated]")) <= 60 and packet.fit("a b", 60) == "a b" and packet.fit("a b", 0) == ""
-    big = {"primary_error": "{}", "causes": '[{"rank":1},{"rank":2}]', "cascade_summary": "make cascade: " + "a -> b; " * 200, "excerpt": "\n".join(f"line {i}" for i in range(200)), "prompt": "p " * 50, "command": None, "direct_answer": None}
-    small = packet.shrunk(dict(big), 150)
-    assert not small["over"] and small["used"] <= 150 and small["steps"] > 1 and small["cascade_summary"] == ""
-    same = packet.shrunk(dict(big), 100_000)
-    assert same["steps"] == 0 and same["excerpt"] == big["excerpt"]
-    assert packet.shrunk(dict(big), 1)["over"]
+    fits = lambda text, n: spark.range(1).select(packet.fit(F.lit(text), n)).first()[0]
+    cut = fits("word " * 500, 60)
+    assert cut.endswith("\n[truncated]") and len(cut.split()) <= 46 and fits("a b", 60) == "a b" and fits("a b", 0) == "" and fits(None, 5) is None
+    big = {"log_id": 1, "primary_error": "{}", "causes": ['{"rank":1}', '{"rank":2}'], "cascade_summary": "make cascade: " + "a -> b; " * 200, "excerpt": "\n".join(f"line {i}" for i in range(200)), "prompt": "p " * 50, "snippets": ["s " * 300, "short"], "extra_window": "w\n" * 80}
+    df = spark.createDataFrame([big], "log_id int, primary_error string, causes array<string>, cascade_summary string, excerpt string, prompt string, snippets array<string>, extra_window string")
+    plan = packet.within_budget(df, 150)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and len(packet.LADDER) == 10
+    small = packet.within_budget(df, 190).first()
+    assert not small["over"] and small["used"] <= 190 and small["steps"] > 1 and small["cascade_summary"] == small["extra_window"] == "" and small["degraded_reasons"] == "packet_truncated_to_token_budget"
+    kept = packet.within_budget(df, 700).first()
+    assert kept["excerpt"].split("\n")[-2:] == ["line 199", "[truncated]"] and len(kept["causes"]) == 2
+    same = packet.within_budget(df, 100_000).first()
+    assert same["steps"] == 0 and same["excerpt"] == big["excerpt"] and same["degraded_reasons"] == ""
+    assert packet.within_budget(df, 1).first()["over"]
 
 
 def test_convergence_and_failures(spark):
