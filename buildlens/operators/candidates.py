@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from buildlens.functions import patterns as P
 from buildlens.functions.text import fingerprint, normal_path
 from buildlens.operators.clusters import warning_option
+from buildlens.operators.ends import longest_ends
 
 
 def fatality() -> Column:
@@ -24,12 +25,6 @@ def gated(ev: DataFrame) -> DataFrame:
     return df.withColumn("exclusion_reason", reason)
 
 
-def suffixes(path: Column) -> Column:
-    """A path and its ends from each segment on, longest first."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-
-
 def source_tree(files: DataFrame) -> DataFrame:
     """Files (root, path) outside the directories that are never searched."""
     dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
@@ -38,15 +33,10 @@ def source_tree(files: DataFrame) -> DataFrame:
 
 def mapped_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
     """root, file, mapped, matches: the files of its own tree for each path (root, file): the longest end of an absolute path that
-    any file of that root has, the whole of a relative one. mapped is null unless just one file fits. Ends meet ends by
-    equality, so nothing is searched."""
-    wanted = paths.select("root", "file").distinct().withColumn("asked", F.regexp_replace("file", "^/+", ""))
-    absolute = F.col("file").startswith("/")
-    wanted = wanted.select("root", "file", F.posexplode(F.when(absolute, suffixes(F.col("asked"))).otherwise(F.array("asked"))).alias("cut", "suffix"))
-    have = source_tree(files).select("root", "path", F.explode(suffixes(F.col("path"))).alias("suffix"))
-    hit = wanted.join(have, ["root", "suffix"]).groupBy("root", "file", "cut").agg(F.count(F.lit(1)).alias("matches"), F.min("path").alias("path"))
-    longest = hit.groupBy("root", "file").agg(F.min_by(F.struct("matches", "path"), "cut").alias("best"))
-    return longest.select("root", "file", F.col("best.matches").alias("matches"), F.when(F.col("best.matches") == 1, F.col("best.path")).alias("mapped"))
+    any file of that root has, the whole of a relative one. mapped is null unless just one file fits."""
+    wanted = paths.select("root", "file").distinct().withColumn("asked", F.regexp_replace("file", "^/+", "")).withColumn("whole", ~F.col("file").startswith("/"))
+    found = longest_ends(wanted, source_tree(files))
+    return wanted.join(found, ["root", "asked", "whole"]).select("root", "file", "matches", F.when(F.col("matches") == 1, F.col("path")).alias("mapped"))
 
 
 def owned(df: DataFrame, mapped: DataFrame | None = None) -> DataFrame:

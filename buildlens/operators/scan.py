@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from buildlens.functions import patterns as P
+from buildlens.operators.ends import ending
 
 #: Lines of a part. A log of fewer is one; one of many millions is dealt over many tasks.
 PART_LINES = 100_000
@@ -259,14 +260,15 @@ def patch_parents(ev: DataFrame) -> DataFrame:
 def cascade_parents(ev: DataFrame) -> DataFrame:
     """log_id, id, cascade_parent: the one source event whose object a failed make target ends with.
 
-    All ends of the target's last segment meet object names by equality; these have no slash. Of each file that fits, the latest event before the cascade
-    counts, found by a window over the file's events and the cascades that ask for it; two events make none the parent.
+    Object names, which have no slash, are looked up in the target's last segment. Of each file that fits, the latest event before
+    the cascade counts, found by a window over the file's events and the cascades that ask for it; two events make none the parent.
     """
     base = F.substring_index("file", "/", -1)
     sources = ev.filter(F.col("file").isNotNull() & F.col("file").rlike(P.SOURCE_FILE)).select("log_id", "file", "seq", F.col("id").alias("event"), base.alias("base"))
     names = sources.select("log_id", "file", F.explode(F.array(F.concat(F.regexp_replace("base", r"\.[^.]*$", ""), F.lit(".o")), F.concat("base", F.lit(".o")))).alias("object")).distinct()
-    ends = ev.filter("kind = 'make_cascade' and target is not null").select("log_id", "id", "seq", F.explode(F.expr("transform(sequence(1, length(substring_index(target, '/', -1))), i -> substring(substring_index(target, '/', -1), i))")).alias("object"))
-    asked = ends.join(names, ["log_id", "object"]).select("log_id", "file", "seq", "id").distinct()
+    targets = ev.filter("kind = 'make_cascade' and target is not null").select("log_id", F.struct("id", "seq").alias("ask"), F.substring_index("target", "/", -1).alias("text"))
+    met = ending(names.withColumnRenamed("object", "name"), targets, "log_id").withColumnRenamed("name", "object")
+    asked = met.join(names, ["log_id", "object"]).select("log_id", "file", "ask.seq", "ask.id").distinct()
     both = sources.select("log_id", "file", "seq", "event", F.lit(None).cast("string").alias("id")).unionByName(asked.withColumn("event", F.lit(None).cast("string")))
     by_file = Window.partitionBy("log_id", "file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     latest = both.withColumn("parent", F.last("event", True).over(by_file)).filter("id is not null and parent is not null")

@@ -9,6 +9,7 @@ from buildlens.functions.scratch import written
 from buildlens.operators import rank, scan
 from buildlens.plans.sql import chain
 from buildlens.plans.synthetic import logl
+from buildlens.streaming import scanner
 
 
 def annotated(spark, d) -> DataFrame:
@@ -41,6 +42,7 @@ QUERIES = {
     "log_commands": lambda s, d: scan.commands(annotated(s, d)).select("log_id", "id", "line_no", "phase", "n_lines", "argv_short", "tool"),
     "log_continuations": lambda s, d: annotated(s, d).filter("is_continuation").select("log_id", "line_no", "text"),
     "log_events": lambda s, d: scan.events(annotated(s, d)).drop("patch_total", "patch_line", "patch_file"),
+    "log_events_replayed": lambda s, d: scanner.replayed(logl(s, d)),
     "events_by_kind": lambda s, d: scan.events(annotated(s, d)).groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("log_id").alias("logs")),
     "failed_phase": lambda s, d: events(s, d).select("log_id", "failed_phase").distinct(),
     "event_command_join": lambda s, d: scan.events(annotated(s, d)).select("log_id", "id", "command_id").join(scan.commands(annotated(s, d)).select("log_id", F.col("id").alias("command_id"), "argv_short", F.col("tool").alias("command_tool")), ["log_id", "command_id"], "left").select("log_id", "id", "command_id", "argv_short", "command_tool"),
@@ -71,6 +73,7 @@ ORACLES = {
     "log_commands": WITH_COMMANDS("SELECT log_id, id, line_no, phase, n_lines, argv_short, tool FROM commands"),
     "log_continuations": chain("annotated", "SELECT log_id, line_no, text FROM annotated WHERE is_continuation"),
     "log_events": chain("events0", "SELECT * FROM events0"),
+    "log_events_replayed": chain("ev", "SELECT log_id::VARCHAR AS log_id, id, kind, severity, message, line_no, phase, command_id, file, line, parent FROM ev"),
     "events_by_kind": chain("events0", "SELECT kind, severity, count(*) AS n, count(DISTINCT log_id) AS logs FROM events0 GROUP BY ALL"),
     "failed_phase": chain("ev", "SELECT DISTINCT log_id, failed_phase FROM ev"),
     "event_command_join": WITH_COMMANDS("SELECT e.log_id, e.id, e.command_id, c.argv_short, c.tool AS command_tool FROM events0 e LEFT JOIN commands c ON c.log_id = e.log_id AND c.id = e.command_id"),

@@ -1,4 +1,4 @@
-"""The scanner over a stream of log lines: five facts of state for each log, events as their lines arrive."""
+"""The scanner over a stream of log lines: some facts of state for each log, events as their lines arrive, timers that end it."""
 
 from __future__ import annotations
 
@@ -9,12 +9,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from buildlens.functions import patterns as P
 
 EVENTS = "log_id string, id string, kind string, severity string, message string, line_no int, phase string, command_id string, file string, line int, parent string"
-LINES = "log_id string, line_no int, raw_text string"
+LINES = "log_id string, line_no int, raw_text string, at timestamp"
 _RE = {n: re.compile(getattr(P, n)) for n in ("ANSI", "SECONDS", "PHASE", "EXECUTING", "COMMAND", "CONTINUES", "MARKERS", "COMPILER", "UNKNOWN_OPTION", "WERROR", "UNDEFINED", "MISSING_LIBRARY", "RPM_PHASE", "MAKE", "SOURCE_FILE")}
 _PATCH = [re.compile(p) for p, _ in P.PATCH]
 
@@ -101,23 +101,68 @@ def fresh() -> dict:
     return {"phase": None, "commands": 0, "pending": False, "seq": 0, "patches": {}, "sources": {}}
 
 
-def _group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = json.loads(state.get[0]) if state.exists else fresh()
-    rows = pd.concat(list(batches)).sort_values("line_no")
-    found = [e for n, raw in zip(rows["line_no"], rows["raw_text"]) if raw is not None and (e := step(held, key[0], int(n), raw))]
-    if rows["raw_text"].isna().any():
-        state.remove()
-    else:
-        state.update((json.dumps(held),))
-    yield pd.DataFrame(found, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"line": "Int32", "line_no": "int32"})
+def _scanned(held: dict, log_id: str, rows: pd.DataFrame) -> pd.DataFrame:
+    """Events of some lines of a log, put in order; changes what is held of it."""
+    rows = rows.sort_values("line_no")
+    found = [e for n, raw in zip(rows["line_no"], rows["raw_text"]) if raw is not None and (e := step(held, log_id, int(n), raw))]
+    return pd.DataFrame(found, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"line": "Int32", "line_no": "int32"})
 
 
-def scan_stream(lines: DataFrame) -> DataFrame:
-    """Events of a stream of lines (log_id, line_no, raw_text). Lines of a log must arrive in order of batches; in a batch they are put in order.
+class LogScanner(StatefulProcessor):
+    """One log at a time: what is held of it goes with its end marker, or when no line has come for ``idle_ms`` of event time."""
 
-    What is remembered of a log, its latest event for each source file among it, goes with a line whose text is null: the
-    end of the log. A line after that would begin it anew."""
-    return lines.select(F.col("log_id").cast("string").alias("log_id"), "line_no", "raw_text").groupBy("log_id").applyInPandasWithState(_group, EVENTS, "state string", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "state string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = json.loads(self.held.get()[0]) if self.held.exists() else fresh()
+        lines = pd.concat(list(rows))
+        found = _scanned(held, key[0], lines)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if lines["raw_text"].isna().any():
+            self.held.clear()
+        else:
+            last = max(held.get("last", 0), int(lines["at"].max().timestamp() * 1000))
+            self.held.update((json.dumps(held | {"last": last}),))
+            self.handle.registerTimer(last + self.idle_ms)
+        yield found
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield _scanned(fresh(), key[0], pd.DataFrame({"line_no": [], "raw_text": []}))
+
+    def close(self) -> None:
+        pass
+
+
+def scan_stream(lines: DataFrame, late: str = "10 minutes", idle: int = 6 * 3600) -> DataFrame:
+    """Events of a stream of lines (log_id, line_no, raw_text, at). Lines of a log must arrive in order of batches; in a batch they are put in order.
+
+    What is held of a log, its latest event for each source file among it, goes with a line whose text is null, the end of the
+    log, or by a timer once the watermark is ``idle`` seconds behind its last line. A line after that begins the log anew, from
+    E001 and without phase or command. Lines older than the watermark, ``late`` behind the newest line of all logs, are
+    dropped. Needs the RocksDB state store.
+    """
+    rows = lines.select(F.col("log_id").cast("string").alias("log_id"), "line_no", "raw_text", "at").withWatermark("at", late)
+    return rows.groupBy("log_id").transformWithStateInPandas(LogScanner(1000 * idle), EVENTS, "Append", "EventTime")
+
+
+def replayed(lines: DataFrame) -> DataFrame:
+    """The same events of a table of lines (log_id, line_no, raw_text), each log through the same steps."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _scanned(fresh(), key[0], rows)
+
+    return lines.select(F.col("log_id").cast("string").alias("log_id"), "line_no", "raw_text").groupBy("log_id").applyInPandas(run, EVENTS)
+
+
+#: The setting that the stream needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def landed(spark: SparkSession, path: str, most_files: int = 100) -> DataFrame:

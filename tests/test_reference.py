@@ -98,16 +98,39 @@ def test_windows_equal_the_sequential_scanner(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def streamed(spark, tmp_path, *batches):
+    """Runs batches of (log_id, line_no, raw_text, minute) one after another; events and the number of logs held after each."""
+    spark.conf.set(*scanner.STATE_STORE)
+    (tmp_path / "in").mkdir()
+    q = scanner.scan_stream(scanner.landed(spark, str(tmp_path / "in"), 1)).writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "c"))
+    held, q = [], q.start()
+    try:
+        for k, rows in enumerate(batches):
+            table = spark.createDataFrame(rows, "log_id string, line_no int, raw_text string, minute int").withColumn("at", F.timestamp_seconds(F.col("minute") * 60 + 1_000_000)).drop("minute")
+            table.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+            q.processAllAvailable()
+            held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    finally:
+        q.stop()
+    return spark.table("streamed"), held
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    df = logl(spark, SF).select(F.col("log_id").cast("string").alias("log_id"), "line_no", "raw_text")
-    half = df.filter("line_no <= 30")
-    half.coalesce(1).write.json(str(tmp_path / "in"))
-    df.filter("line_no > 30").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    q = scanner.scan_stream(scanner.landed(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    df = logl(spark, SF).select(F.col("log_id").cast("string").alias("log_id"), "line_no", "raw_text", F.lit(1).alias("minute"))
+    rows = [tuple(r) for r in df.collect()]
+    got, _ = streamed(spark, tmp_path, [r for r in rows if r[1] <= 30], [r for r in rows if r[1] > 30])
     want = scan.with_parents(scan.events(scan.scanned(df))).select("log_id", "id", "kind", "line_no", "parent")
-    assert sorted(map(tuple, spark.table("streamed").select("log_id", "id", "kind", "line_no", "parent").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert sorted(map(tuple, got.select("log_id", "id", "kind", "line_no", "parent").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_stream_forgets_logs_by_timers(spark, tmp_path):
+    error = "a.c:1:1: error: e"
+    first = [("A", 1, "+ %build", 0), ("A", 2, error, 1), ("B", 1, error, 0), ("C", 1, error, 0), ("C", 2, None, 0)]
+    got, held = streamed(spark, tmp_path, first, [("D", 1, "x", 600)], [("D", 2, "y", 601)], [("A", 3, error, 602), ("B", 2, error, 3)], [("A", 4, error, 603)])
+    events = sorted((r["log_id"], r["line_no"], r["id"], r["phase"]) for r in got.collect())
+    # A begins anew after six hours of silence; B's line of the third minute comes too late and is dropped
+    assert events == [("A", 2, "E001", "%build"), ("A", 3, "E001", None), ("A", 4, "E002", None), ("B", 1, "E001", None), ("C", 1, "E001", None)]
+    assert held[2] < held[0]
 
 
 def test_parts_of_logs_equal_the_sequential_scanner(spark, monkeypatch):
