@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.scratch import written
 from buildlens.operators import evidence as V
-from buildlens.operators import packet
+from buildlens.operators import packet, spec_edits
 from buildlens.plans.core import annotated, events, scored, top
 from buildlens.plans.sql import chain, ex, has, q
 
@@ -88,7 +88,14 @@ def dependencies(s, d):
     return events(s, d).filter("kind in ('depsolve', 'raw_error')").select("log_id", "id", a.alias("dependency"), b.alias("needed_by"))
 
 
+def spec_causes(s, d):
+    """The three causes of each log, with the spec of the log's number; one of a kind, the first."""
+    t = top(s, d).filter("kind in ('depsolve', 'linker_missing')")
+    return t.groupBy("log_id", "kind").agg(F.min_by("message", "rank").alias("message")).withColumn("spec", F.col("log_id"))
+
+
 QUERIES = {
+    "spec_diff": lambda s, d: spec_edits.spec_diffs(spec_causes(s, d), specs(s, d), F.concat(F.lit("packaging/p"), F.col("spec").cast("string"), F.lit(".spec"))),
     "source_functions": lambda s, d: V.functions_of(trees(s, d)),
     "tree_context": lambda s, d: V.source_contexts(tree_asks(s, d), trees(s, d)),
     "source_context": lambda s, d: V.source_contexts(asks(s, d), sources(s, d)),
@@ -142,6 +149,14 @@ EVIDENCE_SELECT = f"""SELECT log_id, id, collector, CASE WHEN collector IS NOT N
         FROM (SELECT *, {LEVEL}::INTEGER AS level, CASE WHEN kind IN ('compiler', 'werror') THEN 'compile' WHEN kind IN ('linker_missing', 'linker_undef') THEN 'link' WHEN kind IN ('spec_script', 'rpm_phase') THEN 'spec' WHEN kind = 'depsolve' THEN 'deps' END AS collector FROM top) t
         LEFT JOIN ctx c USING (log_id, id) LEFT JOIN (SELECT log_id, id, count(*) AS n FROM hdr GROUP BY ALL) h USING (log_id, id))"""
 ORACLES = {
+    "spec_diff": sql("""SELECT log_id, log_id AS spec, kind AS suggester, requirement, confidence, CASE WHEN confidence IN ('low', 'medium') THEN "after" END AS "after", CASE WHEN confidence IN ('low', 'medium') THEN
+        'diff --git a/' || path || ' b/' || path || chr(10) || '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -' || lo || ',' || (hi - lo + 1) || ' +' || lo || ',' || (hi - lo + 2) || ' @@' || chr(10)
+        || (SELECT string_agg(' ' || text || CASE WHEN line_no = "after" THEN chr(10) || '+BuildRequires:  ' || requirement ELSE '' END, chr(10) ORDER BY line_no) FROM spec WHERE spec.spec = log_id AND line_no BETWEEN lo AND hi) || chr(10) END AS diff
+      FROM (SELECT *, greatest(1, "after" - 2) AS lo, least(23, "after" + 3) AS hi, 'packaging/p' || log_id || '.spec' AS path,
+          CASE WHEN "after" IS NULL THEN 'manual' WHEN kind = 'linker_missing' THEN 'low' WHEN EXISTS (SELECT 1 FROM spec WHERE spec.spec = log_id AND regexp_matches(text, '^BuildRequires:') AND lower(replace(text[15:], ' ', '')) = lower(replace(requirement, ' ', ''))) THEN 'advisory' ELSE 'medium' END AS confidence
+        FROM (SELECT c.*, (SELECT min(x.line_no) - 1 FROM spec x WHERE x.spec = c.log_id AND NOT starts_with(x.text, 'BuildRequires') AND x.line_no > 2)::INTEGER AS "after",
+            CASE WHEN kind = 'depsolve' THEN regexp_extract(message, 'nothing provides (.+?) needed by', 1) ELSE 'lib' || regexp_extract(message, '-l(\\w+)', 1) || '-devel' END AS requirement
+          FROM (SELECT log_id, kind, arg_min(message, rank) AS message FROM top WHERE kind IN ('depsolve', 'linker_missing') GROUP BY ALL) c))""", f"spec AS ({SPEC_SQL})", upto="top"),
     "source_functions": f"WITH tree AS ({TREE_SQL}), {TREE_FUNCS} SELECT * FROM fn",
     "tree_context": sql("""SELECT a.log_id, a.id, a.path, coalesce(f[1], greatest(1, line - 30))::INTEGER AS start_line, coalesce(f[2], least(90, line + 30))::INTEGER AS end_line, CASE WHEN f IS NULL THEN 'line_window' ELSE 'regex_brace' END AS method, f IS NULL AS degraded
       FROM (SELECT a.log_id, a.id, a.path, a.line, min(CASE WHEN fn.name = a.symbol OR a.line BETWEEN fn.start_line AND fn.end_line THEN [fn.start_line, fn.end_line] END) AS f
