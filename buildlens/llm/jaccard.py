@@ -411,8 +411,9 @@ def _blocks(members: DataFrame) -> DataFrame:
 
     A group's main component, that of most of its sets, needs no comparing within. All other sets, the strays, meet each
     other and the main ones: block ``one`` is of strays, ``two`` of strays (from 0) or of main ones (below 0). So a large
-    group of copies that are linked already costs a row for each, and each pair of blocks is one task's. Copies share
-    hundreds of groups: those in which one main component has half of the sets at least are taken together.
+    group of copies that are linked already costs a row for each, and each pair of blocks is one task's. A group that fits
+    into one block is that block, with a row for each set. Copies share hundreds of groups: those in which one main component
+    has half of the sets at least are taken together.
     """
     per = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
     groups = per.groupBy("g").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("m")).filter("m > main.n")
@@ -421,9 +422,9 @@ def _blocks(members: DataFrame) -> DataFrame:
     df = members.join(groups, "g").select(F.col("key").alias("g"), "h", "component", "main").distinct()
     stray = F.col("component") != F.col("main")
     count = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / BLOCK)).cast("int")
-    df = df.join(df.groupBy("g").agg(count(stray).alias("strays"), count(~stray).alias("mains")), "g")
-    block = F.when(stray, F.pmod(F.xxhash64("h"), F.col("strays")).cast("int")).otherwise(-1 - F.pmod(F.xxhash64("h"), F.col("mains")).cast("int"))
-    other = F.when(stray, F.expr("sequence(-mains, strays - 1)")).otherwise(F.expr("sequence(0, strays - 1)"))
+    df = df.join(df.groupBy("g").agg(count(stray).alias("strays"), count(~stray).alias("mains"), (F.count(F.lit(1)) <= BLOCK).alias("one_block")), "g")
+    block = F.when(F.col("one_block"), 0).when(stray, F.pmod(F.xxhash64("h"), F.col("strays")).cast("int")).otherwise(-1 - F.pmod(F.xxhash64("h"), F.col("mains")).cast("int"))
+    other = F.when(F.col("one_block"), F.array(F.lit(0))).when(stray, F.expr("sequence(-mains, strays - 1)")).otherwise(F.expr("sequence(0, strays - 1)"))
     df = df.select("g", "h", "component", block.alias("block"), F.explode(other).alias("other"))
     one = F.when(F.least("block", "other") < 0, F.greatest("block", "other")).otherwise(F.least("block", "other"))
     two = F.when(F.least("block", "other") < 0, F.least("block", "other")).otherwise(F.greatest("block", "other"))
