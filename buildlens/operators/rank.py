@@ -71,7 +71,7 @@ def band(score: Column) -> Column:
 
 def reasons() -> Column:
     """The factors that made the score, each with its change, in order."""
-    factor = lambda when, name, delta: F.when(when, F.struct(F.lit(name).alias("factor"), F.format_string("%+.2f", delta).alias("delta")))
+    factor = lambda when, name, delta: F.when(when, F.struct(F.lit(name).alias("factor"), delta.alias("delta")))
     undef, linked = F.col("kind") == "linker_undef", (F.col("kind") == "make_cascade") & F.col("parent").isNotNull()
     located = (F.coalesce("file", F.lit("")) != "") & (F.coalesce("line", F.lit(0)) != 0)
     every = F.array(

@@ -65,7 +65,6 @@ QUERIES = {
     "full_verdict": lambda s, d: verdicts(s, d).select("log_id", "id", "kind", "contains", "rule", "verdict"),
     "needs_llm_reason": lambda s, d: verdicts(s, d).groupBy("failure_reason").agg(F.count(F.lit(1)).alias("n")),
     "rule_hits": lambda s, d: rules._hits(scored(s, d), rules.rule_frame(s)).groupBy("rule").agg(F.count_distinct("log_id", "id").alias("n")),
-    "rule_violations": lambda s, d: rules.rule_violations(rules.rule_frame(s)),
     "packets": lambda s, d: all_packets(s, d).drop("pool", "granted", "left", "reclaimed", "conservation_total"),
     "packet_budget": lambda s, d: all_packets(s, d).select("log_id", F.col("conservation_total").cast("int").alias("conservation_total"), (F.col("granted") <= F.col("pool")).alias("within"), (F.col("pool") >= 650).alias("reclaimed")),
     "packet_sections": lambda s, d: all_packets(s, d).select("log_id", *[c.alias(n) for n, c in packet.section_tokens().items() if n in ("cause_tokens", "cascade_tokens")]),
@@ -138,7 +137,6 @@ ORACLES = {
     "packet_budget": chain("top", "SELECT log_id, 1400 AS conservation_total, true AS within, true AS reclaimed FROM top WHERE rank = 1"),
     "packet_sections": sql(f"SELECT t.log_id, {TOKENS('ca.causes')} AS cause_tokens, CASE WHEN cascade = '' THEN 0 ELSE {TOKENS('cascade')} END AS cascade_tokens FROM (SELECT log_id, CASE WHEN log_id IN (SELECT log_id FROM quick) THEN '' ELSE coalesce((SELECT 'make cascade: ' || string_agg(coalesce(target, '<unknown>') || ' -> ' || coalesce(parent, 'unlinked'), '; ' ORDER BY seq) FROM ev WHERE ev.log_id = t.log_id AND kind = 'make_cascade'), '') END AS cascade FROM top t WHERE rank = 1) t JOIN causes_ ca USING (log_id)", RULES, HITS, QUICK, CAUSES),
     "log_window": chain("top", 'SELECT a.log_id, a.line_no, t.line_no AS "at", a.text FROM annotated a JOIN top t ON t.log_id = a.log_id AND t.rank = 1 AND a.line_no BETWEEN t.line_no - 30 AND t.line_no + 20'),
-    "rule_violations": "SELECT 'x' AS rule, 'x' AS violation WHERE false",
 }
 ORACLES |= {
     "acceptance": f"SELECT avg((via = 'fast_path')::INTEGER) AS fast_rate, avg((verdict = 'direct_answer')::INTEGER) AS direct_rate, 1.0::DOUBLE AS conserved FROM ({ORACLES['packets']})",
