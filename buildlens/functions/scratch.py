@@ -7,15 +7,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as Parquet below ``spark.checkpoint.dir``, read again. Where that is unset, a folder of this machine serves local mode
-    only."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new path below ``spark.checkpoint.dir``. Where that is unset, a folder of this machine serves local mode only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
@@ -25,6 +23,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
             _own[app] = tempfile.mkdtemp(prefix="buildlens-")
             atexit.register(shutil.rmtree, _own[app], True)
         top = f"file://{_own[app]}"
-    path = f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as Parquet in a new folder, read again."""
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

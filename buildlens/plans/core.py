@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.functions.scratch import written
+from buildlens.functions.stages import Stages
 from buildlens.operators import rank, scan
 from buildlens.plans.sql import chain
 from buildlens.plans.synthetic import logl
@@ -24,11 +24,11 @@ def scored(spark, d) -> DataFrame:
     return rank.scored(rank.classified(rank.warning_block(events(spark, d))))
 
 
-def scan_once(spark, d) -> tuple[DataFrame, DataFrame]:
+def scan_once(spark, d, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """Annotated lines and scored events, written: for plans that read them many times."""
-    lines = written(annotated(spark, d), "lines")
+    lines = stages.run("lines", annotated(spark, d))
     ev = scan.with_failed_phase(scan.with_parents(scan.events(lines)))
-    return lines, written(rank.scored(rank.classified(rank.warning_block(ev))), "events")
+    return lines, stages.run("events", rank.scored(rank.classified(rank.warning_block(ev))))
 
 
 def top(spark, d, k: int = 3) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from buildlens.functions import text as T
+from buildlens.functions.scratch import new_folder
 from buildlens.operators import contexts as X
 from buildlens.operators import patch, rank, reports, rules, scan, state, triage
 from buildlens.plans.core import WITH_COMMANDS, annotated, events, scored
 from buildlens.plans.sql import chain
+from buildlens.sinks.standing import Latest, Seen
+from buildlens.sinks.store import Store
 
 #: Text of response file i of log k, if it is there; valid in Spark and in DuckDB.
 RSP = "concat('-lfoo', cast(i as string), ' -L/usr/lib/', cast(k % 5 as string), ' a', cast(i as string), '.o -Iinc b.a -shared')"
@@ -68,7 +71,57 @@ def why(s, d):
     return df.select("log_id", "id", "place", "r.factor", F.round("r.delta", 6).alias("delta"))
 
 
+def thirds(s, d):
+    """Orders as status rows in three parts, as they would come one after another."""
+    rows = orders(s, d).select(F.col("o_orderkey").alias("unit"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("record"))
+    return [rows.filter(F.col("unit") % 3 == i) for i in range(3)]
+
+
+def as_of_two(s, d):
+    """Status rows and their records, committed in pairs, as of the second of three commits."""
+    store = Store(s, new_folder(s, "store"))
+    for rows in thirds(s, d):
+        store.commit({"status": rows.select("unit", "status"), "records": rows.select("unit", "record")})
+    return store.read("status", 2).join(store.read("records", 2), "unit")
+
+
+def inserted_again(s, d):
+    """Keys inserted twice, the second time with new ones among them."""
+    store, (one, two, three) = Store(s, new_folder(s, "store")), thirds(s, d)
+    store.insert_or_compare("keys", one.unionByName(two), ["unit"])
+    store.insert_or_compare("keys", two.unionByName(three), ["unit"])
+    return store.read("keys")
+
+
+def changes(s, d):
+    """A base and three deltas of orders by customer."""
+    rows = orders(s, d).select(F.col("o_custkey").alias("unit"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("event"), F.col("o_orderstatus").alias("status"))
+    return [rows.filter(F.col("event") % 4 == i) for i in range(4)]
+
+
+def standing_latest(s, d):
+    held = Latest(Store(s, new_folder(s, "standing")), "latest", ["unit"], ["at", "event"])
+    for i, rows in enumerate(changes(s, d)):
+        held.add(rows)
+        if i == 2:
+            held.compact()
+    return held.read()
+
+
+def standing_new(s, d):
+    """Units that each delta brings for the first time."""
+    held, out = Seen(Store(s, new_folder(s, "seen")), "units", ["unit"]), None
+    for i, rows in enumerate(changes(s, d)):
+        new = held.add(rows.select("unit")).select("unit", F.lit(i).alias("delta"))
+        out = new if out is None else out.unionByName(new)
+    return out
+
+
 QUERIES = {
+    "store_as_of": as_of_two,
+    "store_inserts": inserted_again,
+    "standing_latest": standing_latest,
+    "standing_new_units": standing_new,
     "cause_reasons": why,
     "unknown_options": lambda s, d: X.distinct_options(events(s, d)),
     "context_level": lambda s, d: events(s, d).select("log_id", "id", patch.context_level(F.col("kind"), F.col("file").isNotNull(), F.col("line") % 3).alias("level")),
@@ -93,6 +146,10 @@ _FACTORS = [
 ]
 _EACH = " UNION ALL ".join(f"SELECT log_id, id, {i} AS n, '{name}' AS factor, round(({delta})::DOUBLE, 6) AS delta FROM l WHERE {when}" for i, (name, when, delta) in enumerate(_FACTORS))
 ORACLES = {
+    "store_as_of": "SELECT o_orderkey AS unit, o_orderstatus AS status, o_orderpriority AS record FROM orders WHERE o_orderkey % 3 < 2",
+    "store_inserts": "SELECT o_orderkey AS unit, o_orderstatus AS status, o_orderpriority AS record FROM orders",
+    "standing_latest": 'SELECT o_custkey AS unit, max(o_orderdate) AS "at", arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS event, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY o_custkey',
+    "standing_new_units": "SELECT o_custkey AS unit, min(o_orderkey % 4)::INTEGER AS delta FROM orders GROUP BY o_custkey",
     "cause_reasons": chain("scored", "").rstrip() + f", l AS (SELECT *, kind = 'make_cascade' AND parent IS NOT NULL AS linked FROM scored) SELECT log_id, id, (row_number() OVER (PARTITION BY log_id, id ORDER BY n) - 1)::INTEGER AS place, factor, delta FROM ({_EACH})",
     "unknown_options": chain("ev", "SELECT log_id, string_agg(warning_option, ',' ORDER BY seq) AS options FROM (SELECT log_id, warning_option, min(seq) AS seq FROM ev WHERE warning_option IS NOT NULL GROUP BY ALL) GROUP BY log_id"),
     "context_level": chain("ev", "SELECT log_id, id, CASE WHEN kind NOT IN ('compiler', 'werror') THEN 'n/a' WHEN file IS NULL THEN 'C' WHEN line % 3 = 1 THEN 'A' ELSE 'B' END AS level FROM ev"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from buildlens.functions import text as T
 from buildlens.functions.scratch import written
+from buildlens.functions.stages import Stages
 from buildlens.operators import packet, rank, rules, scan
 from buildlens.plans.core import annotated, events, scan_once, scored, top
 from buildlens.plans.sql import chain, q
@@ -32,11 +33,12 @@ def window_of(lines, top, rank):
     return scan.log_window(lines.select("log_id", "line_no", "text"), top.filter(F.col("rank") == rank).select("log_id", F.col("line_no").alias("at")))
 
 
-def packets_and_parts(s, d):
+def packets_and_parts(s, d, stages=None):
     """Packets of all logs, and the causes and lines that they come of: the log is scanned once."""
-    lines, ev = scan_once(s, d)
-    t = written(rank.top_causes(ev, 3), "top")
-    held = written(E.collected_of(s, d, t), "evidence")
+    stages = stages or Stages(s)
+    lines, ev = scan_once(s, d, stages)
+    t = stages.run("causes", rank.top_causes(ev, 3))
+    held = stages.run("evidence", E.collected_of(s, d, t))
     quick_ = rules.quick_match(ev, rules.rule_frame(s))
     return packet.packets(t, verdicts_of(s, t, held), quick_, scan.cascade_summary(ev), held, window_of(lines, t, 1), scan.commands(lines)), t, lines
 
@@ -45,6 +47,13 @@ def all_packets(s, d):
     return packets_and_parts(s, d)[0]
 
 
+def stage_rows(s, d):
+    """How many rows each stage of the packets makes; the table has the milliseconds too, which differ from run to run."""
+    stages = Stages(s)
+    stages.run("packets", packets_and_parts(s, d, stages)[0])
+    return stages.table().drop("ms")
+
+
 def ladder_packets(s, d):
     """Packets with all sections that the ladder cuts: the window about the second cause, and the causes' messages for snippets."""
     p, t, lines = packets_and_parts(s, d)
@@ -70,6 +79,7 @@ QUERIES = {
     "packet_sections": lambda s, d: all_packets(s, d).select("log_id", *[c.alias(n) for n, c in packet.section_tokens().items() if n in ("cause_tokens", "cascade_tokens")]),
     "packet_markdown": lambda s, d: all_packets(s, d).select("log_id", F.element_at(F.split(packet.markdown(), "\n\n## "), 1).alias("head"), F.array_join(F.transform(F.filter(F.split(packet.markdown(), "\n"), lambda x: x.startswith("## ")), lambda x: F.replace(x, F.lit("## "), F.lit(""))), ",").alias("sections")),
     "packet_shrunk": lambda s, d: packet.within_budget(ladder_packets(s, d), MOST).select("log_id", "steps", "used", "over", "excerpt", "extra_window", "cascade_summary", "prompt", "degraded_reasons", F.array_join("snippets", "|").alias("snippets"), F.array_join("causes", ",").alias("causes")),
+    "stage_rows": stage_rows,
     "budget_pool": lambda s, d: packet.budget_pool(events(s, d).groupBy("log_id").agg(F.count(F.lit(1)).cast("int").alias("n")), {"cascade_summary": F.col("n") % 70, "top_k_text_summaries": F.col("n") % 250}, F.when(F.col("n") % 2 == 0, 900).otherwise(600)).select("log_id", "pool", "granted", "left", "conservation_total"),
     "evidence_route": lambda s, d: events(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("route", packet.evidence_route(F.col("kind"))),
     "token_estimate": estimates,
@@ -171,6 +181,7 @@ CAUSE_LIST = CAUSES.replace("causes_ AS (", "(").replace("to_json(list(", "list(
 LADDER_BASE = f"""SELECT p.log_id, p.prompt, p.excerpt, p.cascade_summary, p.degraded_reasons, w.text AS extra_window, m.snippets, c.causes, {_SIZE('p.primary_error')} + {_SIZE('p.command')} + {_SIZE('p.direct_answer')} AS fixed, {_SIZE('p.prompt')} AS prompted, 0 AS steps
   FROM packed p LEFT JOIN ({WINDOW(2)}) w USING (log_id) JOIN (SELECT log_id, list(message ORDER BY rank) AS snippets FROM top GROUP BY log_id) m USING (log_id) JOIN {CAUSE_LIST} c USING (log_id)"""
 ORACLES |= {
+    "stage_rows": chain("top", "SELECT place::INTEGER AS place, stage, rows FROM (SELECT 0 AS place, 'lines' AS stage, count(*) AS rows FROM annotated UNION ALL SELECT 1, 'events', count(*) FROM ev UNION ALL SELECT 2, 'causes', count(*) FROM top UNION ALL SELECT 3, 'evidence', count(*) FROM top UNION ALL SELECT 4, 'packets', count(DISTINCT log_id) FROM top)"),
     "packet_fit": f"SELECT doc_id, {FIT('text', 60)} AS text FROM documents",
     "packet_shrunk": chain("top", "").rstrip() + f", packed AS ({ORACLES['packets']}) " + f"SELECT * FROM ({_ladder(LADDER_BASE)})",
 }
