@@ -91,11 +91,15 @@ class Encoder:
         if len(piece) > LONG_PIECE:
             return self._merged_by_heap(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = min((ranks.get(a + b, _END_CODE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == _END_CODE:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [ranks.get(piece[i : i + 2], _END_CODE) for i in range(len(piece) - 1)]  # of each part and the next
+        while pairs and (best := min(pairs)) < _END_CODE:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _END_CODE)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], _END_CODE)
         return [ranks[p] for p in parts]
 
     def _merged_by_heap(self, piece: bytes) -> list[int]:
