@@ -191,7 +191,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     A fifth of the texts drawn, with stretches of them, sets what evidence of a language is asked for.
 
     Rows of a language are drawn by hash, at a rate that its count sets, so what reaches the driver is bounded by
-    ``sample`` and the number of languages: the feature vectors, not the texts.
+    ``sample`` and the number of languages: the feature vectors, not the texts. Of rows of equal text and language one is taken.
     """
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -200,7 +200,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(sample / n)).otherwise(rate)
-    drawn = labelled.filter(F.pmod(F.xxhash64("salt", "text"), F.lit(1 << 30)) < rate * (1 << 30)).select("text", "lang")
+    drawn = labelled.filter(F.pmod(F.xxhash64("salt", "text"), F.lit(1 << 30)) < rate * (1 << 30)).select("text", "lang").distinct()
 
     def run(batches):
         for b in batches:

@@ -465,7 +465,7 @@ def train(docs: DataFrame, v: Vocabulary) -> Network:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i4").tobytes() for ids in look.texts(b.column(0))], pa.binary())], ["ids"])
 
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(DRAW / n * (1 << 30))).select("text")
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(DRAW / n * (1 << 30))).select("text").distinct()
     first = sorted(bytes(r["ids"]) for r in drawn.mapInArrow(encoded, "ids binary").collect())
     order = np.random.default_rng(0).permutation(len(first))
     learn(net, [whole(np.frombuffer(first[i], "<i4").astype(np.int64)) for i in order], 0.01, FIRST_STEPS)

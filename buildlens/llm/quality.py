@@ -210,8 +210,8 @@ def one_round(docs: DataFrame, model: Model, x: np.ndarray, y: np.ndarray) -> tu
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
     """labels: doc_id, quality (0 or 1; rows with null count for nothing, of two for one document the lower holds).
 
-    Labelled rows are drawn by hash at rates that the counts set, so that about ``labelled`` of each class reach the
-    driver, as vectors. The rounds of exchange run over all of ``docs``, whether labelled or not.
+    Labelled ids are drawn by hash at rates that the counts set, so that about ``labelled`` of each class reach the
+    driver, as vectors, of one row each however often an id is there. The rounds of exchange run over all of ``docs``, whether labelled or not.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -220,7 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     hashed = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("draw")), F.lit(1 << 30))
     drawn = known.filter(hashed < F.when(F.col("quality") == 1, labelled / counts[1]).otherwise(labelled / counts[0]) * (1 << 30))
     docs = docs.select("doc_id", *COLUMNS)
-    x, y = _collected(docs.join(F.broadcast(drawn), "doc_id"))  # bounded: about twice ``labelled`` rows of two numbers
+    one_each = docs.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])  # the drawn ids are about twice ``labelled``
+    x, y = _collected(one_each)
     if (begun := start(x, y)) is None:
         return None
     model, test = begun

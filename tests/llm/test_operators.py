@@ -539,3 +539,19 @@ def test_dense_blocks_are_compared_there(spark, monkeypatch):
         docs.append((d, " ".join(v)))
     got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(docs)
+
+
+# draws
+
+
+def test_a_row_that_repeats_is_drawn_once(spark, monkeypatch):
+    docs = labelled(spark)
+    hot = spark.range(20_000).selectExpr("3 as doc_id", "'der die und das in den von zu mit sich' as text", "'de' as lang", "'s' as source", "38 as n_chars", "0.5 as score", "7 as shard")
+    every = docs.unionByName(hot.select(*docs.columns).selectExpr("cast(doc_id as long) doc_id", "text", "lang", "source", "cast(n_chars as long) n_chars", "cast(score as double) score", "cast(shard as int) shard"))
+    seen = []
+    monkeypatch.setattr(quality, "_collected", lambda df, f=quality._collected: seen.append(df.count()) or f(df))
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(90)], "doc_id long, quality int")
+    quality.train(every, labels, rounds=0)
+    assert seen == [90]
+    model = langid.train(every.selectExpr("text", "lang", "doc_id as salt"), sample=100_000)
+    assert model is not None and len({r["lang_pred"] for r in langid.predict(docs, model).collect()}) >= 3
