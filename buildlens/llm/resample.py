@@ -224,9 +224,12 @@ def ranked(scored: DataFrame, share: int = SHARE, least_words: int = LEAST_WORDS
     drawn = share * n // 100
     steps = max(1, min(5000, n // CELL))
     edges = []
-    if steps > 1:
-        edges = sorted(set(scored.filter(able).agg(F.percentile_approx("score", [i / steps for i in range(1, steps)], max(10_000, 10 * steps))).first()[0]))
-    cell = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e > F.col("score"))) if edges else F.lit(0)  # cell 0 is the highest
+    if parts := [i / steps for i in range(1, steps) if i / steps > 0.99 - share / 100 - 1 / steps]:  # what is drawn lies above
+        edges = sorted(set(scored.filter(able).agg(F.percentile_approx("score", parts, max(10_000, 10 * steps))).first()[0]))
+    cell = F.lit(0)  # the highest
+    if edges:
+        above = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e > F.col("score")))
+        cell = F.when(F.col("score") < edges[0], len(edges)).otherwise(above)
     celled = scored.withColumn("cell", F.when(able, cell))
     sizes = {r["cell"]: r["n"] for r in celled.filter(able).groupBy("cell").agg(F.sum("copies").alias("n")).collect()}  # one row a cell
     before, so_far = [], 0
