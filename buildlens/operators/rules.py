@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from buildlens.operators import rule_index
+
+#: Rows of a library that stand in the plan.
+IN_PLAN = 100
 LINKERS = ["ld", "lld", "gold", "clang", "clang++", "gcc", "g++"]
 QUOTE = "['`\"]"
 WARN_INFO, WARN = ["warning:", "info:"], ["warning:"]
@@ -66,8 +70,10 @@ def rule_violations(frame: DataFrame) -> DataFrame:
 def _hits(ev: DataFrame, rules: DataFrame) -> DataFrame:
     """Events with each rule of their kind of which a pattern is found and no negative one.
 
-    The library is written by hand, so its rows are few: their patterns stand in the plan as constants and are compiled once.
+    Patterns of a library of a few rows stand in the plan as constants and are compiled once; a larger one is looked up by an index.
     """
+    if rules.limit(IN_PLAN + 1).count() > IN_PLAN:
+        return rule_index.hits(ev, rules)
     rows = rules.select("kind", "rule_ord", "regex_ord", "regex", "negative").collect()
     found = [F.when((F.col("kind") == r["kind"]) & F.col("message").rlike(r["regex"]) & ~F.col("message").rlike(r["negative"]), F.struct(F.lit(r["rule_ord"]).alias("rule_ord"), F.lit(r["regex_ord"]).alias("regex_ord"))) for r in rows]
     if not found:

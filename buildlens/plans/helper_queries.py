@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from buildlens.functions import text as T
-from buildlens.functions.scratch import new_folder
+from buildlens.functions.scratch import new_folder, written
 from buildlens.operators import contexts as X
-from buildlens.operators import patch, rank, reports, rules, scan, state, triage
+from buildlens.operators import patch, rank, reports, rule_index, rules, scan, state, triage
 from buildlens.plans.core import WITH_COMMANDS, annotated, events, scored
 from buildlens.plans.sql import chain
 from buildlens.sinks.standing import Latest, Seen
@@ -43,6 +43,31 @@ def part_rules(s, d):
     return part(s, d).select(k.cast("string").alias("rule"), category.alias("category"), F.when(k % 6 == 0, "tier2").otherwise("tier1").alias("tier"), (F.lit(0.9) + F.col("p_size") / 500).alias("confidence"), text.alias("tier1_template"))
 
 
+#: A pattern of each part, most of them found nowhere; valid in Spark and in DuckDB.
+_P = "cast(p_partkey % 97 as string)"
+PART_KIND = "case p_partkey % 6 when 0 then 'depsolve' when 1 then 'linker_missing' when 2 then 'linker_undef' when 3 then 'patch' else 'compiler' end"
+PART_PATTERN = f"""concat('(?i)', case p_partkey % 6
+when 0 then concat('nothing  ?provides|nothing provides PKG', {_P}, chr(92), 'b')
+when 1 then concat('cannot find -l(x', {_P}, '|', p_name, ')$')
+when 2 then concat('undefined (?:reference|symbol)s? to .(?:s', {_P}, '|', p_brand, ').$')
+when 3 then concat('hunk', chr(92), 's*#?', {_P}, chr(92), 's+failed( at ', chr(92), 'd+)?')
+when 4 then concat('(?:undeclared|unknown) identifier .v', {_P}, '.|', p_name)
+else concat('^', case when p_partkey % 30 = 5 then '[a-z] ag?a*i+n$' else p_name end) end)"""
+PART_NEGATIVE = "case when p_partkey % 7 = 0 then '(?i)pkg3|V2' end"
+
+
+def part_library(s, d):
+    """A rule of each part, as a library of thousands."""
+    return part(s, d).select(F.col("p_partkey").cast("int").alias("rule_ord"), F.lit(0).alias("regex_ord"), F.expr(PART_KIND).alias("kind"), F.expr(PART_PATTERN).alias("regex"), F.expr(PART_NEGATIVE).alias("negative"))
+
+
+def library_hits(s, d):
+    """How many rules of the library each event meets, and the first of them."""
+    ev = written(events(s, d).select("log_id", "id", "kind", "message"), "events")
+    met = rule_index.hits(ev, part_library(s, d))
+    return met.groupBy("log_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("rule_ord").alias("first_rule"))
+
+
 def builds(s, d):
     k = F.col("o_orderkey")
     text = F.when(k % 11 == 0, "not a date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
@@ -130,6 +155,7 @@ QUERIES = {
     "recent_failures": lambda s, d: triage.recent_failures(builds(s, d), F.lit("1996-01-01").cast("timestamp")).select("build", "begin_date"),
     "changed_identity": lambda s, d: state.changed_identity(orders(s, d).select(F.col("o_custkey").alias("unit"), "o_orderstatus", "o_orderpriority"), ["o_orderstatus", "o_orderpriority"]),
     "normal_names": named,
+    "rule_library_hits": library_hits,
     "rule_violations": lambda s, d: rules.rule_violations(part_rules(s, d)),
 }
 
@@ -160,6 +186,10 @@ ORACLES = {
     "recent_failures": "SELECT o_orderkey AS build, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS begin_date FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 3 = 0 AND o_orderdate >= TIMESTAMP '1996-01-01'",
     "changed_identity": "SELECT o_custkey AS unit, count(DISTINCT (o_orderstatus, o_orderpriority)) AS versions FROM orders GROUP BY o_custkey HAVING versions > 1",
     "normal_names": "SELECT p_partkey AS k, [" + ", ".join(f"'{v}'" if v else "NULL" for v in ("armv7l", "aarch64", "x86_64", "", "x86_64")) + "][p_partkey % 5 + 1] AS arch, 'libx' || (p_partkey % 9) || '-devel' AS devel, ['failed', 'successful', NULL, 'failed', NULL][p_partkey % 5 + 1] AS status, p_name || ' x' AS snapshot FROM part",
+    "rule_library_hits": chain("blocked", "").rstrip() + AS_SQL(f""", lib AS (SELECT p_partkey AS rule_ord, {PART_KIND} AS kind, {PART_PATTERN} AS regex, {PART_NEGATIVE} AS negative FROM part),
+      told AS (SELECT DISTINCT kind, message FROM blocked),
+      met AS (SELECT kind, message, count(*) AS n, min(rule_ord)::INTEGER AS first_rule FROM told JOIN lib USING (kind) WHERE regexp_matches(message, regex) AND NOT coalesce(regexp_matches(message, negative), false) GROUP BY ALL)
+      SELECT log_id, id, n, first_rule FROM blocked JOIN met USING (kind, message)"""),
     "rule_violations": """WITH r AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS rule, p_partkey % 5 = 1 AS patch, 0.9 + p_size / 500 AS confidence, CASE WHEN p_partkey % 3 = 0 THEN 'It may be ' ELSE 'It is ' END || repeat(p_name, CASE WHEN p_partkey % 7 = 0 THEN 30 ELSE 1 END) || CASE WHEN p_partkey % 4 = 0 THEN '; run expand' ELSE '.' END AS t FROM part WHERE p_partkey % 6 <> 0)
       SELECT rule, 'category' AS violation FROM r WHERE k % 5 = 4 UNION ALL SELECT rule, 'confidence' FROM r WHERE confidence < 0.95 UNION ALL SELECT rule, 'template too long' FROM r WHERE length(t) > CASE WHEN patch THEN 150 ELSE 300 END
       UNION ALL SELECT rule, 'template not cautious' FROM r WHERE NOT regexp_matches(t, '\\b(may|usually|suggest)\\b') UNION ALL SELECT rule, 'template without expand' FROM r WHERE NOT contains(t, 'expand')""",
