@@ -62,10 +62,11 @@ def part_library(s, d):
 
 
 def library_hits(s, d):
-    """How many rules of the library each event meets, and the first of them."""
+    """How many rules of the library each event meets, and the first of them; messages that repeat are tried once, on a number of tasks of its own."""
     ev = written(events(s, d).select("log_id", "id", "kind", "message"), "events")
-    met = rule_index.hits(ev, part_library(s, d))
-    return met.groupBy("log_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("rule_ord").alias("first_rule"))
+    told = ev.select("kind", "message").distinct().repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
+    met = rule_index.hits(told, part_library(s, d)).groupBy("kind", "message").agg(F.count(F.lit(1)).alias("n"), F.min("rule_ord").alias("first_rule"))
+    return ev.join(met, ["kind", "message"]).select("log_id", "id", "n", "first_rule")
 
 
 def builds(s, d):
