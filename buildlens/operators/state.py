@@ -85,6 +85,25 @@ def reconcile(passes: DataFrame, orphans: DataFrame) -> DataFrame:
     return df.withColumn("action", F.when((F.col("passes") == 1) & (F.col("free") == 1), "relinked").when(F.col("passes") > 0, "orphan_pass_held").otherwise("backfill"))
 
 
+def reconciled(current: DataFrame, links: DataFrame, passes: DataFrame, orphans: DataFrame) -> DataFrame:
+    """One result for each unit of current (unit, round, edit), and in how many rounds passes are held, linked anew, or invocations filled in.
+
+    links: unit, edit, event_id of passes that are linked, null where the outcome is missing. passes: unit, round, attribution of those
+    that are not. orphans: unit, round, n. The first of these holds: a half-linked pass, two links of the current edit or a pass of
+    several rounds is an inconsistent state, of which nothing else is done; a pass that stays an orphan, in any round, holds the unit;
+    the current edit is linked; it was linked anew; the unit proceeds.
+    """
+    half = links.join(current.select("unit", F.col("edit").alias("now")), "unit").groupBy("unit").agg(F.max(F.col("event_id").isNull()).alias("half"), F.count_if(F.col("edit") == F.col("now")).alias("linked"))
+    torn = passes.groupBy("unit").agg(F.max(F.col("attribution") == "inconsistent").alias("torn"))
+    each = reconcile(passes, orphans).join(current.select("unit", F.col("round").alias("now")), "unit")
+    tell = lambda action: F.count_if(F.col("action") == action)
+    acts = each.groupBy("unit").agg(tell("orphan_pass_held").alias("held"), tell("relinked").alias("relinked"), tell("backfill").alias("filled"), F.max((F.col("action") == "relinked") & (F.col("round") == F.col("now"))).alias("anew"))
+    df = current.select("unit").join(half, "unit", "left").join(torn, "unit", "left").join(acts, "unit", "left")
+    bad = F.coalesce("half", F.lit(False)) | (F.coalesce("linked", F.lit(0)) > 1) | F.coalesce("torn", F.lit(False))
+    branch = F.when(bad, "state_inconsistent_held").when(F.col("held") > 0, "orphan_pass_held").when(F.col("linked") > 0, "linked_already").when(F.col("anew"), "relinked").otherwise("proceed")
+    return df.select("unit", branch.alias("branch"), *[F.when(bad, F.lit(0)).otherwise(F.coalesce(c, F.lit(0))).alias(c) for c in ("held", "relinked", "filled")])
+
+
 def binding_violations(gates: DataFrame) -> DataFrame:
     """Outcomes whose invocation does not exist, is of another type, or of another unit or round."""
     bound = gates.filter("invocation is not null").alias("o")

@@ -69,6 +69,19 @@ def library_hits(s, d):
     return ev.join(met, ["kind", "message"]).select("log_id", "id", "n", "first_rule")
 
 
+def reconciled(s, d):
+    """Units by customer with three rounds each, of which every thirteenth has two of one edit; orders are passes, links and free invocations."""
+    c, k, i = F.col("c_custkey"), F.col("o_orderkey"), F.col("i")
+    customers = s.read.parquet(f"{d}/customer.parquet").select("c_custkey")
+    rounds = customers.select(c.alias("unit"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i")).select("unit", i.alias("round"), F.when((F.col("unit") % 13 == 0) & (i == 2), 1).otherwise(i).alias("edit"))
+    current = rounds.filter(F.col("round") == F.col("unit") % 3 + 1)
+    o = orders(s, d).select(F.col("o_custkey").alias("unit"), "o_orderkey", (k % 37).cast("int").alias("edit"))
+    links = o.filter(k % 4 == 0).select("unit", "edit", F.when(k % 72 != 0, k).alias("event_id"))
+    passes = state.attributed(o.filter(k % 4 != 0).select("unit", k.alias("verification_id"), "edit"), rounds)
+    free = o.filter(k % 11 == 0).groupBy("unit", (k % 3 + 1).cast("int").alias("round")).agg(F.count(F.lit(1)).alias("n"))
+    return state.reconciled(current, links, passes, free)
+
+
 def builds(s, d):
     k = F.col("o_orderkey")
     text = F.when(k % 11 == 0, "not a date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
@@ -156,6 +169,7 @@ QUERIES = {
     "recent_failures": lambda s, d: triage.recent_failures(builds(s, d), F.lit("1996-01-01").cast("timestamp")).select("build", "begin_date"),
     "changed_identity": lambda s, d: state.changed_identity(orders(s, d).select(F.col("o_custkey").alias("unit"), "o_orderstatus", "o_orderpriority"), ["o_orderstatus", "o_orderpriority"]),
     "normal_names": named,
+    "reconcile_branch": reconciled,
     "rule_library_hits": library_hits,
     "rule_violations": lambda s, d: rules.rule_violations(part_rules(s, d)),
 }
@@ -187,6 +201,16 @@ ORACLES = {
     "recent_failures": "SELECT o_orderkey AS build, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS begin_date FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 3 = 0 AND o_orderdate >= TIMESTAMP '1996-01-01'",
     "changed_identity": "SELECT o_custkey AS unit, count(DISTINCT (o_orderstatus, o_orderpriority)) AS versions FROM orders GROUP BY o_custkey HAVING versions > 1",
     "normal_names": "SELECT p_partkey AS k, [" + ", ".join(f"'{v}'" if v else "NULL" for v in ("armv7l", "aarch64", "x86_64", "", "x86_64")) + "][p_partkey % 5 + 1] AS arch, 'libx' || (p_partkey % 9) || '-devel' AS devel, ['failed', 'successful', NULL, 'failed', NULL][p_partkey % 5 + 1] AS status, p_name || ' x' AS snapshot FROM part",
+    "reconcile_branch": """WITH rounds AS (SELECT c_custkey AS unit, i AS round, CASE WHEN c_custkey % 13 = 0 AND i = 2 THEN 1 ELSE i END AS edit FROM customer, range(1, 4) t(i)),
+      cur AS (SELECT * FROM rounds WHERE round = unit % 3 + 1),
+      o AS (SELECT o_custkey AS unit, o_orderkey AS k, o_orderkey % 37 AS edit FROM orders),
+      told AS (SELECT o.unit, o.k, count(r.round) AS n, min(r.round) AS round FROM o LEFT JOIN rounds r ON r.unit = o.unit AND r.edit = o.edit WHERE o.k % 4 <> 0 GROUP BY ALL),
+      acts AS (SELECT unit, round, coalesce(p, 0) AS p, coalesce(f, 0) AS f FROM (SELECT unit, round, count(*) AS p FROM told WHERE n = 1 GROUP BY ALL) FULL JOIN (SELECT unit, k % 3 + 1 AS round, count(*) AS f FROM o WHERE k % 11 = 0 GROUP BY ALL) USING (unit, round)),
+      facts AS (SELECT c.unit, EXISTS (SELECT 1 FROM o WHERE o.unit = c.unit AND k % 72 = 0) OR (SELECT count(*) FROM o WHERE o.unit = c.unit AND k % 4 = 0 AND o.edit = c.edit) > 1 OR EXISTS (SELECT 1 FROM told t WHERE t.unit = c.unit AND n > 1) AS bad,
+        EXISTS (SELECT 1 FROM o WHERE o.unit = c.unit AND k % 4 = 0 AND o.edit = c.edit) AS linked, EXISTS (SELECT 1 FROM acts a WHERE a.unit = c.unit AND a.round = c.round AND p = 1 AND f = 1) AS anew,
+        (SELECT count(*) FROM acts a WHERE a.unit = c.unit AND p > 0 AND NOT (p = 1 AND f = 1)) AS held, (SELECT count(*) FROM acts a WHERE a.unit = c.unit AND p = 1 AND f = 1) AS relinked, (SELECT count(*) FROM acts a WHERE a.unit = c.unit AND p = 0) AS filled FROM cur c)
+      SELECT unit, CASE WHEN bad THEN 'state_inconsistent_held' WHEN held > 0 THEN 'orphan_pass_held' WHEN linked THEN 'linked_already' WHEN anew THEN 'relinked' ELSE 'proceed' END AS branch,
+        CASE WHEN bad THEN 0 ELSE held END AS held, CASE WHEN bad THEN 0 ELSE relinked END AS relinked, CASE WHEN bad THEN 0 ELSE filled END AS filled FROM facts""",
     "rule_library_hits": chain("blocked", "").rstrip() + AS_SQL(f""", lib AS (SELECT p_partkey AS rule_ord, {PART_KIND} AS kind, {PART_PATTERN} AS regex, {PART_NEGATIVE} AS negative FROM part),
       told AS (SELECT DISTINCT kind, message FROM blocked),
       met AS (SELECT kind, message, count(*) AS n, min(rule_ord)::INTEGER AS first_rule FROM told JOIN lib USING (kind) WHERE regexp_matches(message, regex) AND NOT coalesce(regexp_matches(message, negative), false) GROUP BY ALL)
