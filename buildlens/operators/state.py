@@ -32,8 +32,10 @@ def unlinked_passes(verifications: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def attributed(passes: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Passes by how many rounds have their edit: none, one (the round), or several, which is inconsistent."""
-    n = passes.join(rounds, ["unit", "edit"], "left").groupBy("unit", "verification_id").agg(F.count("round").alias("n"), F.min("round").alias("round"))
+    """Passes by how many rounds have their edit: none, one (the round), or several, which is inconsistent. Rounds are counted by
+    unit and edit before passes meet them, so no pairs are made."""
+    told = rounds.groupBy("unit", "edit").agg(F.count("round").alias("told"), F.min("round").alias("round"))
+    n = passes.join(told, ["unit", "edit"], "left").groupBy("unit", "verification_id").agg(F.coalesce(F.sum("told"), F.lit(0)).alias("n"), F.min("round").alias("round"))
     kind = F.when(F.col("n") == 0, "non_campaign").when(F.col("n") == 1, "attributed").otherwise("inconsistent")
     return n.select("unit", "verification_id", kind.alias("attribution"), F.when(F.col("n") == 1, F.col("round")).alias("round"))
 

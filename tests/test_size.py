@@ -30,3 +30,12 @@ def plan(df):
 def test_a_first_cause_without_a_place_is_classed_as_in_the_sql(spark, tmp_path):
     got, want = both(spark, tables(spark, tmp_path, [(18, 1), (19, 1), (24 * 5 + 2, 2)]), "failure_class")
     assert got == want and (1, "E001", "source_unreachable", "denied", 0.55, "heuristic:source_unreachable") in got
+
+
+def test_passes_meet_counts_of_rounds_and_no_pairs(spark):
+    passes = spark.createDataFrame([(1, 10, 5), (1, 11, 6), (1, 12, 7), (2, 10, 5), (1, 10, 6), (1, 13, None)], "unit int, verification_id int, edit int")
+    rounds = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 6), (2, 4, 5), (1, None, 7)], "unit int, round int, edit int")
+    df = state.attributed(passes, rounds)
+    got = {(r.unit, r.verification_id): (r.attribution, r.round) for r in df.collect()}
+    assert got == {(1, 10): ("inconsistent", None), (1, 11): ("inconsistent", None), (1, 12): ("non_campaign", None), (2, 10): ("attributed", 4), (1, 13): ("non_campaign", None)}
+    assert "Aggregate" in plan(df).split("Join", 1)[1]
