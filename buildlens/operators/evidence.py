@@ -74,7 +74,16 @@ def holding(asks: DataFrame, functions: DataFrame) -> DataFrame:
 def source_contexts(asks: DataFrame, lines: DataFrame) -> DataFrame:
     """log_id, id, path, start_line, end_line, method, degraded of asks (log_id, id, root, path, line, symbol): the function that
     has the symbol's name, or holds the line, whichever comes first in the file; else the lines about it, which is degraded.
-    An ask whose file is not there gives no row."""
+    An ask whose file is not there gives no row. Asks that are equal but for log_id and id are met once, so the window of a file
+    holds its places, however many ask for them."""
+    what = F.struct("root", "path", "line", "symbol")
+    places = asks.select("root", "path", "line", "symbol").distinct().select("*", F.lit(0).alias("log_id"), what.alias("id"))
+    met = _contexts_of(places, lines).drop("log_id", "path").withColumnRenamed("id", "place")
+    return asks.select("log_id", "id", "path", what.alias("place")).join(met, "place").drop("place")
+
+
+def _contexts_of(asks: DataFrame, lines: DataFrame) -> DataFrame:
+    """The contexts of distinct asks."""
     length = lines.groupBy("root", "path").agg(F.max("line_no").alias("n_lines"))
     df = asks.join(length, ["root", "path"])
     functions = functions_of(lines)

@@ -39,3 +39,13 @@ def test_passes_meet_counts_of_rounds_and_no_pairs(spark):
     got = {(r.unit, r.verification_id): (r.attribution, r.round) for r in df.collect()}
     assert got == {(1, 10): ("inconsistent", None), (1, 11): ("inconsistent", None), (1, 12): ("non_campaign", None), (2, 10): ("attributed", 4), (1, 13): ("non_campaign", None)}
     assert "Aggregate" in plan(df).split("Join", 1)[1]
+
+
+def test_a_file_window_holds_places_and_not_asks(spark):
+    lines = spark.createDataFrame([("r", "a.c", i, t) for i, t in enumerate(["int f(int a) {", "  x();", "}", "", "int g(void)", "{", "}"], 1)], "root string, path string, line_no int, text string")
+    asks = spark.createDataFrame([(log, str(line), "r", path, line, symbol) for log in range(3) for path, line, symbol in [("a.c", 2, None), ("a.c", 4, "g"), ("a.c", 4, None), ("a.c", None, "f"), ("b.c", 1, None)]], "log_id int, id string, root string, path string, line int, symbol string")
+    df = evidence.source_contexts(asks, lines)
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(row for log in range(3) for row in [(log, "2", "a.c", 1, 3, "regex_brace", False), (log, "4", "a.c", 5, 7, "regex_brace", False), (log, "4", "a.c", 1, 7, "line_window", True), (log, "None", "a.c", 1, 3, "regex_brace", False)])
+    below = plan(df).split("Window")[-1]
+    assert all(c in below.split("Aggregate", 1)[1].split("]", 1)[0] for c in ("root#", "path#", "line#", "symbol#"))
