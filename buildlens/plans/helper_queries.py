@@ -62,10 +62,12 @@ def part_library(s, d):
 
 
 def library_hits(s, d):
-    """How many rules of the library each event meets, and the first of them; messages that repeat are tried once, on a number of tasks of its own."""
+    """How many rules of the library each event meets, and the first of them; messages that repeat are tried once, on a number of
+    tasks of its own, and so are rules that differ by their numbers alone."""
     ev = written(events(s, d).select("log_id", "id", "kind", "message"), "events")
     told = ev.select("kind", "message").distinct().repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
-    met = rule_index.hits(told, part_library(s, d)).groupBy("kind", "message").agg(F.count(F.lit(1)).alias("n"), F.min("rule_ord").alias("first_rule"))
+    library = part_library(s, d).groupBy("kind", "regex", "negative").agg(F.min("rule_ord").alias("rule_ord"), F.min("regex_ord").alias("regex_ord"), F.count(F.lit(1)).alias("rules"))
+    met = rule_index.hits(told, written(library, "library")).groupBy("kind", "message").agg(F.sum("rules").alias("n"), F.min("rule_ord").alias("first_rule"))
     return ev.join(met, ["kind", "message"]).select("log_id", "id", "n", "first_rule")
 
 

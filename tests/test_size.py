@@ -49,3 +49,12 @@ def test_a_file_window_holds_places_and_not_asks(spark):
     assert got == sorted(row for log in range(3) for row in [(log, "2", "a.c", 1, 3, "regex_brace", False), (log, "4", "a.c", 5, 7, "regex_brace", False), (log, "4", "a.c", 1, 7, "line_window", True), (log, "None", "a.c", 1, 3, "regex_brace", False)])
     below = plan(df).split("Window")[-1]
     assert all(c in below.split("Aggregate", 1)[1].split("]", 1)[0] for c in ("root#", "path#", "line#", "symbol#"))
+
+
+def test_rules_that_repeat_are_tried_once(spark, tmp_path, monkeypatch):
+    folder = tables(spark, tmp_path, [(8, 1), (32, 1)])
+    spark.createDataFrame([(k + 20370 * i, "large ring", "Brand#7") for k in range(12) for i in range(5)], "p_partkey long, p_name string, p_brand string").write.parquet(f"{folder}/part.parquet")
+    tried, hits = [], rule_index.hits
+    monkeypatch.setattr(rule_index, "hits", lambda ev, rules: tried.append(rules.count()) or hits(ev, rules))
+    assert sorted(map(tuple, helper_queries.library_hits(spark, folder).collect())) == [(1, "E001", 10, 0), (1, "E002", 10, 0)]
+    assert tried == [12]
