@@ -30,6 +30,8 @@ CLASSES = WORDS // PER + RARE
 AT_HAND = 131_072
 #: Steps of a window of truncated backpropagation, and windows learned from at once.
 WINDOW, STREAMS, LEAST_STREAMS = 20, 384, 192
+#: Windows that are laid out at once.
+LAID_WINDOWS = 50
 #: First the driver learns on a draw of at most about so many documents, for so many steps of so many streams.
 DRAW, FIRST_STEPS, FIRST_STREAMS = 600, 300, 64
 #: Tokens that a task lays out, at two bytes each, before it learns from them.
@@ -37,7 +39,7 @@ LAID = 20_000_000
 #: Rate of the pass over the corpus.
 RATE = 0.002
 #: Documents scored side by side.
-ABREAST = 512
+ABREAST = 1024
 END = b""
 
 
@@ -124,8 +126,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(held, ids, suffixes, tokens, words, total or 0, distinct or 0)
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _by_gate(w: np.ndarray) -> np.ndarray:
+    """Columns of update, reset and content as three tables, each end to end in memory. The first two are halved, as a gate is
+    (1 + tanh(x / 2)) / 2."""
+    out = np.ascontiguousarray(w.reshape(len(w), 3, STATE).swapaxes(0, 1), np.float32)
+    out[:2] *= np.float32(0.5)
+    return out
+
+
+def _side_by_side(w: np.ndarray) -> np.ndarray:
+    """Three tables as columns of one."""
+    return np.concatenate(list(w), axis=1)
 
 
 @dataclass
@@ -151,31 +162,41 @@ class Network:
         f = lambda *s: (r.standard_normal(s) / math.sqrt(s[-2])).astype(np.float32)
         return Network({"e": 0.3 * r.standard_normal((WORDS + RARE, EMBED)).astype(np.float32), "wx": f(EMBED, 3 * STATE), "b": np.zeros(3 * STATE, np.float32), "u": f(STATE, 3 * STATE), "wc": 0.3 * f(STATE, CLASSES), "bc": log_share.astype(np.float32), "wo": 0.3 * f(WORDS // PER, STATE, PER), "bo": log_in_class.astype(np.float32)})
 
-    def step(self, xp: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Next state; gates (update, reset), new content, and what the reset gate lets through of the state."""
-        s, hu = STATE, h @ self.p["u"]
-        gates = _sigmoid(xp[:, : 2 * s] + hu[:, : 2 * s])
-        z = gates[:, :s]
-        c = np.tanh(xp[:, 2 * s :] + gates[:, s:] * hu[:, 2 * s :])
-        return c + z * (h - c), gates, c, hu[:, 2 * s :]
+    def step(self, xp: np.ndarray, u: np.ndarray, h: np.ndarray, acts: np.ndarray | None = None, passed: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """Next state. xp, u: what inputs and states add, by gate; acts: room for update, reset and new content; passed: for what
+        the reset gate meets of the state."""
+        acts = np.matmul(h, u, out=acts)
+        gates, c = acts[:2], acts[2]
+        if passed is not None:
+            passed[:] = c
+        gates += xp[:2]
+        np.tanh(gates, out=gates)
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
+        c *= acts[1]
+        c += xp[2]
+        np.tanh(c, out=c)
+        after = np.subtract(h, c, out=after)
+        after *= acts[0]
+        after += c
+        return after
 
     def table(self) -> np.ndarray:
-        """What each input adds to the gates."""
-        return self.p["e"] @ self.p["wx"] + self.p["b"]
+        """What each input adds, by gate."""
+        return _by_gate(self.p["e"] @ self.p["wx"] + self.p["b"])
 
     def train_window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One window of every stream: x, y (steps, streams) inputs and targets, y < 0 for none; fresh: a document starts here."""
         p, s, (steps, streams) = self.p, STATE, x.shape
         g, starts = {}, fresh.any(1).tolist()
-        xp = np.take(self.table().astype(np.float32), x, axis=0, out=self.room("xp", steps, streams, 3 * s), mode="clip")
-        before, after, content, passed = (self.room(k, steps, streams, s) for k in ("before", "after", "content", "passed"))
-        gates = self.room("gates", steps, streams, 2 * s)
+        xp = np.take(self.table(), x, axis=1, out=self.room("xp", 3, steps, streams, s), mode="clip")
+        before, after, passed = (self.room(k, steps, streams, s) for k in ("before", "after", "passed"))
+        acts, u = self.room("acts", steps, 3, streams, s), _by_gate(p["u"])
         for t in range(steps):
             before[t] = h
             if starts[t]:
                 before[t][fresh[t]] = 0
-            after[t], gates[t], content[t], passed[t] = self.step(xp[t], before[t])
-            h = after[t]
+            h = self.step(xp[:, t], u, before[t], acts[t], passed[t], after[t])
         hk, tk = after.reshape(-1, s), y.reshape(-1)
         known = None
         if (tk < 0).any():
@@ -185,7 +206,7 @@ class Network:
         cls = np.where(tk < WORDS, tk // PER, WORDS // PER + tk - WORDS)
         d = np.matmul(hk, p["wc"], out=self.room("classes", len(hk), CLASSES))
         d = _slopes(d, p["bc"] - _above(p["wc"], p["bc"]), cls, n)
-        g["wc"], g["bc"] = hk.T @ d, d.sum(0)
+        g["wc"], g["bc"] = hk.T @ d, np.ones(len(d), np.float32) @ d
         dk = np.matmul(d, p["wc"].T, out=self.room("dk", len(hk), s))
         order, cut = by_class(cls)
         ho, to = hk[order], tk[order]
@@ -208,30 +229,40 @@ class Network:
             dh[known] = dk
             dk = dh
         dh = dk.reshape(steps, streams, s)
-        dx, du = self.room("dx", steps, streams, 3 * s), self.room("du", steps, streams, 3 * s)
-        ut, back = np.ascontiguousarray(p["u"].T), np.zeros((streams, s), np.float32)
+        # slopes of update, reset and content by what inputs add; and of the last, behind the reset gate, by what states add
+        dx, dp = self.room("dx", 3, steps, streams, s), self.room("dp", steps, streams, s)
+        ut, back = np.ascontiguousarray(p["u"].reshape(s, 3, s).transpose(1, 2, 0)), np.zeros((streams, s), np.float32)
+        ahead, one = self.room("ahead", 3, streams, s), np.float32(1)
         for t in range(steps - 1, -1, -1):
-            dt, z, r, c, own = dh[t] + back, gates[t, :, :s], gates[t, :, s:], content[t], dx[t]
+            (z, r, c), dt, dc = acts[t], dh[t], dx[2, t]
+            dt += back
             keep = dt * z
             dt -= keep  # what passes through the new content
-            dc = dt * (1 - c * c)
-            own[:, 2 * s :] = dc
-            dc *= r
-            du[t, :, 2 * s :] = dc
-            np.multiply(keep, (before[t] - c) * (1 - z), out=own[:, :s])
-            np.multiply(dc, passed[t] * (1 - r), out=own[:, s : 2 * s])
-            du[t, :, : 2 * s] = own[:, : 2 * s]
-            back = du[t] @ ut
-            back += keep
+            np.multiply(c, c, out=dc)
+            np.subtract(one, dc, out=dc)
+            dc *= dt
+            np.multiply(dc, r, out=dp[t])
+            own = np.subtract(before[t], c, out=dx[0, t])
+            own *= keep
+            own *= one - z
+            own = np.multiply(dp[t], passed[t], out=dx[1, t])
+            own *= one - r
+            np.matmul(dx[:2, t], ut[:2], out=ahead[:2])
+            np.matmul(dp[t], ut[2], out=ahead[2])
+            back = keep
+            for k in range(3):
+                back += ahead[k]
             if starts[t]:
                 back[fresh[t]] = 0
-        flat, at = dx.reshape(-1, 3 * s), x.reshape(-1)
-        g["u"], g["b"], g["wx"] = before.reshape(-1, s).T @ du.reshape(-1, 3 * s), flat.sum(0), p["e"][at].T @ flat
+        flat, at = dx.reshape(3, -1, s), x.reshape(-1)
+        states, n = before.reshape(-1, s).T, np.ones(len(at), np.float32)
+        g["u"] = np.concatenate([states @ flat[0], states @ flat[1], states @ dp.reshape(-1, s)], axis=1)
+        g["b"], g["wx"] = np.concatenate(list(n @ flat)), _side_by_side(p["e"][at].T @ flat)
         order = np.argsort(at.astype(np.int16), kind="stable")
         at = at[order]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         g["e"] = np.zeros_like(p["e"])
-        g["e"][at[first]] = np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
+        g["e"][at[first]] = np.add.reduceat(sum(flat[k] @ p["wx"][:, k * s : (k + 1) * s].T for k in range(3))[order], first, axis=0)
         h = h.copy()
         self._adam(g, rate)
         return h
@@ -270,12 +301,12 @@ class Network:
     def _abreast(self, docs: list[np.ndarray], table: np.ndarray) -> np.ndarray:
         size = np.array([len(d) for d in docs])  # descending
         every, starts = np.concatenate(docs), np.cumsum(size) - size
-        out, h = np.zeros(len(docs)), np.zeros((len(docs), STATE), np.float32)
+        out, h, u = np.zeros(len(docs)), np.zeros((len(docs), STATE), np.float32), _by_gate(self.p["u"])
         states, found, held = [], [], 0
         for t in range(int(size[0])):
             n = int(np.searchsorted(-size, -t, "left"))  # documents longer than t
             x = every[starts[:n] + t - 1] if t else np.zeros(n, np.int64)
-            h = self.step(table[x], h[:n])[0]
+            h = self.step(np.take(table, x, axis=1), u, h[:n])
             states.append(h)
             found.append(every[starts[:n] + t])
             held += n
@@ -405,20 +436,23 @@ def learn_whole(net: Network, texts: list[np.ndarray], rate: float) -> int:
         heapq.heappush(ends, (n + len(t), i))
     streams = [streams[i] for _, i in sorted(ends, reverse=True)]
     size = np.array([sum(map(len, own)) for own in streams])
-    ids = [np.concatenate(own).astype(np.int64) for own in streams]
+    ids = [np.concatenate(own) for own in streams]
     starts = [np.cumsum([0, *map(len, own[:-1])]) for own in streams]
     h = np.zeros((count, STATE), np.float32)
-    for start in range(0, int(size[0]), WINDOW):
-        n, width = int((size > start).sum()), min(WINDOW, int(size[0]) - start)
-        y = np.full((n, width + 1), -1, np.int64)  # a token before the window's first one
-        fresh = np.zeros((n, width), bool)
+    for begin in range(0, int(size[0]), WINDOW * LAID_WINDOWS):
+        # so many windows are laid out at once: a row a step, from the token before the first one
+        n, steps = int((size > begin).sum()), min(WINDOW * LAID_WINDOWS, int(size[0]) - begin)
+        y, fresh = np.full((n, steps + 1), -1, np.int16), np.zeros((n, steps), bool)
         for i in range(n):
-            part = ids[i][max(start - 1, 0) : start + width]
-            y[i, (start == 0) : (start == 0) + len(part)] = part
-            a, b = np.searchsorted(starts[i], (start, start + width))
-            fresh[i, starts[i][a:b] - start] = True
-        x = np.where(fresh, 0, np.maximum(y[:, :-1], 0))
-        h = net.train_window(x.T, y[:, 1:].T, fresh.T, h[:n], rate)
+            part = ids[i][max(begin - 1, 0) : begin + steps]
+            y[i, (begin == 0) : (begin == 0) + len(part)] = part
+            a, b = np.searchsorted(starts[i], (begin, begin + steps))
+            fresh[i, starts[i][a:b] - begin] = True
+        y, fresh = np.ascontiguousarray(y.T), np.ascontiguousarray(fresh.T)
+        x = np.where(fresh, 0, np.maximum(y[:-1], 0))
+        for at in range(0, steps, WINDOW):
+            own, m = slice(at, at + WINDOW), int((size > begin + at).sum())
+            h = net.train_window(x[own, :m].astype(np.int64), y[at + 1 : at + 1 + WINDOW, :m].astype(np.int64), fresh[own, :m], h[:m], rate)
     return total
 
 

@@ -118,6 +118,20 @@ def test_lm_carries_the_state_from_the_start_of_each_text(monkeypatch):
     assert lm.learn_whole(Recorder(), [], 0.1) == 0
 
 
+def test_lm_lays_out_many_windows_at_once(monkeypatch):
+    looked, windows = [], []
+    search = np.searchsorted
+    monkeypatch.setattr(lm.np, "searchsorted", lambda *a, **k: looked.append(1) or search(*a, **k))
+
+    class Recorder:
+        def train_window(self, x, y, fresh, h, rate):
+            windows.append(x.shape)
+            return h
+
+    assert lm.learn_whole(Recorder(), [np.ones(lm.WINDOW * 200, np.int16)] * 3, 0.1) == lm.WINDOW * 600
+    assert len(windows) == 200 and len(looked) < len(windows)
+
+
 def test_lm_gradients_agree_with_differences():
     v = lm.Vocabulary({}, {b"": 0, b"a": 1}, {}, np.ones(lm.RARE), np.ones(lm.RARE), 10, 3)
     net, x, y = lm.start_network(v), np.array([[0], [1], [0]]), np.array([[1], [0], [lm.WORDS]])
