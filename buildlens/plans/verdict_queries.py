@@ -8,7 +8,7 @@ from buildlens.functions import text as T
 from buildlens.functions.scratch import written
 from buildlens.functions.stages import Stages
 from buildlens.operators import packet, rank, rules, scan
-from buildlens.plans.core import annotated, events, scan_once, scored, top
+from buildlens.plans.core import classified, events, linked, scan_once, scored, top, top_of
 from buildlens.plans.sql import chain, q
 from buildlens.plans import evidence_queries as E
 from buildlens.plans.core import COMMANDS, SUMMARY
@@ -33,6 +33,12 @@ def window_of(lines, top, rank):
     return scan.log_window(lines.select("log_id", "line_no", "text"), top.filter(F.col("rank") == rank).select("log_id", F.col("line_no").alias("at")))
 
 
+def first_windows(s, d):
+    """Lines about each log's first cause: the log is scanned once."""
+    lines = classified(s, d)
+    return window_of(lines, top_of(linked(scan.annotate(lines)), 1), 1)
+
+
 def packets_and_parts(s, d, stages=None):
     """Packets of all logs, and the causes and lines that they come of: the log is scanned once."""
     stages = stages or Stages(s)
@@ -84,7 +90,7 @@ QUERIES = {
     "evidence_route": lambda s, d: events(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("route", packet.evidence_route(F.col("kind"))),
     "token_estimate": estimates,
     "compression_ratio": lambda s, d: scan.with_offsets(logl(s, d)).groupBy("log_id").agg(F.max(F.col("raw_offset") + F.octet_length("raw_text") + 1).alias("bytes"), F.sum(T.token_estimate(F.col("raw_text"))).alias("tokens")).select("log_id", "tokens", packet.compression_ratio(F.col("bytes"), F.col("tokens")).alias("ratio")),
-    "log_window": lambda s, d: scan.log_window(annotated(s, d).select("log_id", "line_no", "text"), top(s, d, 1).select("log_id", F.col("line_no").alias("at"))),
+    "log_window": first_windows,
     "packet_fit": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", packet.fit(F.col("text"), 60).alias("text")),
     "acceptance": lambda s, d: all_packets(s, d).agg(F.avg((F.col("via") == "fast_path").cast("int")).alias("fast_rate"), F.avg((F.col("verdict") == "direct_answer").cast("int")).alias("direct_rate"), F.avg((F.col("conservation_total") == packet.TOTAL).cast("int")).alias("conserved")),
 }

@@ -69,3 +69,14 @@ def test_rules_that_repeat_are_tried_once(spark, tmp_path, monkeypatch):
 def test_plans_over_events_read_them_written(spark, tmp_path, name):
     folder = tables(spark, tmp_path, [(i, 1) for i in range(24)])
     assert not any(folder in f for f in getattr(core, name)(spark, folder).inputFiles())
+
+
+def test_log_window_scans_the_log_once(spark, tmp_path, monkeypatch):
+    folder = tables(spark, tmp_path, [(i, i % 3) for i in range(480)])
+    tags, written = [], core.written
+    monkeypatch.setattr(core, "written", lambda df, tag: tags.append(tag) or written(df, tag))
+    got = sorted(map(tuple, registry.QUERIES["log_window"](spark, folder).select("log_id", "line_no", "at", "text").collect()))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{folder}/events.parquet/*.parquet')")
+    assert got == sorted(con.execute(f'select log_id, line_no, "at", text from ({registry.ORACLES["log_window"]})').fetchall())
+    assert got and tags.count("classified") == 1
