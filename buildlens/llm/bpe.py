@@ -68,30 +68,32 @@ def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], end:
     """Adds the merges' gadgets one after another.
 
     A gadget takes one arc away, so it parts at most one state and one label class from those that they were one with;
-    the new label shares a's class of labels and b's state. Hence a merge costs one row and one column of the table.
+    the new label shares a's class of labels and b's state. Hence a merge costs one row and one column of the table. The
+    table is bits from the start: a byte for each arc takes 160 MB, and twice that while it grows, in every worker at once.
     """
     size = max([*vocab.values(), *(extra or {}).values()]) + 1
-    arcs = np.zeros((2048, 2048), bool)
-    arcs[0, 0] = arcs[1, 0] = True
+    arcs = np.zeros((2048, 256), np.uint8)
+    arcs[0, 0] = arcs[1, 0] = 128
     state, label = np.full(size, 1), np.zeros(size, int)  # the start allows all; so does a base symbol, until merges say otherwise
     states, classes = 2, 1
     in_state, in_class = {1: size}, {0: size}
     for left, right in merges:
         a, b, c = vocab[left], vocab[right], vocab[left + right]
         if states == arcs.shape[0]:
-            arcs = np.vstack([arcs, np.zeros((2048, arcs.shape[1]), bool)])
-        if classes == arcs.shape[1]:
-            arcs = np.hstack([arcs, np.zeros((arcs.shape[0], 2048), bool)])
+            arcs = np.vstack([arcs, np.zeros((2048, arcs.shape[1]), np.uint8)])
+        if classes == 8 * arcs.shape[1]:
+            arcs = np.hstack([arcs, np.zeros((arcs.shape[0], 256), np.uint8)])
         before = state[b]
         if in_state[state[a]] > 1 or a == b:
             arcs[states] = arcs[state[a]]
             in_state[state[a]] -= 1
             state[a], in_state[states], states = states, 1, states + 1
         if in_class[label[b]] > 1:
-            arcs[:, classes] = arcs[:, label[b]]
+            like = int(label[b])
+            arcs[:, classes >> 3] |= (arcs[:, like >> 3] >> (7 - (like & 7)) & 1) << (7 - (classes & 7))
             in_class[label[b]] -= 1
             label[b], in_class[classes], classes = classes, 1, classes + 1
-        arcs[state[a], label[b]] = False
+        arcs[state[a], label[b] >> 3] &= 255 - (128 >> (int(label[b]) & 7))
         in_state[state[c]] -= 1
         in_class[label[c]] -= 1
         state[c], label[c] = before, label[a]
@@ -119,7 +121,7 @@ def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], end:
     for text, token in (extra or {}).items():
         labels[token] = text
     pairs = np.array(sorted((n * 512 + s, m) for n, t in enumerate(tree) for s, m in t.items()), np.int64)
-    return Automaton(np.packbits(arcs[:states, :classes], axis=1), state.astype(np.int32), label.astype(np.int32), pairs[:, 0].copy(), pairs[:, 1].copy(), np.array(token_at, np.int64), labels, longest)
+    return Automaton(arcs[:states, : classes + 7 >> 3].copy(), state.astype(np.int32), label.astype(np.int32), pairs[:, 0].copy(), pairs[:, 1].copy(), np.array(token_at, np.int64), labels, longest)
 
 
 def _spell_columns(m: Automaton, words: np.ndarray) -> list[list[int]]:

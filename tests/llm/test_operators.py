@@ -1,6 +1,8 @@
 import hashlib
+import json
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -312,6 +314,18 @@ def test_automaton_accepts_just_the_encoding():
     assert e.ids_of_words(["aaa", "aab", "ab", "aaaab"]) == [[vocab["aa"], vocab["a</w>"]], [vocab["aa"], vocab["b</w>"]], [vocab["ab</w>"]], [vocab["aa"], vocab["aa"], vocab["b</w>"]]]
 
 
+def test_automaton_is_compiled_in_little_memory():
+    with open(WORD, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    tracemalloc.start()
+    try:
+        m = bpe.compile_automaton(model["vocab"], [tuple(x) for x in model["merges"]], model["end_of_word_suffix"])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert m.arcs.shape == (11613, 1730) and peak < 130e6
+
+
 # 7 search
 
 
