@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from buildlens.operators import evidence, rule_index, state
+from buildlens.operators import evidence, rule_index, scan, state
 from buildlens.plans import core, helper_queries, registry
 
 
@@ -80,3 +80,17 @@ def test_log_window_scans_the_log_once(spark, tmp_path, monkeypatch):
     con.execute(f"create view events as select * from read_parquet('{folder}/events.parquet/*.parquet')")
     assert got == sorted(con.execute(f'select log_id, line_no, "at", text from ({registry.ORACLES["log_window"]})').fetchall())
     assert got and tags.count("classified") == 1
+
+
+def test_carries_of_parts_shuffle_no_facts(spark, tmp_path):
+    folder = tables(spark, tmp_path, [(i, 1) for i in range(48)])
+    lines = core.classified(spark, folder)
+    carry = plan(scan.annotate(lines)).split("Join", 1)[1].split("RepartitionByExpression")[2]
+    assert "fact#" not in carry.split("Relation", 1)[0].replace("isnotnull(fact#", "")
+
+
+def test_only_failed_preps_and_patches_are_windowed_for_parents(spark, tmp_path):
+    folder = tables(spark, tmp_path, [(12, 1), (33, 1), (34, 1), (39, 1)])
+    ev = scan.events(core.annotated(spark, folder))
+    assert [tuple(r) for r in scan.patch_parents(ev).collect()] == [(1, "E002", "E001")]
+    assert {r["id"]: r["parent"] for r in scan.with_parents(ev).collect()} == {"E001": None, "E002": "E001", "E003": None}
