@@ -1,5 +1,7 @@
 """What copies of the driver's tables showed: rare logs, and steps that must not grow faster than their input."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -94,3 +96,16 @@ def test_only_failed_preps_and_patches_are_windowed_for_parents(spark, tmp_path)
     ev = scan.events(core.annotated(spark, folder))
     assert [tuple(r) for r in scan.patch_parents(ev).collect()] == [(1, "E002", "E001")]
     assert {r["id"]: r["parent"] for r in scan.with_parents(ev).collect()} == {"E001": None, "E002": "E001", "E003": None}
+
+
+def test_no_step_of_classify_is_too_long_to_be_compiled(spark, tmp_path):
+    """HotSpot leaves methods of more than 8,000 bytecodes to its interpreter."""
+    folder = tables(spark, tmp_path, [(i, 1) for i in range(24)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = scan.classify(scan.normalise(core.logl(spark, folder)))
+        code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) <= 8000
