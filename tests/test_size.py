@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from buildlens.operators import evidence, rule_index, scan, state
 from buildlens.plans import core, helper_queries, registry
@@ -109,3 +110,20 @@ def test_no_step_of_classify_is_too_long_to_be_compiled(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) <= 8000
+
+
+def test_no_event_is_shuffled_for_few_parents_and_phases(spark, tmp_path, monkeypatch):
+    folder = tables(spark, tmp_path, [(i, 1) for i in (12, 33, 34, 39)] + [(i, 2) for i in (2, 3, 149)])
+    plans, written = {}, core.written
+    monkeypatch.setattr(core, "written", lambda df, tag: plans.update({tag: df._jdf.queryExecution().executedPlan().toString()}) or written(df, tag))
+    got = {(r.log_id, r.id): r.parent for r in core.events(spark, folder).collect()}
+    assert "hashpartitioning" not in plans["events"] and "hashpartitioning" in plans["parents"]
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{folder}/events.parquet/*.parquet')")
+    want = con.execute(f"select log_id, id, parent from ({core.chain('ev', 'SELECT log_id, id, parent FROM ev')})").fetchall()
+    assert got == {(log, i): p for log, i, p in want} and [p for p in got.values() if p] == ["E001", "E001"]
+
+
+def test_numbers_have_three_digits_at_least(spark):
+    df = spark.createDataFrame([(0,), (7,), (999,), (1000,), (12345,)], "n int")
+    assert [r[0] for r in df.select(scan.numbered("E", F.col("n"))).collect()] == ["E000", "E007", "E999", "E1000", "E12345"]
